@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,6 +11,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+# Tables with heavy text work per row, and the key that spreads them.
+_TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 class Tables:
     """Lazy access to the parquet tables of one scale factor."""
 
@@ -17,7 +22,17 @@ class Tables:
         self.spark, self.dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return spread(df, _TEXT_TABLES[name]) if name in _TEXT_TABLES else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores when a table is stored as fewer pieces than there are cores.
+
+    A large table has more splits than cores and is read as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
 def query(name: str, sql: str | None = None):
@@ -32,5 +47,9 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+FAMILIES = ("retrieval", "documents", "matching", "terms", "outline", "items", "evaluation", "pipelines")
+
+
 def load_all() -> None:
-    from dossier.catalog import documents, evaluation, items, matching, outline, pipelines, retrieval, terms  # noqa: F401
+    for family in FAMILIES:
+        import_module(f"dossier.catalog.{family}")

@@ -7,6 +7,9 @@ join. Ranking, resolving and grounding happen in DataFrame expressions afterward
 
 from __future__ import annotations
 
+from collections import OrderedDict
+from uuid import uuid4
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,42 +22,43 @@ PATTERNS_PER_SHARD = 100_000
 
 _HIT = T.StructType([T.StructField("pid", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
 
-_built: dict[int, object] = {}
+# automata of the dictionaries in use, per Python worker
+_built: OrderedDict[str, tuple] = OrderedDict()
+_KEPT = 8
 
 
-def _automaton(shared):
-    """Automaton of a broadcast dictionary, built once per Python worker."""
-    key = shared.id if hasattr(shared, "id") else id(shared)
-    if key not in _built:
+def _automaton(token: str, shared):
+    """(machine, pattern lengths) of a broadcast dictionary, built once per worker."""
+    if token not in _built:
         import ahocorasick
 
         machine = ahocorasick.Automaton()
         for pid, pattern in shared.value:
-            ids = machine.get(pattern, None)
-            machine.add_word(pattern, (ids or []) + [pid])
+            machine.add_word(pattern, machine.get(pattern, []) + [pid])
         machine.make_automaton()
-        _built[key] = machine
-    return _built[key]
+        _built[token] = machine, {pid: len(p) for pid, p in shared.value}
+        while len(_built) > _KEPT:
+            _built.popitem(last=False)
+    _built.move_to_end(token)
+    return _built[token]
 
 
 def _scan_udf(shared, once: bool):
     """All occurrences; with ``once`` only the first occurrence of every pattern."""
+    token = uuid4().hex
 
     @F.pandas_udf(T.ArrayType(_HIT))
     def scan(texts: pd.Series) -> pd.Series:
-        machine = _automaton(shared)
-        sizes = {pid: len(p) for pid, p in shared.value}
-
-        def one(text: str | None) -> list[dict]:
-            seen, out = set(), []
-            if text:
-                for end, ids in machine.iter(text):
-                    for pid in ids:
-                        if once and pid in seen:
-                            continue
-                        seen.add(pid)
-                        out.append({"pid": pid, "start": end + 1 - sizes[pid], "stop": end + 1})
-            return out
+        machine, sizes = _automaton(token, shared)
+
+        def one(text: str | None) -> list[tuple]:
+            found = [(pid, end + 1 - sizes[pid], end + 1) for end, ids in machine.iter(text or "") for pid in ids]
+            if once:
+                first = {}
+                for hit in found:
+                    first.setdefault(hit[0], hit)
+                found = list(first.values())
+            return [{"pid": p, "start": a, "stop": b} for p, a, b in found]
 
         return texts.map(one)
 

@@ -8,6 +8,7 @@ from dossier.catalog import query
 from dossier.functions import chunks as C
 from dossier.functions import html as H
 from dossier.functions import text as T
+from dossier.operators.unnest import unnest, unnest_structs
 from dossier.params import DOC_TYPES, UPLOAD_EXTENSIONS, ChunkParams
 from dossier.plans.ingest import ingest_records as plan_ingest_records
 from dossier.plans.ingest import with_header
@@ -44,13 +45,13 @@ def dchunks(source: str, key: str, text: str, size: int, overlap: int, blank: bo
 
 @query("sliding_window_chunks", dchunks("documents", "doc_id", "text", 500, 50))
 def sliding_window_chunks(t):
-    return t.documents.select("doc_id", F.posexplode(C.sliding_chunks(F.col("text"))).alias("chunk_idx", "chunk_text"))
+    return unnest(t.documents, ["doc_id"], C.sliding_chunks(F.col("text")), "chunk_text", "chunk_idx")
 
 
 @query("mining_chunks", dchunks("documents", "doc_id", "text", 2000, 300, blank=False))
 def mining_chunks(t):
     pieces = C.sliding_chunks(F.col("text"), ChunkParams(2000, 300), keep_blank=False)
-    return t.documents.select("doc_id", F.posexplode(pieces).alias("chunk_idx", "chunk_text"))
+    return unnest(t.documents, ["doc_id"], pieces, "chunk_text", "chunk_idx")
 
 
 @query(
@@ -67,7 +68,7 @@ def mining_chunks(t):
 def macro_chunks(t):
     """Lines that open with a two-letter word are turned into headings, as the texts have none."""
     marked = F.regexp_replace("text", r"(?md)^([^a-z\n]{1}[a-z]{2} )", "# $1")
-    return t.documents.select("doc_id", marked.alias("t")).select("doc_id", F.posexplode(C.macro_chunks(F.col("t"))).alias("chunk_idx", "chunk_text"))
+    return unnest(t.documents.select("doc_id", marked.alias("t")), ["doc_id"], C.macro_chunks(F.col("t")), "chunk_text", "chunk_idx")
 
 
 @query(
@@ -76,14 +77,14 @@ def macro_chunks(t):
 def semantic_chunks(t):
     marked = t.documents.select("doc_id", F.regexp_replace("text", r"(?md)^([^a-z\n]{1}[a-z]{2} )", "# $1").alias("t"))
     fields = ["text", "start", "stop", "heading"]
-    rows = C.semantic_chunks(marked, "t").select("doc_id", T.rows_of(F.col("chunks"), fields, "chunk_idx"))
+    rows = unnest_structs(C.semantic_chunks(marked, "t"), ["doc_id"], "chunks", fields, "chunk_idx")
     return rows.select("doc_id", "chunk_idx", "start", "stop", "heading", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 @query("heading_candidates")
 def heading_candidates(t):
     marked = t.documents.select("doc_id", F.regexp_replace("text", r"(?md)^([^a-z\n]{1}[a-z]{2} )", "# $1").alias("t"))
-    return marked.select("doc_id", T.rows_of(C.heading_candidates(F.col("t")), ["pos", "line"]))
+    return unnest_structs(marked, ["doc_id"], C.heading_candidates(F.col("t")), ["pos", "line"])
 
 
 def _typed_lines(t):
@@ -124,7 +125,7 @@ def layout_text(t):
 def structure_chunks(t):
     docs = _typed_lines(t)
     blocks = readers.blocks_of(docs, "doc_id", "layout")
-    rows = docs.select("doc_id", blocks.alias("b")).select("doc_id", F.posexplode(C.structure_chunks(F.col("b"), 200, 500, 50)).alias("chunk_idx", "c"))
+    rows = unnest(docs.select("doc_id", blocks.alias("b")), ["doc_id"], C.structure_chunks(F.col("b"), 200, 500, 50), "c", "chunk_idx")
     return rows.select("doc_id", "chunk_idx", F.length("c").alias("n_chars"), F.md5("c").alias("text_md5"))
 
 
@@ -155,7 +156,7 @@ def ingest_records(t):
 )
 def header_injection(t):
     path = F.when(F.col("doc_id") % 3 == 0, F.left("text", F.lit(400))).when(F.col("doc_id") % 3 == 1, F.col("source")).otherwise(F.left(T.strip(F.col("text")), F.lit(20)))
-    rows = t.documents.select("doc_id", path.alias("path"), F.posexplode(C.sliding_chunks(F.col("text"))).alias("chunk_idx", "c"))
+    rows = unnest(t.documents, ["doc_id", path.alias("path")], C.sliding_chunks(F.col("text")), "c", "chunk_idx")
     return rows.select("doc_id", "chunk_idx", with_header(F.col("path"), F.col("c")).alias("chunk_text"))
 
 
@@ -208,7 +209,7 @@ def is_chinese(t):
     WHERE len(regexp_replace(x, '[^A-Za-z]', '', 'g')) >= 3""",
 )
 def latin_filter(t):
-    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "x")).where(T.has_english(F.col("x")))
+    lines = unnest(t.documents, ["doc_id"], F.split("text", "\n"), "x", "n").where(T.has_english(F.col("x")))
     return lines.select("doc_id", "n", T.contains_latin(F.col("x")).cast("int").alias("latin"), T.contains_non_latin(F.col("x")).cast("int").alias("non_latin"))
 
 
@@ -273,8 +274,8 @@ def html_balance(t):
 
 @query("html_segments")
 def html_segments(t):
-    rows = t.pages.select("page_id", H.html_segments(F.col("html")).alias("s"))
-    return rows.select("page_id", F.posexplode("s").alias("n", "segment")).withColumn("chinese", T.is_chinese(F.col("segment")).cast("int"))
+    rows = unnest(t.pages, ["page_id"], H.html_segments(F.col("html")), "segment", "n")
+    return rows.withColumn("chinese", T.is_chinese(F.col("segment")).cast("int"))
 
 
 @query("html_languages")
@@ -295,7 +296,7 @@ def html_languages(t):
 def table_cells(t):
     """Words of a line as the cells of a pipe row."""
     row = F.concat(F.lit("| "), F.replace("x", F.lit(" "), F.lit(" | ")), F.lit(" |"))
-    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "x")).select("doc_id", "n", H.table_cells(row).alias("c"))
+    lines = unnest(t.documents, ["doc_id"], F.split("text", "\n"), "x", "n").select("doc_id", "n", H.table_cells(row).alias("c"))
     return lines.where(F.size("c") > 0).select("doc_id", "n", F.size("c").alias("n_cells"), F.array_join("c", "¦").alias("cells"))
 
 
@@ -399,7 +400,7 @@ def projected_scan(t):
     f"SELECT doc_id, n, {dstrip('x')} AS line FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE {dstrip('x')} <> ''",
 )
 def filled_terms(t):
-    return readers.filled(t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")), "line")
+    return readers.filled(unnest(t.documents, ["doc_id"], F.split("text", "\n"), "line", "n"), "line")
 
 
 @query(
@@ -410,7 +411,7 @@ def filled_terms(t):
 )
 def chunk_replace(t):
     """Documents divisible by three are re-chunked with other sizes and replace their old chunks."""
-    cut = lambda d, p: d.select("doc_id", F.posexplode(C.sliding_chunks(F.col("text"), p)).alias("chunk_idx", "c")).select("doc_id", "chunk_idx", F.md5("c").alias("text_md5"))
+    cut = lambda d, p: unnest(d, ["doc_id"], C.sliding_chunks(F.col("text"), p), "c", "chunk_idx").select("doc_id", "chunk_idx", F.md5("c").alias("text_md5"))
     redo = t.documents.where("doc_id % 3 = 0")
     return sinks.replaced(cut(t.documents, ChunkParams()), cut(redo, ChunkParams(700, 70)), redo.select("doc_id"), "doc_id")
 

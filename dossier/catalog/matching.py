@@ -13,10 +13,11 @@ from dossier.catalog.documents import dnorm
 from dossier.functions.text import normalize_for_matching
 from dossier.operators import match as M
 from dossier.operators.retrieval import enriched_query
+from dossier.operators.unnest import unnest
 
 
 def _dictionary(t):
-    words = t.benchmark.select("item_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{6,}"), F.lit(0))).alias("k", "zh"))
+    words = unnest(t.benchmark, ["item_id"], F.regexp_extract_all("text", F.lit(r"[A-Za-z]{6,}"), F.lit(0)), "zh", "k")
     rows = words.select("zh", F.concat(F.lit("EN-"), F.col("zh")).alias("en"), (F.col("item_id") * 10000 + F.col("k")).alias("ord"))
     return M.load_dictionary(rows)
 

@@ -8,6 +8,7 @@ from dossier.catalog import query
 from dossier.catalog.documents import dclean, dstrip
 from dossier.functions import text as T
 from dossier.operators import terms as M
+from dossier.operators.unnest import unnest_structs
 from dossier.sources import sinks
 
 
@@ -159,7 +160,7 @@ def align_rows(t):
 )
 def align_chunks(t):
     pairs = M.align(F.split("text", "\n"), F.split("text", r"\. "))
-    return t.documents.select("doc_id", F.inline(pairs)).select("doc_id", "i", F.md5("a").alias("a"), F.md5("b").alias("b"))
+    return unnest_structs(t.documents, ["doc_id"], pairs, ["i", "a", "b"]).select("doc_id", "i", F.md5("a").alias("a"), F.md5("b").alias("b"))
 
 
 @query(
@@ -182,5 +183,5 @@ def grounded_pairs(t):
 def positional_answers(t):
     """Answers by position: an answer list that is too short is padded with nothing."""
     ans = F.when(F.col("p_size") % 2 == 0, F.array(F.array("p_brand"), F.array("p_type"))).otherwise(F.array().cast("array<array<string>>"))
-    rows = t.part.select("p_partkey", F.inline(M.positional_answers(F.array("p_name"), ans)))
+    rows = unnest_structs(t.part, ["p_partkey"], M.positional_answers(F.array("p_name"), ans), ["keyword", "aliases"])
     return rows.select("p_partkey", "keyword", F.array_join("aliases", ",").alias("aliases"))

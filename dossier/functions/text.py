@@ -61,18 +61,6 @@ def lines(c: Column) -> Column:
     ).otherwise(parts)
 
 
-def rows_of(structs: Column, fields: list[str], ordinal: str | None = None) -> Column:
-    """Generator: one row per struct of an array, its fields as columns.
-
-    ``inline`` evaluates the array once. Exploding to a struct column and reading its
-    fields afterwards lets the optimizer push every field below the generator, and the
-    array expression is then computed once per field.
-    """
-    if ordinal is None:
-        return F.inline(structs)
-    return F.inline(F.transform(structs, lambda s, i: F.struct(i.alias(ordinal), *[s[f].alias(f) for f in fields])))
-
-
 def lower_contains_any(c: Column, *needles: str) -> Column:
     """True when any of the lower-case needles occurs in the lower-cased text."""
     low = F.lower(c)

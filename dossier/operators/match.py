@@ -10,13 +10,15 @@ from __future__ import annotations
 from collections import OrderedDict
 from uuid import uuid4
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossier.functions.text import normalize_for_matching, split_keywords
-from dossier.session import rows_within
+from dossier.operators.unnest import unnest, unnest_structs
+from dossier.session import rows_within, settled
 
 PATTERNS_PER_SHARD = 100_000
 
@@ -47,20 +49,29 @@ def _scan_udf(shared, once: bool):
     """All occurrences; with ``once`` only the first occurrence of every pattern."""
     token = uuid4().hex
 
-    @F.pandas_udf(T.ArrayType(_HIT))
-    def scan(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.ArrayType(_HIT))
+    def scan(texts: pa.Array) -> pa.Array:
         machine, sizes = _automaton(token, shared)
-
-        def one(text: str | None) -> list[tuple]:
-            found = [(pid, end + 1 - sizes[pid], end + 1) for end, ids in machine.iter(text or "") for pid in ids]
+        pids, stops, ends = [], [], [0]
+        for text in texts.to_pylist():
             if once:
-                first = {}
-                for hit in found:
-                    first.setdefault(hit[0], hit)
-                found = list(first.values())
-            return [{"pid": p, "start": a, "stop": b} for p, a, b in found]
-
-        return texts.map(one)
+                first: dict[int, int] = {}
+                for end, ids in machine.iter(text or ""):
+                    for pid in ids:
+                        first.setdefault(pid, end)
+                pids += first.keys()
+                stops += first.values()
+            else:
+                for end, ids in machine.iter(text or ""):
+                    pids += ids
+                    stops += [end] * len(ids)
+            ends.append(len(pids))
+        stop = np.asarray(stops, dtype=np.int32) + 1
+        width = np.asarray([sizes[p] for p in pids], dtype=np.int32)
+        hits = pa.StructArray.from_arrays(
+            [pa.array(pids, pa.int64()), pa.array(stop - width, pa.int32()), pa.array(stop, pa.int32())], ["pid", "start", "stop"]
+        )
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), hits)
 
     return scan
 
@@ -119,6 +130,12 @@ def scan(df: DataFrame, text: str, patterns: DataFrame, mode: str = "standard",
     return df.withColumn(out, _standard(F.col(out))) if mode == "standard" else df
 
 
+def hit_rows(df: DataFrame, keys: list[str], text: str, patterns: DataFrame, mode: str) -> DataFrame:
+    """The matches of :func:`scan` as rows: (keys, pid, start, stop)."""
+    columns = list(dict.fromkeys([*keys, text]))
+    return unnest_structs(scan(df.select(*columns), text, patterns, mode), keys, "hits", ["pid", "start", "stop"])
+
+
 # --- term dictionary ---------------------------------------------------------------------
 
 
@@ -160,12 +177,12 @@ def term_hits(df: DataFrame, keys: list[str], text: str, patterns: DataFrame, mo
     ``pos`` is the place of the first occurrence, or the load order in contains mode,
     where stems take no part.
     """
-    if mode == "contains":
-        patterns = patterns.where(~F.col("is_stem"))
-    found = scan(df.select(*keys, text), text, patterns, mode).select(*keys, F.explode("hits").alias("h"))
-    place = F.col("pid") if mode == "contains" else F.col("h")["start"]
-    rows = found.withColumn("pid", F.col("h")["pid"]).join(patterns.select("pid", "zh", "en"), "pid").withColumn("pos", place.cast("bigint"))
-    return rows.groupBy(*keys, "zh").agg(F.min("pos").alias("pos"), F.min_by("en", "pos").alias("en"))
+    patterns = settled(patterns.where(~F.col("is_stem")) if mode == "contains" else patterns, PATTERNS_PER_SHARD)
+    found = hit_rows(df, keys, text, patterns, mode)
+    place = F.col("pid") if mode == "contains" else F.col("start")
+    rows = found.join(patterns.select("pid", "zh", "en"), "pid").withColumn("pos", place.cast("bigint"))
+    # a term has one English value, so it can be part of the key and the aggregation stays hashed
+    return rows.groupBy(*keys, "zh", "en").agg(F.min("pos").alias("pos"))
 
 
 def grounded_terms(df: DataFrame, keys: list[str], query: str, context: str, patterns: DataFrame, mode: str = "standard") -> DataFrame:
@@ -175,6 +192,7 @@ def grounded_terms(df: DataFrame, keys: list[str], query: str, context: str, pat
     in the question. A dictionary without stems needs no grounding.
     """
     n_query, n_context = normalize_for_matching(F.col(query)), normalize_for_matching(F.col(context))
+    patterns = settled(patterns, PATTERNS_PER_SHARD)
     texts = df.select(*keys, n_query.alias("__q"), n_context.alias("__c")).withColumn(
         "__all", F.when(F.col("__c") != "", F.concat("__q", F.lit("\n"), "__c")).otherwise(F.col("__q"))
     )
@@ -188,8 +206,8 @@ def grounded_terms(df: DataFrame, keys: list[str], query: str, context: str, pat
 
 def english_hits(df: DataFrame, keys: list[str], text: str, patterns: DataFrame) -> DataFrame:
     """Official terms whose English value occurs in the text, case aside."""
-    low = patterns.where(~F.col("is_stem") & (F.col("en") != "")).select("pid", "zh", "en", F.lower("en").alias("pattern"))
-    found = scan(df.select(*keys, F.lower(text).alias("__t")), "__t", low, "contains").select(*keys, F.explode("hits.pid").alias("pid"))
+    low = settled(patterns.where(~F.col("is_stem") & (F.col("en") != "")).select("pid", "zh", "en", F.lower("en").alias("pattern")), PATTERNS_PER_SHARD)
+    found = hit_rows(df.select(*keys, F.lower(text).alias("__t")), keys, "__t", low, "contains")
     return found.join(low.select("pid", "zh", "en"), "pid").select(*keys, "zh", "en", F.col("pid").alias("pos"))
 
 
@@ -211,9 +229,11 @@ def unit_keywords(units: DataFrame) -> DataFrame:
     units: ord, agency, unit, keywords (one cell), extended (array).
     """
     base = units.select(F.coalesce("agency", F.lit("")).alias("agency"), F.coalesce("unit", F.lit("")).alias("unit"), "ord", "keywords", "extended")
-    own = base.select("agency", "unit", "ord", F.lit(False).alias("extended"), F.posexplode(split_keywords(F.coalesce("keywords", F.lit("")))).alias("k", "keyword"))
-    more = base.select("agency", "unit", "ord", F.lit(True).alias("extended"), F.posexplode("extended").alias("k", "keyword"))
+    cell = split_keywords(F.coalesce("keywords", F.lit("")))
+    own = unnest(base, ["agency", "unit", "ord", F.lit(False).alias("more")], cell, "keyword", "k")
+    more = unnest(base, ["agency", "unit", "ord", F.lit(True).alias("more")], "extended", "keyword", "k")
     rows = own.unionByName(more.withColumn("keyword", F.trim("keyword"))).where(F.coalesce("keyword", F.lit("")) != "")
+    rows = rows.withColumnRenamed("more", "extended")
     # load order as one number: row, own keywords before extended ones, position in the cell
     place = F.col("ord").cast("bigint") * 2**21 + F.col("extended").cast("bigint") * 2**20 + F.col("k")
     return rows.select("agency", "unit", "keyword", "extended", place.alias("place"))
@@ -240,7 +260,7 @@ def intent_patterns(units: DataFrame, aliases: DataFrame | None = None) -> DataF
     words = words.withColumn("pid", F.col("place"))
     if aliases is None:
         return words.select("pid", "pattern", "agency", "unit")
-    owner = lookup_map(words)
+    owner = settled(lookup_map(words), PATTERNS_PER_SHARD)
     std = aliases.select("standard", "alias", "ord").withColumn("n_std", normalize_for_matching(F.col("standard")))
     exact = std.join(owner.select(F.col("pattern").alias("n_std"), F.struct("agency", "unit").alias("o")), "n_std", "left")
     miss = exact.where(F.col("o").isNull()).select("n_std").distinct()
@@ -268,11 +288,11 @@ def containment_first(texts: DataFrame, text: str, owner: DataFrame) -> DataFram
     Two automaton scans, one per direction, instead of a pairwise join.
     """
     pats = owner.select(F.col("ord").alias("pid"), "pattern", F.struct("agency", "unit").alias("o"))
-    inside = scan(texts, text, pats, "contains").select(text, F.explode("hits.pid").alias("pid"))
+    inside = hit_rows(texts, [text], text, pats, "contains").select(text, "pid")
     # ids that do not depend on the order of rows
     tids = texts.where(F.col(text) != "").select(F.xxhash64(text).alias("pid"), F.col(text).alias("pattern"))
-    around = scan(pats.select("pid", "pattern"), "pattern", tids, "contains").select("pid", F.explode("hits.pid").alias("tid"))
-    around = around.join(tids.select(F.col("pid").alias("tid"), F.col("pattern").alias(text)), "tid").select(text, "pid")
+    around = hit_rows(pats.select(F.col("pid").alias("owner"), "pattern"), ["owner"], "pattern", tids, "contains")
+    around = around.select(F.col("owner").alias("pid"), F.col("pid").alias("tid")).join(tids.select(F.col("pid").alias("tid"), F.col("pattern").alias(text)), "tid").select(text, "pid")
     first = inside.unionByName(around).groupBy(text).agg(F.min("pid").alias("pid"))
     return first.join(pats.select("pid", F.col("o").alias("fuzzy")), "pid").select(text, "fuzzy")
 
@@ -282,10 +302,11 @@ def classify(df: DataFrame, keys: list[str], text: str, patterns: DataFrame, top
 
     (keys, agency, unit, keyword, rank)
     """
+    patterns = settled(patterns, PATTERNS_PER_SHARD)
     norm = df.select(*keys, normalize_for_matching(F.col(text)).alias("__t"))
-    found = scan(norm, "__t", patterns, mode).select(*keys, F.explode("hits").alias("h"))
-    place = F.col("pid") if mode == "contains" else F.col("h")["start"].cast("bigint")
-    rows = found.withColumn("pid", F.col("h")["pid"]).join(patterns, "pid").withColumn(
+    found = hit_rows(norm, keys, "__t", patterns, mode)
+    place = F.col("pid") if mode == "contains" else F.col("start").cast("bigint")
+    rows = found.join(patterns, "pid").withColumn(
         "strength", F.struct((-F.length("pattern")).alias("len"), place.alias("place"))
     )
     best = rows.groupBy(*keys, "agency", "unit").agg(F.min(F.struct("strength", "pattern")).alias("b"))

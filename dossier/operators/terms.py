@@ -9,6 +9,7 @@ from dossier.functions.chunks import sliding_chunks, structure_chunks
 from dossier.functions.text import (
     STEM_STOPWORDS, clean_markdown, split_keywords, split_units, strip, trim_suffix, valid_alias_shape, valid_stem,
 )
+from dossier.operators.unnest import unnest
 from dossier.params import MINING_CHUNK_OVERLAP, MINING_CHUNK_SIZE, ChunkParams
 
 MAX_AMBIGUITY = 5
@@ -99,8 +100,8 @@ def first_keywords(units: DataFrame) -> DataFrame:
 
     units: ord, agency, unit, keywords.
     """
-    rows = units.select("ord", strip(F.coalesce("agency", F.lit(""))).alias("agency"), strip(F.coalesce("unit", F.lit(""))).alias("unit"),
-                        F.posexplode(split_keywords(F.coalesce("keywords", F.lit("")))).alias("k", "keyword"))
+    keep = ["ord", strip(F.coalesce("agency", F.lit(""))).alias("agency"), strip(F.coalesce("unit", F.lit(""))).alias("unit")]
+    rows = unnest(units, keep, split_keywords(F.coalesce("keywords", F.lit(""))), "keyword", "k")
     return rows.groupBy("keyword").agg(F.min_by(F.struct("agency", "unit"), F.struct("ord", "k")).alias("o")).select("keyword", "o.agency", "o.unit")
 
 

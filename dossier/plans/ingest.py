@@ -10,6 +10,7 @@ from dossier.functions.modeljson import parse_array
 from dossier.functions.text import sanitize_for_storage, strip, tokens_bytes4
 from dossier.models import ChatModel, Embedder, chat, embed
 from dossier.operators.terms import majority
+from dossier.operators.unnest import unnest
 from dossier.params import DOC_TYPES, ChunkParams
 from dossier.sources import readers
 
@@ -25,8 +26,8 @@ def ingest_records(items: DataFrame, params: ChunkParams = ChunkParams(), tokens
         F.struct(F.lit("question").alias("chunk_source"), F.col("title").alias("t")),
         F.struct(F.lit("answer").alias("chunk_source"), F.col("reply").alias("t")),
     )
-    rows = items.select("item_id", F.explode(sides).alias("s"))
-    rows = rows.select("item_id", "s.chunk_source", F.posexplode(sliding_chunks(F.col("s.t"), params)).alias("chunk_idx", "c"))
+    rows = items.select("item_id", F.inline(sides))
+    rows = unnest(rows, ["item_id", "chunk_source"], sliding_chunks(F.col("t"), params), "c", "chunk_idx")
     rows = rows.withColumn("chunk_text", sanitize_for_storage(F.col("c"))).drop("c")
     return rows.withColumns({"embed_text": placeholder(F.col("chunk_text")), "n_tokens": tokens(F.col("chunk_text"))})
 
@@ -65,9 +66,9 @@ def ingest_totals(masters: DataFrame, items: DataFrame, records: DataFrame) -> D
 
 def extract_nodes(documents: DataFrame, model: ChatModel) -> DataFrame:
     """(doc_id, sort, doc_type, header_path, content): model nodes of every macro chunk, checked."""
-    pieces = documents.select("doc_id", F.posexplode(macro_chunks(F.col("text"))).alias("piece", "c"))
+    pieces = unnest(documents, ["doc_id"], macro_chunks(F.col("text")), "c", "piece")
     asked = pieces.withColumn("m", chat(F.col("c"), model))
-    rows = asked.select("doc_id", "piece", F.posexplode(parse_array(F.col("m.answer"))).alias("n", "r"))
+    rows = unnest(asked, ["doc_id", "piece"], parse_array(F.col("m.answer")), "r", "n")
     get = lambda k: F.coalesce(F.try_element_at("r", F.lit(k)), F.lit(""))
     nodes = rows.select(
         "doc_id", (F.col("piece").cast("bigint") * 2**20 + F.col("n")).alias("sort"), get("doc_type").alias("doc_type"),
@@ -91,7 +92,7 @@ def knowledge_tables(documents: DataFrame, nodes: DataFrame, params: ChunkParams
         node_key().alias("node_id"), "doc_id", sanitize_for_storage(F.col("header_path")).alias("header_path"),
         sanitize_for_storage(F.col("content")).alias("content"), "sort",
     )
-    cut = nodes.select(node_key().alias("node_id"), "header_path", F.posexplode(sliding_chunks(F.col("content"), params)).alias("chunk_idx", "c"))
+    cut = unnest(nodes, [node_key().alias("node_id"), "header_path"], sliding_chunks(F.col("content"), params), "c", "chunk_idx")
     chunk = cut.select("node_id", "chunk_idx", with_header(F.col("header_path"), F.col("c")).alias("chunk_text"))
     chunk = chunk.withColumns({"embed_text": placeholder(F.col("chunk_text")), "n_tokens": tokens_bytes4(F.col("chunk_text"))})
     return {"master": master, "node": node, "chunk": chunk}

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.functions.text import rows_of, strip
+from dossier.functions.text import strip
 from dossier.operators.retrieval import is_active
+from dossier.operators.unnest import unnest, unnest_structs
 
 # Layout classes that carry text.
 LAYOUT_CLASSES = ("plain text", "title", "table", "table_footnote")
@@ -48,15 +49,13 @@ def json_map(spark: SparkSession, path: str) -> DataFrame:
 
 def json_map_rows(df: DataFrame, column: str) -> DataFrame:
     parsed = F.from_json(F.col(column), "map<string,string>")
-    rows = df.select(F.posexplode(F.map_entries(parsed)).alias("ord", "e"))
-    return rows.select(F.col("e")["key"].alias("key"), F.col("e")["value"].alias("value"), "ord")
+    return unnest_structs(df, [], F.map_entries(parsed), ["key", "value"], "ord")
 
 
 def json_list_map_rows(df: DataFrame, column: str) -> DataFrame:
     """(key, value, ord) of a JSON object of string lists."""
     parsed = F.from_json(F.col(column), "map<string,array<string>>")
-    keys = df.select(F.posexplode(F.map_entries(parsed)).alias("k", "e"))
-    rows = keys.select("k", F.col("e")["key"].alias("key"), F.posexplode(F.col("e")["value"]).alias("v", "value"))
+    rows = unnest(unnest_structs(df, [], F.map_entries(parsed), ["key", "value"], "k"), ["k", "key"], "value", "value", "v")
     return rows.select("key", "value", (F.col("k").cast("bigint") * 2**20 + F.col("v")).alias("ord")).where(F.col("value").isNotNull())
 
 
@@ -68,11 +67,11 @@ def layout_blocks(df: DataFrame, key: str, column: str) -> DataFrame:
     """
     element = "struct<classification:string,content:string>"
     top = F.from_json(F.col(column), "struct<DocLayoutFieldList:array<string>>")["DocLayoutFieldList"]
-    pages = df.select(key, F.posexplode(top).alias("p", "raw"))
+    pages = unnest(df, [key], top, "raw", "p")
     as_list = F.from_json("raw", f"array<{element}>")
     as_object = F.from_json("raw", f"struct<elements:array<{element}>>")["elements"]
     elements = F.when(F.col("raw").rlike(r"^\s*\{"), as_object).otherwise(as_list)
-    rows = pages.select(key, "p", rows_of(elements, ["classification", "content"], "order"))
+    rows = unnest_structs(pages, [key, "p"], elements, ["classification", "content"], "order")
     rows = rows.select(key, F.col("classification").alias("type"), strip(F.col("content")).alias("text"), (F.col("p") + 1).alias("page"), "order")
     return rows.where(F.col("type").isin(*LAYOUT_CLASSES) & (F.col("text") != ""))
 
@@ -267,4 +266,4 @@ def golden_items(df: DataFrame, key: str, column: str) -> DataFrame:
         )
         return F.when(F.map_contains_key(r, "question_id"), own).otherwise(inner)
 
-    return df.select(key, rows_of(F.flatten(F.transform(rows, flat)), ["question_id", "question_text"], "ordinal"))
+    return unnest_structs(df, [key], F.flatten(F.transform(rows, flat)), ["question_id", "question_text"], "ordinal")

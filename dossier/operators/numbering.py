@@ -1,0 +1,366 @@
+"""Question numbers from the structure of a Markdown source.
+
+Lines are classified by regular expressions in the JVM; a short scan inside the Arrow
+batch carries the numbering state over the classified lines of a text; candidates, keys
+and id recovery are array expressions on the result. A document stays one row throughout,
+so there is no shuffle. Table questionnaires are parsed with windows over their few
+numbered lines.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from dossier.functions.html import table_cells
+from dossier.functions.text import WS, alnum_key, has_english, lines, strip
+from dossier.operators import ordered as O
+from dossier.operators.unnest import unnest, unnest_structs
+
+# Shapes of numbered lines. (?U) gives the classes their Unicode meaning.
+ROMAN_CHAPTER = r"(?iU)^#{1,6}\s+.*?\b([IVXLCDM]+)[.．]\s"
+NUMBERED_HEADING = r"(?U)^(#{1,6})\s+(\d+(?:(?:[-－]|\.)\d+)*)(?:[.．])?(?=\s|$|[^\d])"
+BOLD_INTEGER = r"(?U)^\*\*(\d+)[.．]\s+(.+?)\*\*$"
+DECIMAL_ITEM = r"(?U)^(?:\|\s*)?(\d+(?:[.．]\d+)+)(?:[.．])?(?=\s|$)"
+TABLE_NUMBER = r"(?U)^\|\s*(?:\*\s*)?\d+[.．](?=\s)"
+LIST_NUMBER = r"(?U)(?<![\w.])(\d+)[.．](?=\s)"
+PARENTHESES = r"(?U)[(（](\d+)[)）]"
+PARENTHESES_FIRST = r"(?U)^(?:\|\s*)?[(（](\d+)[)）]"
+LETTER_HEAD = r"(?iU)^(.*?(?:^|\|)\s*([a-z])\.)(?=\s|\||$|[^\x00-\x7f])"
+IMPLICIT_ITEM = r"(?U)^\|\s*\*\s*(\d+)[.．](?=\s)"
+_ROMANS = "(?:i|ii|iii|iv|v|vi|vii|viii|ix|x)"
+# a roman marker with a text behind it that does not go on in lower case
+_ROMAN_TEXT = rf"(?=([(（]{_ROMANS}[)）]\s*(?-i:[^\s(（a-z]).*))"
+ROMAN_ANYWHERE = rf"(?iU)(?<!\w){_ROMAN_TEXT}"
+ROMAN_NO_REFERENCE = rf"(?iU)(?<!\w)(?<!\b[a-z]\s{{0,64}}){_ROMAN_TEXT}"
+CHAPTER_LINE = rf"(?d)^\*\*(\d+)\.[{WS}]+(.+?)\*\*\z"
+SUBHEADING_LINE = rf"(?d)^\*\*(\d+(?:\.\d+)+)[{WS}]+(.+?)\*\*\z"
+PARENTHESIZED_LINE = rf"(?d)^\*\*(\d+)\)[{WS}]+(.+?)\*\*\z"
+
+STATE = T.StructType(
+    [
+        T.StructField("chapter", T.StringType()), T.StructField("path", T.ArrayType(T.StringType())),
+        T.StructField("levels", T.ArrayType(T.IntegerType())), T.StructField("paren", T.StringType()), T.StructField("letter", T.StringType()),
+    ]
+)
+_SCANNED = T.StructType(
+    [T.StructField("state", STATE), T.StructField("prefix", T.StringType()), T.StructField("implicit", T.StringType())]
+)
+
+
+def _one(c: Column, pattern: str, group: int = 1) -> Column:
+    return F.regexp_extract(c, pattern, group)
+
+
+def _every(c: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
+
+
+def _parts(c: Column, sep: str) -> Column:
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, sep))
+
+
+def classified(raw: Column) -> Column:
+    """What one line says about numbering."""
+    plain = strip(F.regexp_replace(raw, r"[*_`]", ""))
+    in_table = F.when(raw.rlike(TABLE_NUMBER), _every(plain, PARENTHESES)).otherwise(F.array().cast("array<string>"))
+    first = _one(plain, PARENTHESES_FIRST)
+    bold = strip(raw)
+    return F.struct(
+        F.upper(_one(raw, ROMAN_CHAPTER)).alias("chapter"),
+        F.length(_one(plain, NUMBERED_HEADING)).alias("level"),
+        _parts(_one(plain, NUMBERED_HEADING, 2), r"[-－.]").alias("label"),
+        F.when(has_english(_one(bold, BOLD_INTEGER, 2)), _one(bold, BOLD_INTEGER)).otherwise("").alias("bold"),
+        _parts(_one(plain, DECIMAL_ITEM), r"[.．]").alias("decimal"),
+        F.when(F.size(in_table) == 0, _every(plain, LIST_NUMBER)).otherwise(F.array().cast("array<string>")).alias("numbers"),
+        F.when(first != "", first).otherwise(F.coalesce(F.try_element_at(in_table, F.lit(-1)), F.lit(""))).alias("paren"),
+        F.lower(_one(raw, LETTER_HEAD, 2)).alias("letter"),
+        _one(raw, IMPLICIT_ITEM).alias("implicit"),
+    )
+
+
+def _advance(state: tuple, t: dict) -> tuple:
+    """State behind a classified line: (chapter, path, levels, parenthesis, letter)."""
+    chapter, path, levels, paren, letter = state
+    if t["chapter"]:
+        return t["chapter"], [], [], "", ""
+    if t["level"]:
+        outer = [(p, n) for p, n in zip(path, levels) if n < t["level"]]
+        label = list(t["label"])
+        return chapter, [p for p, _ in outer] + label, [n for _, n in outer] + [t["level"]] * len(label), "", ""
+    fixed = [t["bold"]] if t["bold"] else list(t["decimal"])
+    if fixed:
+        return chapter, fixed, [999] * len(fixed), "", ""
+    for number in t["numbers"]:
+        stay = len(path) - 1 if len(path) > 1 else len(path)
+        path, levels, paren, letter = [*path[:stay], number], [*levels[:stay], 999], "", ""
+    if t["paren"]:
+        paren, letter = t["paren"], ""
+    return chapter, path, levels, paren, t["letter"] or letter
+
+
+def _prefix(state: tuple) -> str:
+    return ".".join(p for p in (state[0], *state[1], state[3]) if p)
+
+
+def _scan(tokens, entry) -> list[dict]:
+    state = (entry["chapter"], list(entry["path"]), list(entry["levels"]), entry["paren"], entry["letter"]) if entry is not None else ("", [], [], "", "")
+    marker, base, count, out = "", "", 0, []
+    for t in tokens:
+        before = _prefix(state)
+        state = _advance(state, t)
+        implicit = ""
+        if t["implicit"] != marker:
+            marker, base, count = t["implicit"], before, int(t["implicit"] or 0)
+        if marker and base:
+            implicit, count = f"{base}.{count}", count + 1
+        out.append({"state": dict(zip(STATE.names, state)), "prefix": _prefix(state), "implicit": implicit})
+    return out
+
+
+@F.pandas_udf(T.ArrayType(_SCANNED))
+def scanned(tokens: pd.Series, entry: pd.DataFrame) -> pd.Series:
+    """State behind every classified line of a text, from an entry state on."""
+    entries = entry.to_dict("records")
+    return pd.Series([_scan(t, e if e["chapter"] is not None else None) for t, e in zip(tokens, entries)], dtype="object")
+
+
+def no_state() -> Column:
+    return F.lit(None).cast(STATE)
+
+
+def start_state() -> Column:
+    return F.struct(
+        F.lit("").alias("chapter"), F.array().cast("array<string>").alias("path"), F.array().cast("array<int>").alias("levels"),
+        F.lit("").alias("paren"), F.lit("").alias("letter"),
+    )
+
+
+def prefix_of(state: Column) -> Column:
+    parts = F.concat(F.array(state["chapter"]), state["path"], F.array(state["paren"]))
+    return F.array_join(F.filter(parts, lambda p: p != ""), ".")
+
+
+def segments(df: DataFrame, chunks: str = "chunks") -> DataFrame:
+    """One row per segment: (doc_id, segment, text, entry, scope_reset).
+
+    Chunks are cut at chapter and numbered headings. A segment enters with the state behind
+    its first line; a chunk without such a heading is one segment with the chunk's own state.
+    """
+    opens = lambda x: x.rlike(ROMAN_CHAPTER) | strip(F.regexp_replace(x, r"[*_`]", "")).rlike(NUMBERED_HEADING)
+    per_chunk = F.transform(F.col(chunks), lambda c: lines(c["text"]))
+    df = df.withColumn("__per", per_chunk)
+    flat = F.flatten(
+        F.transform(
+            "__per",
+            lambda ls, c: F.transform(ls, lambda x, i: F.struct(x.alias("raw"), (i == 0).alias("first"), opens(x).alias("open"), c.alias("chunk"))),
+        )
+    )
+    df = df.withColumn("__lines", flat)
+    df = df.withColumn("__tok", F.transform("__lines", lambda x: classified(x["raw"])))
+    df = df.withColumn("__scan", scanned(F.col("__tok"), start_state()))
+    df = df.withColumn("__headed", F.transform("__per", lambda ls: F.exists(ls, opens)))
+    starts = F.filter(
+        F.transform("__lines", lambda x, i: F.when(x["first"] | x["open"], i)), lambda i: i.isNotNull()
+    )
+    df = df.withColumn("__starts", starts)
+    n = F.size("__lines")
+
+    def segment(s: Column, j: Column) -> Column:
+        stop = F.coalesce(F.try_element_at("__starts", j + 2), n)
+        here = F.element_at("__lines", s + 1)
+        headed = F.element_at("__headed", here["chunk"] + 1)
+        own = F.array_join(F.transform(F.slice("__lines", s + 1, stop - s), lambda x: x["raw"]), "\n")
+        before = F.try_element_at("__scan", F.when(s > 0, s).otherwise(n + 1))["state"]
+        return F.struct(
+            F.when(headed, strip(own)).otherwise(F.element_at(F.col(chunks), here["chunk"] + 1)["text"]).alias("text"),
+            F.when(headed, F.element_at("__scan", s + 1)["state"]).otherwise(F.coalesce(before, start_state())).alias("entry"),
+            (headed & strip(F.regexp_replace(here["raw"], r"[*_`]", "")).rlike(NUMBERED_HEADING)).alias("scope_reset"),
+        )
+
+    df = df.withColumn("__seg", F.transform("__starts", segment))
+    rows = unnest_structs(df, ["doc_id"], "__seg", ["text", "entry", "scope_reset"], "segment")
+    return rows.where(strip(F.col("text")) != "")
+
+
+def with_lines(segs: DataFrame) -> DataFrame:
+    """Segments with ``scan``: per line raw text, prefix, letter, sub-items and implicit id."""
+    segs = segs.withColumn("__raw", lines(F.col("text")))
+    segs = segs.withColumn("__tok", F.transform("__raw", classified))
+    segs = segs.withColumn("__scan", scanned(F.col("__tok"), F.col("entry")))
+
+    def line(z: Column) -> Column:
+        raw = z["raw"]
+        head = _one(raw, LETTER_HEAD)
+        rest = F.substr(raw, F.length(head) + 1)
+        inner = F.concat(F.transform(_every(head, ROMAN_ANYWHERE), lambda x: F.concat(x, rest)), _every(rest, ROMAN_NO_REFERENCE))
+        subs = F.when(head != "", inner).otherwise(F.array().cast("array<string>"))
+        return F.struct(
+            raw.alias("raw"), z["s"]["prefix"].alias("prefix"), z["s"]["implicit"].alias("implicit"), z["s"]["state"]["letter"].alias("held_letter"),
+            z["t"]["letter"].alias("letter"),
+            F.transform(subs, lambda x: F.struct(F.lower(_one(x, r"^[(（]([A-Za-z]+)")).alias("roman"), x.alias("text"))).alias("subs"),
+        )
+
+    zipped = F.arrays_zip(F.col("__raw").alias("raw"), F.col("__tok").alias("t"), F.col("__scan").alias("s"))
+    return segs.withColumn("scan", F.transform(zipped, line)).drop("__raw", "__tok", "__scan")
+
+
+def with_candidates(segs: DataFrame) -> DataFrame:
+    """Segments with ``candidates``: ordered array of (source_key, question_id, text, kind, source_line)."""
+
+    def of_line(x: Column, i: Column) -> Column:
+        raw, bare, prefix = x["raw"], strip(x["raw"]), x["prefix"]
+        entry = lambda qid, text, kind: F.struct(qid.alias("question_id"), strip(text).alias("text"), F.lit(kind).alias("kind"), (i + 1).alias("source_line"))
+        none = F.slice(F.array(entry(prefix, raw, "")), 1, 0)
+        letter_id = F.concat(prefix, F.lit("."), x["letter"])
+        letters = F.concat(
+            F.array(entry(letter_id, raw, "letter_item")),
+            F.transform(x["subs"], lambda s: entry(F.concat(letter_id, F.lit("."), s["roman"]), s["text"], "inline_subitem")),
+        )
+        return (
+            F.when(x["implicit"] != "", F.array(entry(x["implicit"], raw, "implicit_list_item")))
+            .when(raw.rlike(rf"^#{{1,6}}[{WS}]"), none)
+            .when(bare.rlike(DECIMAL_ITEM), F.array(entry(prefix, raw, "explicit_item")))
+            .when(bare.rlike(PARENTHESES_FIRST), F.array(entry(prefix, raw, "parent_heading")))
+            .when((x["letter"] != "") & (prefix != ""), letters)
+            .when((prefix != "") & (bare != "") & has_english(raw), F.array(entry(prefix, raw, "parent_requirement")))
+            .otherwise(none)
+        )
+
+    segs = segs.withColumn("__all", F.flatten(F.transform("scan", of_line)))
+    # an inline sub-item id counts once per segment
+    segs = segs.withColumn("__inline", F.transform("__all", lambda c: F.when(c["kind"] == "inline_subitem", c["question_id"]).otherwise("")))
+    usable = F.filter(
+        F.transform("__all", lambda c, i: c.withField("i", i)),
+        lambda c: (c["question_id"] != "") & has_english(c["text"])
+        & ((c["kind"] != "inline_subitem") | (F.array_position("__inline", c["question_id"]) == c["i"] + 1)),
+    )
+    keyed = F.transform(
+        usable,
+        lambda c, i: F.struct(F.format_string("C%03d", i + 1).alias("source_key"), c["question_id"].alias("question_id"),
+                              c["text"].alias("text"), c["kind"].alias("kind"), c["source_line"].alias("source_line")),
+    )
+    return segs.withColumn("candidates", keyed).drop("__all", "__inline")
+
+
+def source_id(scan: Column, text: Column) -> Column:
+    """Id of the source line that carries a question text of at least 24 letters and digits."""
+    key = alnum_key(text)
+
+    def id_of(x: Column) -> Column:
+        own = F.concat(x["prefix"], F.lit("."), x["held_letter"])
+        # a sub-item ends where the next one begins
+        cut = F.transform(
+            x["subs"],
+            lambda s, i: F.struct(s["roman"].alias("r"), alnum_key(F.left(s["text"], F.length(s["text"]) - F.coalesce(F.length(F.try_element_at(x["subs"], i + 2)["text"]), F.lit(0)))).alias("k")),
+        )
+        hit = F.try_element_at(F.filter(cut, lambda s: F.contains(s["k"], key)), F.lit(1))["r"]
+        bare = strip(x["raw"])
+        numbered = bare.rlike(DECIMAL_ITEM) | bare.rlike(PARENTHESES_FIRST)
+        return (
+            F.when(x["prefix"] == "", F.lit(None).cast("string"))
+            .when(x["held_letter"] == "", F.when(numbered, x["prefix"]))
+            .when(hit.isNotNull(), F.concat(own, F.lit("."), hit)).otherwise(own)
+        )
+
+    found = F.filter(F.transform(F.filter(scan, lambda x: F.contains(alnum_key(x["raw"]), key)), id_of), lambda q: q.isNotNull())
+    return F.when(F.length(key) >= 24, F.try_element_at(found, F.lit(1)))
+
+
+def restored_id(qid: Column, entry: Column, scope_reset: Column, from_source: Column) -> Column:
+    """A model's id with the prefix the source proves: by source line, scope or overlap."""
+    prefix = F.filter(F.concat(F.array(entry["chapter"]), entry["path"], F.array(entry["paren"])), lambda p: p != "")
+    parts = F.filter(F.split(qid, r"\."), lambda p: p != "")
+    dotted = lambda *arrays: F.array_join(F.concat(*arrays), ".")
+    tail = lambda arr, k: F.slice(arr, k + 1, F.greatest(F.size(arr) - k, F.lit(0)))
+    n = F.least(F.size(prefix), F.size(parts))
+    overlap = F.coalesce(
+        F.array_max(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: (k <= n) & (F.slice(prefix, F.size(prefix) - k + 1, k) == F.slice(parts, 1, k)))),
+        F.lit(0),
+    )
+    path, inner = entry["path"], tail(parts, F.lit(1))
+    room = F.size(inner) - F.size(path)
+    at = F.array_min(F.filter(F.sequence(F.lit(0), F.greatest(room, F.lit(0))), lambda i: (i <= room) & ((F.size(path) == 0) | (F.slice(inner, i + 1, F.greatest(F.size(path), F.lit(1))) == path))))
+    scoped = F.when(scope_reset & (F.element_at(parts, 1) == entry["chapter"]) & at.isNotNull(),
+                    dotted(F.array(entry["chapter"]), path, tail(inner, at + F.size(path)))).otherwise(qid)
+    chapter_only = (entry["chapter"] != "") & (F.size(path) == 0) & (entry["paren"] == "")
+    return (
+        F.when(F.size(prefix) == 0, qid)
+        .when(from_source.isNotNull(), from_source)
+        .when(F.size(parts) == 0, qid)
+        .when(chapter_only, F.when(F.element_at(parts, 1) != entry["chapter"], dotted(F.array(entry["chapter"]), parts)).otherwise(qid))
+        .when(overlap > 0, dotted(prefix, tail(parts, overlap)))
+        .when((F.size(parts) == 1) & F.element_at(parts, 1).rlike(r"(?U)^\p{L}+\z"), dotted(prefix, parts))
+        .otherwise(scoped)
+    )
+
+
+# --- table of contents -------------------------------------------------------------------
+
+_MARK = r"[*#_`]*"
+_BLANK = r"[\t\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}*#_`]*"
+# Headings of a table of contents, and the links of its lines.
+TOC_TITLES = ("目次", "table of contents", "contents")
+_TITLE = "|".join(_MARK.join(title) for title in TOC_TITLES)
+_LINK_LINE = r".*\]\(#(?:_Toc|toc)[^)]+\).*"
+TOC_BLOCK = rf"(?imd)^{_BLANK}(?:{_TITLE}){_BLANK}(?:\n|\z)(?:{_BLANK}\n|{_LINK_LINE}(?:\n|\z))*(?:{_BLANK}\z)?"
+
+
+def without_toc(c: Column) -> Column:
+    """Text without an explicit table of contents; links elsewhere stay."""
+    return F.regexp_replace(c, TOC_BLOCK, "")
+
+
+def toc_lines_removed(c: Column) -> Column:
+    return F.size(lines(c)) - F.when(without_toc(c) == "", 0).otherwise(F.size(lines(without_toc(c))))
+
+
+# --- table questionnaires ----------------------------------------------------------------
+
+
+def structured_questions(docs: DataFrame, text: str = "text", block: int = O.BLOCK) -> DataFrame:
+    """(doc_id, ord, question_id, question_text) of questionnaires kept in tables.
+
+    Only numbered bold lines and table rows leave the scan. Chapter, sub-heading and main
+    number are carried forward; a document counts with a question table and three items.
+    """
+    rows = unnest(docs, ["doc_id"], lines(F.col(text)), "raw", "n")
+    rows = rows.where(F.col("raw").rlike(rf"^[{WS}]*(?:\*\*\d|\|)"))
+    bare = strip(F.col("raw"))
+    rows = rows.withColumns(
+        {
+            "chapter": _one(bare, CHAPTER_LINE), "sub": _one(bare, SUBHEADING_LINE), "item": _one(bare, PARENTHESIZED_LINE),
+            "item_text": _one(bare, PARENTHESIZED_LINE, 2), "cells": table_cells(F.col("raw")),
+        }
+    )
+    ruled = F.forall("cells", lambda c: ~c.rlike(r"[^\-: ]"))
+    table = (F.size("cells") > 0) & ~ruled
+    rows = rows.withColumn("head", table & F.exists("cells", lambda c: F.contains(F.lower(c), F.lit("detailed questions"))))
+    rows = rows.withColumn("table", table & ~F.col("head")).where("chapter <> '' OR sub <> '' OR item <> '' OR head OR table")
+    place = lambda c: F.when(F.col(c) != "", F.struct("n", F.col(c).alias("v")))
+    rows = O.carry_forward(rows, ["doc_id"], ["n"], {"ch": place("chapter"), "sh": place("sub"), "hd": F.when(F.col("head"), F.col("n"))}, block)
+    under = F.when(F.col("sh.n") > F.coalesce("ch.n", F.lit(-1)), F.col("sh.v"))
+    listed = rows.where((F.col("item") != "") & under.isNotNull()).select(
+        "doc_id", "n", F.lit(0).alias("k"), F.concat(under, F.lit("."), F.col("item")).alias("question_id"), F.col("item_text").alias("question_text")
+    )
+    number = lambda c: c.rlike(r"^\d+\z") | c.rlike(r"^\d+\.\d+\z")
+
+    def behind(i: Column) -> Column:
+        rest = F.slice("cells", i + 2, F.size("cells"))
+        stop = F.coalesce(F.array_min(F.filter(F.transform(rest, lambda c, j: F.when(number(c), j)), lambda j: j.isNotNull())), F.size(rest))
+        return strip(F.array_join(F.slice(rest, 1, stop), " "))
+
+    cells = F.filter(F.transform("cells", lambda c, i: F.struct(c.alias("cell"), behind(i).alias("question_text"), i.alias("k"))), lambda x: number(x["cell"]) & (x["question_text"] != ""))
+    tabled = rows.where("table AND ch IS NOT NULL AND hd IS NOT NULL")
+    tabled = unnest_structs(tabled, ["doc_id", "n", F.col("ch.n").alias("ch_n"), F.col("ch.v").alias("ch")], cells, ["cell", "question_text", "k"])
+    main = F.when(F.col("cell").rlike(r"^\d+\z"), F.struct("n", F.col("cell").alias("v")))
+    tabled = O.carry_forward(tabled, ["doc_id"], ["n", "k"], {"main": main}, block)
+    detail = F.when(F.col("main.n") > F.col("ch_n"), F.concat_ws(".", "ch", "main.v", "cell"))
+    qid = F.when(F.col("cell").rlike(r"^\d+\z"), F.concat_ws(".", "ch", "cell")).otherwise(detail)
+    items = listed.unionByName(tabled.select("doc_id", "n", "k", qid.alias("question_id"), "question_text")).where(F.col("question_id").isNotNull() & (F.col("question_text") != ""))
+    once = items.groupBy("doc_id", "question_id").agg(F.min(F.struct("n", "k", "question_text")).alias("x"))
+    counts = once.groupBy("doc_id").agg(F.count("*").alias("c")).where("c >= 3").join(rows.where("head").select("doc_id").distinct(), "doc_id", "left_semi")
+    kept = once.join(counts.select("doc_id"), "doc_id", "left_semi")
+    return kept.select("doc_id", (F.col("x.n").cast("bigint") * 2**16 + F.col("x.k")).alias("ord"), "question_id", F.col("x.question_text").alias("question_text"))

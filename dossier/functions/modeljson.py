@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dossier.functions.text import WS, strip
+from dossier.functions.text import WS, let, strip
 
 _ROWS = "array<map<string,string>>"
 _ROW = "map<string,string>"
@@ -17,19 +17,20 @@ def strip_fence(c: Column) -> Column:
     return strip(F.regexp_replace(strip(out), rf"[{WS}]*```\z", ""))
 
 
-def _parse(c: Column) -> Column:
+def _parse(text: Column) -> Column:
     """Objects of a JSON array, or of a single object; null unless the whole text is valid."""
-    c = strip(c)
-    array_like = c.rlike(r"(?s)^\[.*\]\z")
-    rows = F.from_json(c, _ROWS, {"mode": "PERMISSIVE"})
-    one = F.from_json(c, _ROW, {"mode": "PERMISSIVE"})
-    # the JSON functions stop reading at the end of the first value, so trailing text is
-    # caught by asking for exactly one value inside brackets of our own
-    whole = F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1
-    return (
-        F.when(array_like & whole, F.filter(F.coalesce(rows, _objects(c)), lambda r: r.isNotNull()))
-        .when(c.rlike(r"(?s)^\{.*\}\z") & whole, F.array(one))
-    )
+
+    def read(c: Column) -> Column:
+        rows = F.from_json(c, _ROWS, {"mode": "PERMISSIVE"})
+        # the JSON functions stop reading at the end of the first value, so trailing text is
+        # caught by asking for exactly one value inside brackets of our own
+        whole = F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1
+        return (
+            F.when(c.startswith("[") & c.endswith("]") & whole, F.filter(F.coalesce(rows, _objects(c)), lambda r: r.isNotNull()))
+            .when(c.startswith("{") & c.endswith("}") & whole, F.array(F.from_json(c, _ROW, {"mode": "PERMISSIVE"})))
+        )
+
+    return let(strip(text), read)
 
 
 def _objects(c: Column) -> Column:
@@ -57,25 +58,31 @@ def repair_array(c: Column) -> Column:
     The whole text, else the text up to the last closed object, else every flat object
     that carries a section id, an id or a title.
     """
-    raw = strip_fence(c)
-    first = F.instr(raw, "[")
-    last = F.length(raw) - F.instr(F.reverse(raw), "}") + 1
-    closed = F.concat(F.substr(raw, first, last - first + 1), F.lit("]"))
-    usable = (first > 0) & F.contains(raw, F.lit("}")) & (last > first)
-    return F.coalesce(
-        _parse(raw),
-        F.when(usable, _parse(closed)),
-        F.filter(_objects(raw), lambda r: _truthy(r, "section_id", "id", "title")),
-        none_rows(),
-    )
+
+    def read(raw: Column) -> Column:
+        first = F.instr(raw, "[")
+        last = F.length(raw) - F.instr(F.reverse(raw), "}") + 1
+        closed = F.concat(F.substr(raw, first, last - first + 1), F.lit("]"))
+        usable = (first > 0) & F.contains(raw, F.lit("}")) & (last > first)
+        return F.coalesce(
+            _parse(raw),
+            F.when(usable, _parse(closed)),
+            F.filter(_objects(raw), lambda r: _truthy(r, "section_id", "id", "title")),
+            none_rows(),
+        )
+
+    return let(strip_fence(c), read)
 
 
 def parse_array(c: Column, greedy: bool = True) -> Column:
     """Whole text, else the first bracketed part, else the fenced part, else empty."""
-    c = strip(c)
-    bracket = F.regexp_extract(c, r"(?s)\[.*\]" if greedy else r"(?s)\[.*?\]", 0)
-    fence = strip(F.regexp_extract(c, rf"(?is)```(?:json)?[{WS}]*(.*?)```", 1))
-    return F.coalesce(_parse(c), _parse(bracket), _parse(fence), none_rows())
+
+    def read(x: Column) -> Column:
+        bracket = F.regexp_extract(x, r"(?s)\[.*\]" if greedy else r"(?s)\[.*?\]", 0)
+        fence = F.regexp_extract(x, rf"(?is)```(?:json)?[{WS}]*(.*?)```", 1)
+        return F.coalesce(_parse(x), _parse(bracket), _parse(fence), none_rows())
+
+    return let(strip(c), read)
 
 
 def parse_term_pairs(c: Column) -> Column:
@@ -111,6 +118,14 @@ def parse_units(c: Column, top_n: int) -> Column:
     return F.slice(F.transform(first, lambda x: x["u"]), 1, top_n)
 
 
+def _rows_and_size(c: Column) -> Column:
+    """Struct(rows, n): objects of an answer that is a JSON array, and its number of entries."""
+    return let(
+        strip_fence(c),
+        lambda raw: F.struct(F.when(raw.startswith("["), _parse(raw)).alias("rows"), F.json_array_length(raw).alias("n")),
+    )
+
+
 # Source kinds a model may return in place of a role.
 ROLE_OF_KIND = {
     "parent_requirement": "continuation",
@@ -128,33 +143,35 @@ def keyed_items(c: Column) -> Column:
 
     A wrong shape makes the whole answer an error, as the caller drops the segment then.
     """
-    raw = strip_fence(c)
-    rows = F.when(raw.rlike(r"(?s)^\["), _parse(raw))
     get = lambda r, k: strip(F.coalesce(F.try_element_at(r, F.lit(k)), F.lit("")))
     has = lambda r, k: F.map_contains_key(r, k)
 
     def role(r: Column) -> Column:
         given = F.lower(strip(F.coalesce(F.try_element_at(r, F.lit("role")), F.lit("question"))))
-        out = given
+        out = F.when(F.lit(False), given)
         for kind, known in ROLE_OF_KIND.items():
-            out = F.when(given == kind, known).otherwise(out)
-        return out
+            out = out.when(given == kind, known)
+        return out.otherwise(given)
+
+    def check(x: Column) -> Column:
+        rows = x["rows"]
+        bad_keys = F.exists(rows, lambda r: ~has(r, "question_text") | ~(has(r, "source_key") | has(r, "question_id")))
+        bad_role = F.exists(rows, lambda r: ~role(r).isin(*ROLES))
+        error = (
+            F.when(rows.isNull() | (F.size(rows) != x["n"]), "answer is not a JSON array of objects")
+            .when(bad_keys, "item without question_text or key")
+            .when(bad_role, "unknown role")
+        )
+        items = F.transform(
+            rows,
+            lambda r: F.struct(
+                get(r, "question_id").alias("question_id"), get(r, "question_text").alias("question_text"),
+                get(r, "source_key").alias("source_key"), role(r).alias("role"),
+            ),
+        )
+        return F.struct(F.when(error.isNull(), items).alias("items"), error.alias("error"))
 
-    items = F.transform(
-        rows,
-        lambda r: F.struct(
-            get(r, "question_id").alias("question_id"), get(r, "question_text").alias("question_text"),
-            get(r, "source_key").alias("source_key"), role(r).alias("role"),
-        ),
-    )
-    bad_keys = F.exists(rows, lambda r: ~has(r, "question_text") | ~(has(r, "source_key") | has(r, "question_id")))
-    bad_role = F.exists(items, lambda i: ~i["role"].isin(*ROLES))
-    error = (
-        F.when(rows.isNull() | (F.size(rows) != F.json_array_length(raw)), "answer is not a JSON array of objects")
-        .when(bad_keys, "item without question_text or key")
-        .when(bad_role, "unknown role")
-    )
-    return F.struct(F.when(error.isNull(), items).alias("items"), error.alias("error"))
+    return let(_rows_and_size(c), check)
 
 
 def plain_items(c: Column, strict: bool) -> Column:
@@ -162,18 +179,17 @@ def plain_items(c: Column, strict: bool) -> Column:
 
     Blank items are dropped. ``strict`` turns a wrong shape into an error, else bad items are skipped.
     """
-    raw = strip_fence(c)
-    rows = F.when(raw.rlike(r"(?s)^\["), _parse(raw))
     get = lambda r, k: strip(F.coalesce(F.try_element_at(r, F.lit(k)), F.lit("")))
-    items = F.transform(
-        rows, lambda r: F.struct(get(r, "question_id").alias("question_id"), get(r, "question_text").alias("question_text"))
-    )
-    kept = F.filter(items, lambda i: (i["question_id"] != "") & (i["question_text"] != ""))
     has = lambda r, k: F.map_contains_key(r, k)
-    error = F.when(rows.isNull(), "answer is not a JSON array")
-    if strict:
-        bad = (F.size(rows) != F.json_array_length(raw)) | F.exists(
-            rows, lambda r: ~has(r, "question_id") | ~has(r, "question_text")
-        )
-        error = error.when(bad, "item without question_id or question_text")
-    return F.struct(F.when(error.isNull(), kept).alias("items"), error.alias("error"))
+
+    def check(x: Column) -> Column:
+        rows = x["rows"]
+        error = F.when(rows.isNull(), "answer is not a JSON array")
+        if strict:
+            bad = (F.size(rows) != x["n"]) | F.exists(rows, lambda r: ~has(r, "question_id") | ~has(r, "question_text"))
+            error = error.when(bad, "item without question_id or question_text")
+        items = F.transform(rows, lambda r: F.struct(get(r, "question_id").alias("question_id"), get(r, "question_text").alias("question_text")))
+        kept = F.filter(items, lambda i: (i["question_id"] != "") & (i["question_text"] != ""))
+        return F.struct(F.when(error.isNull(), kept).alias("items"), error.alias("error"))
+
+    return let(_rows_and_size(c), check)

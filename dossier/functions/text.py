@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,6 +45,15 @@ ALIAS_STOPWORDS = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row however often the body uses it.
+
+    A column expression used several times is otherwise evaluated once per use wherever
+    common subexpressions are not shared, as in conditions and lambda functions.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     """Both-sided trim of every Unicode white space (Spark's trim only takes U+0020)."""
     return F.regexp_replace(c, rf"^[{WS}]+|[{WS}]+\z", "")
@@ -55,10 +66,10 @@ def collapse(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Lines of a text; a final line end does not open another line."""
-    parts = F.split(c, LINE_END)
-    return F.when(
-        (F.element_at(parts, -1) == ""), F.slice(parts, 1, F.size(parts) - 1)
-    ).otherwise(parts)
+    return let(
+        F.split(c, LINE_END),
+        lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts),
+    )
 
 
 def lower_contains_any(c: Column, *needles: str) -> Column:

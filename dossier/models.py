@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from dossier.params import EMBED_BATCH
 
 ChatModel = Callable[[Sequence[str]], Sequence[str]]
+VisionModel = Callable[[Sequence[str], Sequence[Sequence]], Sequence[str]]
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
 
@@ -53,20 +54,36 @@ def embed(df: DataFrame, text: str, model: Embedder, out: str = "embedding", bat
     return df.withColumn(out, run(F.col(text)))
 
 
-def chat(prompt: Column, model: ChatModel) -> Column:
-    """Struct(answer, error): one call per row; a failing call becomes an error, not a failed task."""
+def chat(prompt: Column, model: ChatModel, images: Column | None = None, retries: int = 0) -> Column:
+    """Struct(answer, error): one call per row; a failing call becomes an error, not a failed task.
 
-    @F.pandas_udf(T.StructType([T.StructField("answer", T.StringType()), T.StructField("error", T.StringType())]))
-    def run(prompts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for p in prompts:
+    With ``images`` (array<binary> or array<string>) the model gets (prompts, images). The
+    function counts as non-deterministic so that no plan rewrite calls a model twice.
+    """
+    out = T.StructType([T.StructField("answer", T.StringType()), T.StructField("error", T.StringType())])
+
+    def ask(*inputs) -> tuple:
+        last = None
+        for _ in range(retries + 1):
             try:
-                rows.append((model([p])[0], None))
+                return model(*[[x] for x in inputs])[0], None
             except Exception as exc:  # noqa: BLE001
-                rows.append((None, f"{type(exc).__name__}: {exc}"))
-        return pd.DataFrame(rows, columns=["answer", "error"])
+                last = f"{type(exc).__name__}: {exc}"
+        return None, last
+
+    if images is None:
+
+        @F.pandas_udf(out)
+        def run(prompts: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([ask(p) for p in prompts], columns=["answer", "error"])
 
-    return run(prompt)
+        return run.asNondeterministic()(prompt)
+
+    @F.pandas_udf(out)
+    def see(prompts: pd.Series, shown: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([ask(p, list(i)) for p, i in zip(prompts, shown)], columns=["answer", "error"])
+
+    return see.asNondeterministic()(prompt, images)
 
 
 class EchoItems:
@@ -109,3 +126,18 @@ class EchoAnswer:
             q = m.group(1) if m else p.strip().splitlines()[-1]
             out.append(f"{q}\n---\n{q}")
         return out
+
+
+class ReadPage:
+    """Stand-in page reader: every line of a text page with a leading label is an item."""
+
+    def __call__(self, prompts: Sequence[str], images: Sequence[Sequence]) -> list[str]:
+        import json
+        import re
+
+        out = []
+        for prompt, pages in zip(prompts, images):
+            text = "\n".join(p.decode() if isinstance(p, bytes) else p for p in pages)
+            labels = re.findall(r"(?m)^\s*((?:[A-Z]\.)?\d+(?:\.\d+)*|\([a-z]\))[.)]?\s+(\S.*)$", text)
+            out.append(json.dumps([{"question_id": a, "question_text": b} for a, b in labels], ensure_ascii=False))
+        return out

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,7 +52,7 @@ def merged_by_id(items: DataFrame, keys: list[str], order: str = "ord") -> DataF
     )
 
 
-def merged_continuations(items: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
+def merged_continuations(items: DataFrame, keys: list[str], order: str = "ord", block: int | None = O.BLOCK) -> DataFrame:
     """Continuations join the nearest item of their id in front of them; excluded items go.
 
     items: keys, ord, question_id, question_text, role. Equal ids of questions stay apart.
@@ -61,13 +61,13 @@ def merged_continuations(items: DataFrame, keys: list[str], order: str = "ord")
     group = [*keys, "question_id"]
     head = F.when(F.col("role") != "continuation", F.col(order))
     # place of the entry a row belongs to: its own, or the last question, or the first orphan
-    placed = O.running(kept, group, [order], {"__q": O.Running(head), "__first": O.Running(F.col(order), "min")})
+    placed = O.running(kept, group, [order], {"__q": O.Running(head), "__first": O.Running(F.col(order), "min")}, block)
     placed = placed.withColumn("__entry", F.coalesce("__q", "__first"))
     listed = placed.groupBy(*group, "__entry").agg(F.array_sort(F.collect_list(F.struct(order, "question_text"))).alias("xs"))
     return listed.select(*group, F.col("__entry").alias(order), joined_texts(F.transform("xs", lambda x: x["question_text"])).alias("question_text"))
 
 
-def repaired_hierarchy(items: DataFrame, keys: list[str], order: str = "ord", default_parent: Column | None = None, block: int = O.BLOCK) -> DataFrame:
+def repaired_hierarchy(items: DataFrame, keys: list[str], order: str = "ord", default_parent: Column | None = None, block: int | None = O.BLOCK) -> DataFrame:
     """Bare sub-item labels get the id of their parent: (a) under 1.1 becomes 1.1.a.
 
     A row is a root when its label is no sub-item label, or when no parent is known yet:
@@ -101,12 +101,14 @@ def split_weak_headings(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return flagged.where("not __weak").drop("__weak"), heads.drop("__weak")
 
 
-def aligned_part_ids(items: DataFrame, keys: list[str]) -> DataFrame:
+def aligned_part_ids(items: DataFrame, keys: list[str], block: int | None = O.BLOCK) -> DataFrame:
     """Letter ids become part ids in groups where at least 30% of the ids are part ids."""
+    fixed = lambda many: F.when(many, ids.as_part_id(F.col("question_id"))).otherwise(F.col("question_id"))
+    if block is None:
+        share = F.avg(ids.part_prefixed(F.col("question_id")).cast("int")).over(Window.partitionBy(*keys))
+        return items.withColumn("__part", share >= 0.3).withColumn("question_id", fixed(F.col("__part"))).drop("__part")
     share = items.groupBy(*keys).agg((F.avg(ids.part_prefixed(F.col("question_id")).cast("int")) >= 0.3).alias("__part"))
-    return items.join(share, keys).withColumn(
-        "question_id", F.when(F.col("__part"), ids.as_part_id(F.col("question_id"))).otherwise(F.col("question_id"))
-    ).drop("__part")
+    return items.join(share, keys).withColumn("question_id", fixed(F.col("__part"))).drop("__part")
 
 
 def cleaned(items: DataFrame) -> DataFrame:
@@ -114,11 +116,11 @@ def cleaned(items: DataFrame) -> DataFrame:
     return items.where(~ids.is_false_positive(F.col("question_id"), F.col("question_text")))
 
 
-def canonical_ids(items: DataFrame, keys: list[str], order: str = "ord", block: int = O.BLOCK) -> DataFrame:
+def canonical_ids(items: DataFrame, keys: list[str], order: str = "ord", block: int | None = O.BLOCK) -> DataFrame:
     """Canonicalisation up to the text merge: filter, repair, normalise, align part ids."""
     fixed = repaired_hierarchy(cleaned(items), keys, order, block=block)
     fixed = fixed.withColumn("question_id", ids.normalize_question_id(F.col("question_id"))).where("question_id <> '' AND question_text <> ''")
-    return aligned_part_ids(fixed, keys)
+    return aligned_part_ids(fixed, keys, block)
 
 
 # Phrases that announce a table, as in dossier.functions.ids.

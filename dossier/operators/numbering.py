@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossier.functions.html import table_cells
-from dossier.functions.text import WS, alnum_key, has_english, lines, strip
+from dossier.functions.text import WS, alnum_key, has_english, let, lines, strip
 from dossier.operators import ordered as O
 from dossier.operators.unnest import unnest, unnest_structs
 
@@ -64,21 +64,25 @@ def _parts(c: Column, sep: str) -> Column:
 
 def classified(raw: Column) -> Column:
     """What one line says about numbering."""
-    plain = strip(F.regexp_replace(raw, r"[*_`]", ""))
-    in_table = F.when(raw.rlike(TABLE_NUMBER), _every(plain, PARENTHESES)).otherwise(F.array().cast("array<string>"))
-    first = _one(plain, PARENTHESES_FIRST)
-    bold = strip(raw)
-    return F.struct(
-        F.upper(_one(raw, ROMAN_CHAPTER)).alias("chapter"),
-        F.length(_one(plain, NUMBERED_HEADING)).alias("level"),
-        _parts(_one(plain, NUMBERED_HEADING, 2), r"[-－.]").alias("label"),
-        F.when(has_english(_one(bold, BOLD_INTEGER, 2)), _one(bold, BOLD_INTEGER)).otherwise("").alias("bold"),
-        _parts(_one(plain, DECIMAL_ITEM), r"[.．]").alias("decimal"),
-        F.when(F.size(in_table) == 0, _every(plain, LIST_NUMBER)).otherwise(F.array().cast("array<string>")).alias("numbers"),
-        F.when(first != "", first).otherwise(F.coalesce(F.try_element_at(in_table, F.lit(-1)), F.lit(""))).alias("paren"),
-        F.lower(_one(raw, LETTER_HEAD, 2)).alias("letter"),
-        _one(raw, IMPLICIT_ITEM).alias("implicit"),
-    )
+    none = F.array().cast("array<string>")
+
+    def read(x: Column) -> Column:
+        plain, bare = x["plain"], x["bare"]
+        in_table = F.when(raw.rlike(TABLE_NUMBER), _every(plain, PARENTHESES)).otherwise(none)
+        first = _one(plain, PARENTHESES_FIRST)
+        return F.struct(
+            F.upper(_one(raw, ROMAN_CHAPTER)).alias("chapter"),
+            F.length(_one(plain, NUMBERED_HEADING)).alias("level"),
+            _parts(_one(plain, NUMBERED_HEADING, 2), r"[-－.]").alias("label"),
+            F.when(has_english(_one(bare, BOLD_INTEGER, 2)), _one(bare, BOLD_INTEGER)).otherwise("").alias("bold"),
+            _parts(_one(plain, DECIMAL_ITEM), r"[.．]").alias("decimal"),
+            F.when(F.size(in_table) == 0, _every(plain, LIST_NUMBER)).otherwise(none).alias("numbers"),
+            F.when(first != "", first).otherwise(F.coalesce(F.try_element_at(in_table, F.lit(-1)), F.lit(""))).alias("paren"),
+            F.lower(_one(raw, LETTER_HEAD, 2)).alias("letter"),
+            _one(raw, IMPLICIT_ITEM).alias("implicit"),
+        )
+
+    return let(F.struct(strip(F.regexp_replace(raw, r"[*_`]", "")).alias("plain"), strip(raw).alias("bare")), read)
 
 
 def _advance(state: tuple, t: dict) -> tuple:
@@ -121,14 +125,14 @@ def _scan(tokens, entry) -> list[dict]:
 
 
 @F.pandas_udf(T.ArrayType(_SCANNED))
-def scanned(tokens: pd.Series, entry: pd.DataFrame) -> pd.Series:
+def _scanned(tokens: pd.Series, entry: pd.DataFrame) -> pd.Series:
     """State behind every classified line of a text, from an entry state on."""
     entries = entry.to_dict("records")
     return pd.Series([_scan(t, e if e["chapter"] is not None else None) for t, e in zip(tokens, entries)], dtype="object")
 
 
-def no_state() -> Column:
-    return F.lit(None).cast(STATE)
+# marked non-deterministic so that the plan computes it once, as a column of its own
+scanned = _scanned.asNondeterministic()
 
 
 def start_state() -> Column:
@@ -149,35 +153,31 @@ def segments(df: DataFrame, chunks: str = "chunks") -> DataFrame:
     Chunks are cut at chapter and numbered headings. A segment enters with the state behind
     its first line; a chunk without such a heading is one segment with the chunk's own state.
     """
-    opens = lambda x: x.rlike(ROMAN_CHAPTER) | strip(F.regexp_replace(x, r"[*_`]", "")).rlike(NUMBERED_HEADING)
-    per_chunk = F.transform(F.col(chunks), lambda c: lines(c["text"]))
-    df = df.withColumn("__per", per_chunk)
     flat = F.flatten(
-        F.transform(
-            "__per",
-            lambda ls, c: F.transform(ls, lambda x, i: F.struct(x.alias("raw"), (i == 0).alias("first"), opens(x).alias("open"), c.alias("chunk"))),
-        )
+        F.transform(chunks, lambda c, k: F.transform(lines(c["text"]), lambda x, i: F.struct(x.alias("raw"), (i == 0).alias("first"), (k + 1).alias("chunk"))))
     )
     df = df.withColumn("__lines", flat)
+    # used by the scan and by the cuts, so it stays a column of its own in the plan
     df = df.withColumn("__tok", F.transform("__lines", lambda x: classified(x["raw"])))
     df = df.withColumn("__scan", scanned(F.col("__tok"), start_state()))
-    df = df.withColumn("__headed", F.transform("__per", lambda ls: F.exists(ls, opens)))
-    starts = F.filter(
-        F.transform("__lines", lambda x, i: F.when(x["first"] | x["open"], i)), lambda i: i.isNotNull()
-    )
-    df = df.withColumn("__starts", starts)
     n = F.size("__lines")
+    opens = lambda t: (t["chapter"] != "") | (t["level"] > 0)
+    zipped = F.arrays_zip(F.col("__lines").alias("x"), F.col("__tok").alias("t"))
+    df = df.withColumn("__headed", F.array_distinct(F.transform(F.filter(zipped, lambda z: opens(z["t"])), lambda z: z["x"]["chunk"])))
+    df = df.withColumn(
+        "__starts", F.filter(F.transform(zipped, lambda z, i: F.when(z["x"]["first"] | opens(z["t"]), i)), lambda i: i.isNotNull())
+    )
 
     def segment(s: Column, j: Column) -> Column:
         stop = F.coalesce(F.try_element_at("__starts", j + 2), n)
         here = F.element_at("__lines", s + 1)
-        headed = F.element_at("__headed", here["chunk"] + 1)
+        headed = F.array_contains("__headed", here["chunk"])
         own = F.array_join(F.transform(F.slice("__lines", s + 1, stop - s), lambda x: x["raw"]), "\n")
-        before = F.try_element_at("__scan", F.when(s > 0, s).otherwise(n + 1))["state"]
+        before = F.when(s > 0, F.try_element_at("__scan", F.greatest(s, F.lit(1)))["state"]).otherwise(start_state())
         return F.struct(
-            F.when(headed, strip(own)).otherwise(F.element_at(F.col(chunks), here["chunk"] + 1)["text"]).alias("text"),
-            F.when(headed, F.element_at("__scan", s + 1)["state"]).otherwise(F.coalesce(before, start_state())).alias("entry"),
-            (headed & strip(F.regexp_replace(here["raw"], r"[*_`]", "")).rlike(NUMBERED_HEADING)).alias("scope_reset"),
+            F.when(headed, strip(own)).otherwise(F.element_at(F.col(chunks), here["chunk"])["text"]).alias("text"),
+            F.when(headed, F.element_at("__scan", s + 1)["state"]).otherwise(before).alias("entry"),
+            (headed & (F.element_at("__tok", s + 1)["level"] > 0)).alias("scope_reset"),
         )
 
     df = df.withColumn("__seg", F.transform("__starts", segment))
@@ -320,47 +320,51 @@ def toc_lines_removed(c: Column) -> Column:
 # --- table questionnaires ----------------------------------------------------------------
 
 
-def structured_questions(docs: DataFrame, text: str = "text", block: int = O.BLOCK) -> DataFrame:
+def structured_questions(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, ord, question_id, question_text) of questionnaires kept in tables.
 
     Only numbered bold lines and table rows leave the scan. Chapter, sub-heading and main
-    number are carried forward; a document counts with a question table and three items.
+    number are carried forward inside a document, whose lines came out of one row; a
+    document counts with a question table and at least three items.
     """
     rows = unnest(docs, ["doc_id"], lines(F.col(text)), "raw", "n")
-    rows = rows.where(F.col("raw").rlike(rf"^[{WS}]*(?:\*\*\d|\|)"))
-    bare = strip(F.col("raw"))
-    rows = rows.withColumns(
-        {
-            "chapter": _one(bare, CHAPTER_LINE), "sub": _one(bare, SUBHEADING_LINE), "item": _one(bare, PARENTHESIZED_LINE),
-            "item_text": _one(bare, PARENTHESIZED_LINE, 2), "cells": table_cells(F.col("raw")),
-        }
+    rows = rows.where(F.col("raw").rlike(rf"^[{WS}]*(?:\*\*\d|\|)")).withColumn("bare", strip(F.col("raw")))
+    rows = rows.select(
+        "doc_id", "n", _one(F.col("bare"), CHAPTER_LINE).alias("chapter"), _one(F.col("bare"), SUBHEADING_LINE).alias("sub"),
+        _one(F.col("bare"), PARENTHESIZED_LINE).alias("item"), _one(F.col("bare"), PARENTHESIZED_LINE, 2).alias("item_text"), table_cells(F.col("raw")).alias("cells"),
     )
     ruled = F.forall("cells", lambda c: ~c.rlike(r"[^\-: ]"))
-    table = (F.size("cells") > 0) & ~ruled
-    rows = rows.withColumn("head", table & F.exists("cells", lambda c: F.contains(F.lower(c), F.lit("detailed questions"))))
-    rows = rows.withColumn("table", table & ~F.col("head")).where("chapter <> '' OR sub <> '' OR item <> '' OR head OR table")
+    rows = rows.withColumn("cells", F.when(ruled, F.slice("cells", 1, 0)).otherwise(F.col("cells")))
+    rows = rows.withColumn("head", F.exists("cells", lambda c: F.contains(F.lower(c), F.lit("detailed questions"))))
+    rows = rows.where("chapter <> '' OR sub <> '' OR item <> '' OR size(cells) > 0")
     place = lambda c: F.when(F.col(c) != "", F.struct("n", F.col(c).alias("v")))
-    rows = O.carry_forward(rows, ["doc_id"], ["n"], {"ch": place("chapter"), "sh": place("sub"), "hd": F.when(F.col("head"), F.col("n"))}, block)
-    under = F.when(F.col("sh.n") > F.coalesce("ch.n", F.lit(-1)), F.col("sh.v"))
-    listed = rows.where((F.col("item") != "") & under.isNotNull()).select(
-        "doc_id", "n", F.lit(0).alias("k"), F.concat(under, F.lit("."), F.col("item")).alias("question_id"), F.col("item_text").alias("question_text")
-    )
-    number = lambda c: c.rlike(r"^\d+\z") | c.rlike(r"^\d+\.\d+\z")
+    rows = O.carry_forward(rows, ["doc_id"], ["n"], {"ch": place("chapter"), "sh": place("sub"), "hd": F.when(F.col("head"), F.col("n"))}, block=None)
+    rows = rows.withColumn("under", F.when(F.col("sh.n") > F.coalesce("ch.n", F.lit(-1)), F.col("sh.v")))
+    number = lambda c: c.rlike(r"^\d+(?:\.\d+)?\z")
 
     def behind(i: Column) -> Column:
         rest = F.slice("cells", i + 2, F.size("cells"))
         stop = F.coalesce(F.array_min(F.filter(F.transform(rest, lambda c, j: F.when(number(c), j)), lambda j: j.isNotNull())), F.size(rest))
         return strip(F.array_join(F.slice(rest, 1, stop), " "))
 
-    cells = F.filter(F.transform("cells", lambda c, i: F.struct(c.alias("cell"), behind(i).alias("question_text"), i.alias("k"))), lambda x: number(x["cell"]) & (x["question_text"] != ""))
-    tabled = rows.where("table AND ch IS NOT NULL AND hd IS NOT NULL")
-    tabled = unnest_structs(tabled, ["doc_id", "n", F.col("ch.n").alias("ch_n"), F.col("ch.v").alias("ch")], cells, ["cell", "question_text", "k"])
+    entry = lambda k, cell, qid, body: F.struct(k.alias("k"), cell.alias("cell"), qid.alias("qid"), body.alias("question_text"))
+    numbered = F.transform("cells", lambda c, i: F.when(number(c), entry(i, c, F.lit(None).cast("string"), behind(i))))
+    listed = F.array(entry(F.lit(0), F.lit(""), F.concat("under", F.lit("."), "item"), F.col("item_text")))
+    entries = (
+        F.when((F.col("item") != "") & F.col("under").isNotNull(), listed)
+        .when(F.col("ch").isNotNull() & F.col("hd").isNotNull() & ~F.col("head"), numbered)
+    )
+    kept = F.filter(entries, lambda e: e.isNotNull() & (e["question_text"] != ""))
+    # a document without entries in a line still tells whether it has a question table
+    cells = unnest_structs(rows.withColumn("e", kept), ["doc_id", "n", F.col("ch.n").alias("ch_n"), F.col("ch.v").alias("ch")], "e", ["k", "cell", "qid", "question_text"], "j")
     main = F.when(F.col("cell").rlike(r"^\d+\z"), F.struct("n", F.col("cell").alias("v")))
-    tabled = O.carry_forward(tabled, ["doc_id"], ["n", "k"], {"main": main}, block)
+    cells = O.carry_forward(cells, ["doc_id"], ["n", "k"], {"main": main}, block=None)
     detail = F.when(F.col("main.n") > F.col("ch_n"), F.concat_ws(".", "ch", "main.v", "cell"))
-    qid = F.when(F.col("cell").rlike(r"^\d+\z"), F.concat_ws(".", "ch", "cell")).otherwise(detail)
-    items = listed.unionByName(tabled.select("doc_id", "n", "k", qid.alias("question_id"), "question_text")).where(F.col("question_id").isNotNull() & (F.col("question_text") != ""))
-    once = items.groupBy("doc_id", "question_id").agg(F.min(F.struct("n", "k", "question_text")).alias("x"))
-    counts = once.groupBy("doc_id").agg(F.count("*").alias("c")).where("c >= 3").join(rows.where("head").select("doc_id").distinct(), "doc_id", "left_semi")
-    kept = once.join(counts.select("doc_id"), "doc_id", "left_semi")
-    return kept.select("doc_id", (F.col("x.n").cast("bigint") * 2**16 + F.col("x.k")).alias("ord"), "question_id", F.col("x.question_text").alias("question_text"))
+    qid = F.coalesce("qid", F.when(F.col("cell").rlike(r"^\d+\z"), F.concat_ws(".", "ch", "cell")).otherwise(detail))
+    once = cells.withColumn("question_id", qid).where(F.col("question_id").isNotNull())
+    once = once.groupBy("doc_id", "question_id").agg(F.min(F.struct("n", "k", "question_text")).alias("x"))
+    # documents with a question table are found by a scan of their own that ships only keys
+    tables = docs.where(F.col(text).rlike(r"(?imd)^[\t ]*\|.*detailed questions")).select("doc_id")
+    enough = once.groupBy("doc_id").agg(F.count("*").alias("c")).where("c >= 3").join(tables, "doc_id", "left_semi")
+    done = once.join(enough.select("doc_id"), "doc_id", "left_semi")
+    return done.select("doc_id", (F.col("x.n").cast("bigint") * 2**16 + F.col("x.k")).alias("ord"), "question_id", F.col("x.question_text").alias("question_text"))

@@ -4,6 +4,9 @@ A plain window sends a whole group to one task. Here a group is cut into blocks
 order column first: the window runs inside (group, block), every block is reduced to one
 summary row with map-side partial aggregation, and only those summaries are scanned per
 group. A group of n rows puts n / block rows into its largest task instead of n.
+
+``block=None`` asks for the plain window. It is for groups that came out of one source row
+(the lines of a document, the items of an answer), which that row already bounds.
 """
 
 from __future__ import annotations
@@ -32,10 +35,20 @@ class Running:
 _AGGS = {"max": F.max, "min": F.min, "sum": F.sum, "count": F.count}
 
 
+def _over(spec: Running, value: Column, group: list[str], order: list[str]) -> Column:
+    by = [F.col(c).desc() if spec.backward else F.col(c).asc() for c in order]
+    last = -1 if spec.exclusive else 0
+    return _AGGS[spec.agg](value).over(Window.partitionBy(*group).orderBy(*by).rowsBetween(Window.unboundedPreceding, last))
+
+
 def running(
-    df: DataFrame, keys: list[str], order: list[str], outputs: dict[str, Running], block: int = BLOCK
+    df: DataFrame, keys: list[str], order: list[str], outputs: dict[str, Running], block: int | None = BLOCK
 ) -> DataFrame:
     """Add one column per output. ``order[0]`` is an integer column, keys are not null."""
+    if block is None:
+        for name, spec in outputs.items():
+            df = df.withColumn(name, _over(spec, spec.value, keys, order))
+        return df
     df = df.withColumn("__blk", F.floor(F.col(order[0]) / F.lit(block)))
     for name, spec in outputs.items():
         df = df.withColumn(f"__v_{name}", spec.value)
@@ -43,15 +56,8 @@ def running(
     summary = df.groupBy(*group).agg(*[_AGGS[s.agg](f"__v_{n}").alias(f"__s_{n}") for n, s in outputs.items()])
     inner = df
     for name, spec in outputs.items():
-        by = [F.col(c).desc() if spec.backward else F.col(c).asc() for c in order]
         blk = F.col("__blk").desc() if spec.backward else F.col("__blk").asc()
-        last = -1 if spec.exclusive else 0
-        inner = inner.withColumn(
-            f"__i_{name}",
-            _AGGS[spec.agg](f"__v_{name}").over(
-                Window.partitionBy(*group).orderBy(*by).rowsBetween(Window.unboundedPreceding, last)
-            ),
-        )
+        inner = inner.withColumn(f"__i_{name}", _over(spec, F.col(f"__v_{name}"), group, order))
         carry = F.sum if spec.agg in ("sum", "count") else _AGGS[spec.agg]
         summary = summary.withColumn(
             f"__c_{name}",
@@ -76,21 +82,21 @@ def _tagged(order: list[str], value: Column) -> Column:
     return F.when(value.isNotNull(), F.struct(*[F.col(c) for c in order], value.alias("v")))
 
 
-def carry_forward(df, keys, order, outputs: dict[str, Column], block: int = BLOCK) -> DataFrame:
+def carry_forward(df, keys, order, outputs: dict[str, Column], block: int | None = BLOCK) -> DataFrame:
     """Last non-null value at or before each row."""
     specs = {n: Running(_tagged(order, v)) for n, v in outputs.items()}
     out = running(df, keys, order, specs, block)
     return out.withColumns({n: F.col(n)["v"] for n in outputs})
 
 
-def previous(df, keys, order, outputs: dict[str, Column], block: int = BLOCK) -> DataFrame:
+def previous(df, keys, order, outputs: dict[str, Column], block: int | None = BLOCK) -> DataFrame:
     """Value of the row in front (a value that may itself be null comes back as null)."""
     specs = {n: Running(F.struct(*[F.col(c) for c in order], v.alias("v")), exclusive=True) for n, v in outputs.items()}
     out = running(df, keys, order, specs, block)
     return out.withColumns({n: F.col(n)["v"] for n in outputs})
 
 
-def following(df, keys, order, outputs: dict[str, Column], block: int = BLOCK) -> DataFrame:
+def following(df, keys, order, outputs: dict[str, Column], block: int | None = BLOCK) -> DataFrame:
     """Value of the next row."""
     specs = {
         n: Running(F.struct(*[F.col(c) for c in order], v.alias("v")), agg="min", exclusive=True, backward=True)
@@ -100,7 +106,7 @@ def following(df, keys, order, outputs: dict[str, Column], block: int = BLOCK) -
     return out.withColumns({n: F.col(n)["v"] for n in outputs})
 
 
-def row_index(df, keys, order, name: str = "row_index", block: int = BLOCK) -> DataFrame:
+def row_index(df, keys, order, name: str = "row_index", block: int | None = BLOCK) -> DataFrame:
     """0-based position inside the group."""
     out = running(df, keys, order, {name: Running(F.lit(1), agg="count")}, block)
     return out.withColumn(name, F.col(name) - 1)
@@ -108,7 +114,7 @@ def row_index(df, keys, order, name: str = "row_index", block: int = BLOCK) -> D
 
 def as_of(
     left: DataFrame, right: DataFrame, keys: list[str], left_pos: str, right_pos: str, right_tie: str,
-    outputs: list[str], block: int = BLOCK,
+    outputs: list[str], block: int | None = BLOCK,
 ) -> DataFrame:
     """Backward as-of join: the last right row at or before each left row, by (pos, tie).
 

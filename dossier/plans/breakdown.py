@@ -7,7 +7,7 @@ them is DataFrame work. A failed call is a row with an error, never a failed job
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions import modeljson as J
@@ -164,7 +164,7 @@ def reviewed(items: DataFrame, model: ChatModel, keep_when_empty: bool) -> DataF
 
 
 def breakdown_v2(docs: DataFrame, model: ChatModel, outline_model: ChatModel | None = None, review_model: ChatModel | None = None,
-                 limit: int = BLOCK_LIMIT, normalize: bool = True) -> dict[str, DataFrame]:
+                 limit: int = BLOCK_LIMIT, normalize: bool = True, keep: bool = False) -> dict[str, DataFrame]:
     """items and failures of the outline-driven engine; one retry per block."""
     ready = prepared(docs, normalize)
     fields = ["text", "start", "stop", "heading"]
@@ -175,16 +175,17 @@ def breakdown_v2(docs: DataFrame, model: ChatModel, outline_model: ChatModel | N
     placed = L.chunk_paths(blocks, nodes)
     asked = placed.withColumn("m", chat(path_prompt(F.col("path"), F.col("title"), _markdown(F.col("text"))), model, retries=1))
     asked = asked.withColumn("p", J.plain_items(F.col("m.answer"), strict=True)).withColumn("error", F.coalesce("m.error", "p.error"))
+    if keep:
+        asked = checkpoint(asked)
     rows = unnest_structs(asked, ["doc_id", "chunk_idx"], "p.items", ["question_id", "question_text"], "k")
     rows = rows.select("doc_id", (F.col("chunk_idx").cast("bigint") * _FAR + F.col("k")).alias("ord"), "question_id", "question_text")
     items = I.merged_by_id(rows, ["doc_id"])
     if review_model is not None:
         checked = reviewed(items, review_model, keep_when_empty=False)
-        several = checked.groupBy("doc_id").agg((F.max("batch") > 0).alias("many"))
-        checked = checked.join(several, "doc_id").drop("batch")
-        items = I.merged_by_id(checked.where("many").drop("many"), ["doc_id"]).unionByName(
-            checked.where("not many").select("doc_id", "question_id", "ord", "question_text")
-        )
+        # ids are merged again only where there was more than one batch; one pass over the answers
+        many = F.max("batch").over(Window.partitionBy("doc_id")) > 0
+        checked = checked.withColumn("own", F.when(many, F.lit(-1)).otherwise(F.col("ord"))).drop("batch")
+        items = I.merged_by_id(checked, ["doc_id", "own"]).drop("own")
     failures = asked.where(F.col("error").isNotNull()).select("doc_id", F.col("chunk_idx").alias("segment"), "text", "error")
     return {"items": items.select("doc_id", "ord", "question_id", "question_text"), "failures": failures}
 

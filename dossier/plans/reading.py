@@ -26,6 +26,7 @@ from dossier.operators import outline as L
 from dossier.operators.unnest import unnest_structs
 from dossier.params import VERIFY_BATCH
 from dossier.plans.breakdown import SAMPLE_PAGES
+from dossier.session import checkpoint
 
 _PLACES = {"top": 0, "middle": 1, "bottom": 2}
 ROWS = (
@@ -278,7 +279,8 @@ def final_sections(read: DataFrame, items: DataFrame, review_model: ChatModel |
 def breakdown_reading(pages: DataFrame, model: VisionModel, outline_model: VisionModel | None = None, review_model: ChatModel | None = None) -> DataFrame:
     """The whole sequential engine: pages in, sections with questions out."""
     outline = outline_answers(pages, outline_model) if outline_model is not None else None
-    read = read_pages(pages, model, outline)
+    # read twice below and made of model calls, so it is settled once in the shared folder
+    read = checkpoint(read_pages(pages, model, outline))
     return final_sections(read, page_items(read), review_model)
 
 

@@ -6,7 +6,6 @@ same length. It runs inside Arrow batches on the workers.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -32,12 +31,13 @@ class HashingEmbedder:
         return [self._one(t) for t in texts]
 
     def _one(self, text: str) -> np.ndarray:
-        v = np.zeros(self.dim, dtype=np.float32)
-        for i in range(max(1, len(text) - 2)):
-            h = hashlib.blake2b(text[i:i + 3].encode(), digest_size=8).digest()
-            v[int.from_bytes(h[:4], "little") % self.dim] += 1.0 if h[4] & 1 else -1.0
+        code = np.frombuffer(text.ljust(3).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+        mixed = code[:-2] * np.uint64(0x9E3779B1) + code[1:-1] * np.uint64(0x85EBCA77) + code[2:] * np.uint64(0xC2B2AE3D)
+        mixed ^= mixed >> np.uint64(15)
+        sign = np.where(mixed & np.uint64(1 << 20), 1.0, -1.0)
+        v = np.bincount((mixed % np.uint64(self.dim)).astype(np.int64), weights=sign, minlength=self.dim)
         norm = float(np.linalg.norm(v))
-        return v / norm if norm else v
+        return (v / norm if norm else v).astype(np.float32)
 
 
 def embed(df: DataFrame, text: str, model: Embedder, out: str = "embedding", batch: int = EMBED_BATCH) -> DataFrame:

@@ -198,7 +198,7 @@ def with_lines(segs: DataFrame) -> DataFrame:
         inner = F.concat(F.transform(_every(head, ROMAN_ANYWHERE), lambda x: F.concat(x, rest)), _every(rest, ROMAN_NO_REFERENCE))
         subs = F.when(head != "", inner).otherwise(F.array().cast("array<string>"))
         return F.struct(
-            raw.alias("raw"), z["s"]["prefix"].alias("prefix"), z["s"]["implicit"].alias("implicit"), z["s"]["state"]["letter"].alias("held_letter"),
+            raw.alias("raw"), alnum_key(raw).alias("key"), z["s"]["prefix"].alias("prefix"), z["s"]["implicit"].alias("implicit"), z["s"]["state"]["letter"].alias("held_letter"),
             z["t"]["letter"].alias("letter"),
             F.transform(subs, lambda x: F.struct(F.lower(_one(x, r"^[(（]([A-Za-z]+)")).alias("roman"), x.alias("text"))).alias("subs"),
         )
@@ -247,9 +247,12 @@ def with_candidates(segs: DataFrame) -> DataFrame:
 
 def source_id(scan: Column, text: Column) -> Column:
     """Id of the source line that carries a question text of at least 24 letters and digits."""
-    key = alnum_key(text)
+    def found_in(key: Column) -> Column:
+        lines_ = F.filter(scan, lambda x: F.contains(x["key"], key))
+        hits = F.filter(F.transform(lines_, lambda x: id_of(x, key)), lambda q: q.isNotNull())
+        return F.when(F.length(key) >= 24, F.try_element_at(hits, F.lit(1)))
 
-    def id_of(x: Column) -> Column:
+    def id_of(x: Column, key: Column) -> Column:
         own = F.concat(x["prefix"], F.lit("."), x["held_letter"])
         # a sub-item ends where the next one begins
         cut = F.transform(
@@ -265,8 +268,7 @@ def source_id(scan: Column, text: Column) -> Column:
             .when(hit.isNotNull(), F.concat(own, F.lit("."), hit)).otherwise(own)
         )
 
-    found = F.filter(F.transform(F.filter(scan, lambda x: F.contains(alnum_key(x["raw"]), key)), id_of), lambda q: q.isNotNull())
-    return F.when(F.length(key) >= 24, F.try_element_at(found, F.lit(1)))
+    return let(alnum_key(text), found_in)
 
 
 def restored_id(qid: Column, entry: Column, scope_reset: Column, from_source: Column) -> Column:

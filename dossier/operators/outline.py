@@ -91,16 +91,16 @@ def chunk_paths(chunks: DataFrame, nodes: DataFrame, doc: str = "doc_id", block:
     """
     reach = O.running(nodes, [doc], ["ord"], {"__reach": O.Running(F.col("pos"))}, block)
     out = O.as_of(chunks, reach, [doc], "start", "__reach", "ord", ["path", "title"], block)
-    out = _or_first(out, nodes, doc, F.col("ord"), ["path", "title"])
     out = O.previous(out, [doc], ["chunk_idx"], {"__prev": F.col("heading")}, block)
-    has_nodes = nodes.select(doc).distinct().withColumn("__has", F.lit(True))
-    out = out.join(has_nodes, doc, "left")
+    first = nodes.groupBy(doc).agg(F.min_by(F.struct("path", "title"), "ord").alias("__first"))
+    out = out.join(first, doc, "left")
+    known = F.col("__first").isNotNull()
     return out.withColumns(
         {
-            "path": F.coalesce(F.when(F.col("__has"), F.col("path")).otherwise(F.col("__prev")), F.lit("")),
-            "title": F.coalesce(F.when(F.col("__has"), F.col("title")), F.lit("")),
+            "path": F.coalesce("path", "__first.path", F.when(~known, F.col("__prev")), F.lit("")),
+            "title": F.coalesce("title", "__first.title", F.lit("")),
         }
-    ).drop("__prev", "__has")
+    ).drop("__prev", "__first")
 
 
 def _or_first(out: DataFrame, nodes: DataFrame, doc: str, order: Column, columns: list[str]) -> DataFrame:

@@ -150,7 +150,7 @@ def reviewed(items: DataFrame, model: ChatModel, keep_when_empty: bool) -> DataF
 
     items: doc_id, ord, question_id, question_text. Returns (doc_id, batches, ord, ...).
     """
-    numbered = L.verification_batches(items, ["doc_id"], ["ord"], VERIFY_BATCH)
+    numbered = L.verification_batches(items, ["doc_id"], ["ord"], VERIFY_BATCH, block=None)
     # at most VERIFY_BATCH rows per group by construction
     groups = numbered.groupBy("doc_id", "batch").agg(F.array_sort(F.collect_list(F.struct("ord", "question_id", "question_text"))).alias("xs"))
     own = F.transform("xs", lambda x: F.struct(x["question_id"].alias("question_id"), x["question_text"].alias("question_text")))
@@ -171,8 +171,9 @@ def breakdown_v2(docs: DataFrame, model: ChatModel, outline_model: ChatModel | N
     cut = semantic_chunks(ready, "text", limit=limit)
     blocks = unnest_structs(cut, ["doc_id"], "chunks", fields, "chunk_idx")
     empty = docs.sparkSession.createDataFrame([], "doc_id bigint, ord bigint, pos bigint, path string, title string")
-    nodes = skeleton(cut.where(F.size("chunks") > 1).select("doc_id", "text"), outline_model) if outline_model else empty
-    placed = L.chunk_paths(blocks, nodes)
+    # outline answers are used twice in the as-of join below
+    nodes = checkpoint(skeleton(cut.where(F.size("chunks") > 1).select("doc_id", "text"), outline_model)) if outline_model else empty
+    placed = L.chunk_paths(blocks, nodes, block=None)
     asked = placed.withColumn("m", chat(path_prompt(F.col("path"), F.col("title"), _markdown(F.col("text"))), model, retries=1))
     asked = asked.withColumn("p", J.plain_items(F.col("m.answer"), strict=True)).withColumn("error", F.coalesce("m.error", "p.error"))
     if keep:
@@ -208,7 +209,7 @@ def page_skeleton(pages: DataFrame, model: VisionModel) -> DataFrame:
 def breakdown_pages(pages: DataFrame, model: VisionModel, outline_model: VisionModel | None = None, review_model: ChatModel | None = None) -> dict[str, DataFrame]:
     """items and failures of the page engine; pages: doc_id, page, image."""
     empty = pages.sparkSession.createDataFrame([], "doc_id bigint, ord bigint, page int, path string")
-    nodes = page_skeleton(pages, outline_model) if outline_model else empty
+    nodes = checkpoint(page_skeleton(pages, outline_model)) if outline_model else empty
     placed = L.page_paths(pages, nodes).withColumn("path", F.coalesce("path", F.lit("")))
     prompt = path_prompt(F.col("path"), F.lit(""), F.concat(F.lit("Questions of page "), F.col("page").cast("string"), F.lit(".")))
     asked = placed.withColumn("m", chat(prompt, model, F.array("image"))).withColumn("p", J.plain_items(F.col("m.answer"), strict=False))

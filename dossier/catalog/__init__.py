@@ -7,6 +7,8 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dossier.session import ship_package
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -39,7 +41,11 @@ def query(name: str, sql: str | None = None):
     """Register ``fn(tables)`` under ``name``, with its oracle when there is one."""
 
     def register(fn):
-        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(Tables(spark, sf_dir))
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,23 @@ def local_session(app: str = "dossier", cores: str = "*", shuffle_partitions: in
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable on the workers of a session that was started elsewhere."""
+    context = spark.sparkContext
+    if getattr(context, "_dossier_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="dossier-pkg-"), "dossier.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(target)
+    context._dossier_shipped = True
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage in the shared folder the cluster names in ``spark.checkpoint.dir``.
 

@@ -175,7 +175,7 @@ def grounded_pairs(t):
     d = t.documents.select("doc_id", F.col("text").alias("zh_text"), F.col("text").alias("en_text"), c.alias("c"))
     zh = F.try_element_at(F.split("c", " "), (F.col("doc_id") % 5 + 1).cast("int"))
     en = F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("zh"), F.lit("QQ"))).otherwise(F.translate(F.substring("c", 3, 4), "aeinrst", "AEINRST"))
-    terms = d.withColumn("zh", zh).withColumn("en", en).select("doc_id", "zh", "en")
+    terms = d.select("doc_id", "c").withColumn("zh", zh).withColumn("en", en).select("doc_id", "zh", "en")
     return M.grounded_pairs(terms, d, "doc_id")
 
 

@@ -275,6 +275,11 @@ def restored_id(qid: Column, entry: Column, scope_reset: Column, from_source: Co
     """A model's id with the prefix the source proves: by source line, scope or overlap."""
     prefix = F.filter(F.concat(F.array(entry["chapter"]), entry["path"], F.array(entry["paren"])), lambda p: p != "")
     parts = F.filter(F.split(qid, r"\."), lambda p: p != "")
+    known = F.struct(prefix.alias("prefix"), parts.alias("parts"), qid.alias("qid"), from_source.alias("source"))
+    return let(known, lambda k: _restored(k["qid"], entry, scope_reset, k["source"], k["prefix"], k["parts"]))
+
+
+def _restored(qid: Column, entry: Column, scope_reset: Column, from_source: Column, prefix: Column, parts: Column) -> Column:
     dotted = lambda *arrays: F.array_join(F.concat(*arrays), ".")
     tail = lambda arr, k: F.slice(arr, k + 1, F.greatest(F.size(arr) - k, F.lit(0)))
     n = F.least(F.size(prefix), F.size(parts))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions.chunks import sliding_chunks, structure_chunks
 from dossier.functions.text import (
-    STEM_STOPWORDS, clean_markdown, split_keywords, split_units, strip, trim_suffix, valid_alias_shape, valid_stem,
+    STEM_STOPWORDS, clean_markdown, let, split_keywords, split_units, strip, trim_suffix, valid_alias_shape, valid_stem,
 )
 from dossier.operators.unnest import unnest
 from dossier.params import MINING_CHUNK_OVERLAP, MINING_CHUNK_SIZE, ChunkParams
@@ -18,12 +18,16 @@ MIN_BLOCKS = 5
 
 def align(left: Column, right: Column) -> Column:
     """``array<struct<i,a,b>>``: two lists matched by relative position; empty when a side is empty."""
-    n = F.greatest(F.size(left), F.size(right))
-    at = lambda arr, i: F.element_at(arr, F.floor(i * F.size(arr) / n).cast("int") + 1)
-    pairs = F.transform(
-        F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("i"), at(left, i).alias("a"), at(right, i).alias("b"))
-    )
-    return F.when((F.size(left) > 0) & (F.size(right) > 0), pairs)
+
+    def paired(s: Column) -> Column:
+        l, r = s["l"], s["r"]
+        n = F.greatest(F.size(l), F.size(r))
+        at = lambda arr, i: F.element_at(arr, F.floor(i * F.size(arr) / n).cast("int") + 1)
+        pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("i"), at(l, i).alias("a"), at(r, i).alias("b")))
+        return F.when((F.size(l) > 0) & (F.size(r) > 0), pairs)
+
+    # both lists are usually computed, and every pair looks into them
+    return let(F.struct(left.alias("l"), right.alias("r")), paired)
 
 
 def mining_chunks(text: Column, blocks: Column | None, use_blocks: Column | None = None) -> Column:

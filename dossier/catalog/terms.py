@@ -171,11 +171,14 @@ def align_chunks(t):
     SELECT doc_id, {dstrip('zh')} AS zh, {dstrip('en')} AS en FROM q WHERE {dstrip('zh')} <> '' AND {dstrip('en')} <> '' AND contains(c, {dstrip('zh')}) AND contains(lower(c), lower({dstrip('en')}))""",
 )
 def grounded_pairs(t):
-    c = T.clean_markdown(F.col("text"))
-    d = t.documents.select("doc_id", F.col("text").alias("zh_text"), F.col("text").alias("en_text"), c.alias("c"))
-    zh = F.try_element_at(F.split("c", " "), (F.col("doc_id") % 5 + 1).cast("int"))
-    en = F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("zh"), F.lit("QQ"))).otherwise(F.translate(F.substring("c", 3, 4), "aeinrst", "AEINRST"))
-    terms = d.select("doc_id", "c").withColumn("zh", zh).withColumn("en", en).select("doc_id", "zh", "en")
+    d = t.documents.select("doc_id", F.col("text").alias("zh_text"), F.col("text").alias("en_text"))
+
+    def pair(c):
+        zh = F.try_element_at(F.split(c, " "), (F.col("doc_id") % 5 + 1).cast("int"))
+        en = F.when(F.col("doc_id") % 3 == 0, F.concat(zh, F.lit("QQ"))).otherwise(F.translate(F.substring(c, 3, 4), "aeinrst", "AEINRST"))
+        return F.array(F.struct(zh.alias("zh"), en.alias("en")))
+
+    terms = unnest_structs(d, ["doc_id"], T.let(T.clean_markdown(F.col("zh_text")), pair), ["zh", "en"])
     return M.grounded_pairs(terms, d, "doc_id")
 
 

@@ -202,7 +202,7 @@ def _merged(a: tuple, b: tuple) -> tuple:
     return x["n_words"], sum(h["end"] - h["start"] for h in spans), len(items), items, best["longest"], best["longest_item"], best["longest_at"], spans
 
 
-def _searched(batches: Iterator[pa.RecordBatch], block, text: int, earlier: int | None) -> Iterator[pa.RecordBatch]:
+def _searched(batches: Iterator[pa.RecordBatch], block, text: int, earlier: int | None, into: str) -> Iterator[pa.RecordBatch]:
     tests: Suffixes = block.value
     for batch in slices(batches):
         rows, held, size = [], [], 0
@@ -218,7 +218,7 @@ def _searched(batches: Iterator[pa.RecordBatch], block, text: int, earlier: int
             rows = [_merged(tuple(old.values()), new) for old, new in zip(batch.column(earlier).to_pylist(), rows)]
             columns, names = columns[:-1], names[:-1]
         result = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), _FIELDS)], _NAMES)
-        yield pa.RecordBatch.from_arrays([*columns, result], [*names, batch.schema.names[-1] if earlier is not None else "found"])
+        yield pa.RecordBatch.from_arrays([*columns, result], [*names, into])
 
 
 def _words_of(text: str) -> Column:
@@ -253,7 +253,7 @@ def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.StructType.fromDDL(RESULT))])
     rows, at = docs, docs.columns.index(text)
     for i, block in enumerate(_blocks(benchmark, item, item_text)):
-        rows = over_batches(rows, partial(_searched, block=block, text=at, earlier=len(docs.columns) if i else None), schema)
+        rows = over_batches(rows, partial(_searched, block=block, text=at, earlier=len(docs.columns) if i else None, into=into), schema)
     return rows
 
 

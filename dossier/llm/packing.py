@@ -20,7 +20,8 @@ from dossier.llm.vocabulary import encoder
 LAST_CLASS = 32
 #: Classes whose even share leaves more of the capacity unused than this are not cut to.
 WASTE = 8
-#: Open pieces that one task puts together at the end; more of them take another round over several tasks.
+#: Open pieces that one task puts together at the end; more of them take another round over several tasks. A task leaves fewer than
+#: LAST_CLASS ** 2 / 2 + 1024 pieces open, so with this many a task every round makes them fewer.
 LAST_ROUND = 50_000
 
 PLACED = "sequence_id long, offset long"

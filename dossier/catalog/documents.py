@@ -149,13 +149,13 @@ def ingest_records(t):
 @query(
     "header_injection",
     f"""WITH c AS ({dchunks("documents", "doc_id", "text", 500, 50)}),
-    h AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 400) WHEN doc_id % 3 = 1 THEN source ELSE substr({dstrip("text")}, 1, 20) END AS path FROM documents),
-    k AS (SELECT doc_id, CASE WHEN len(p) > 300 THEN substr(p, 1, 300) || '...' ELSE p END AS p FROM (SELECT doc_id, {dsanitize("path")} AS p FROM h))
+    h AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 3 = 1 THEN source ELSE source || ' ' || lang END AS path FROM documents),
+    k AS (SELECT doc_id, p FROM (SELECT doc_id, {dsanitize("path")} AS p FROM h))
     SELECT doc_id, chunk_idx, CASE WHEN p <> '' AND NOT contains({dsanitize("chunk_text")}, p) THEN '[' || p || ']' || chr(10) || {dsanitize("chunk_text")}
            ELSE {dsanitize("chunk_text")} END AS chunk_text FROM c JOIN k USING (doc_id)""",
 )
 def header_injection(t):
-    path = F.when(F.col("doc_id") % 3 == 0, F.left("text", F.lit(400))).when(F.col("doc_id") % 3 == 1, F.col("source")).otherwise(F.left(T.strip(F.col("text")), F.lit(20)))
+    path = F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, F.col("source")).otherwise(F.concat_ws(" ", "source", "lang"))
     rows = unnest(t.documents, ["doc_id", path.alias("path")], C.sliding_chunks(F.col("text")), "c", "chunk_idx")
     return rows.select("doc_id", "chunk_idx", with_header(F.col("path"), F.col("c")).alias("chunk_text"))
 
@@ -444,7 +444,7 @@ def keyword_update(t):
 @query(
     "dlq_records",
     """SELECT 'needs_review' AS status, 'extract' AS stage, doc_id AS document_id, 0 AS unit_index, 1 AS total_units, 'bad answer' AS error_message,
-    'C001' AS candidate_keys, CASE WHEN text <> '' THEN sha256(text) END AS raw_payload_sha256, CASE WHEN text <> '' THEN left(text, 2000) END AS raw_payload FROM documents""",
+    'C001' AS candidate_keys, CASE WHEN text <> '' THEN sha256(text) END AS raw_payload_sha256, CASE WHEN text <> '' THEN text END AS raw_payload FROM documents""",
 )
 def dlq_records(t):
     d = t.documents.select(F.col("doc_id").alias("document_id"), "text", F.lit(0).alias("unit_index"), F.lit(1).alias("total_units"))

@@ -11,15 +11,15 @@ from dossier.operators import evaluate as E
 def _sides(t):
     docs = t.documents.select("doc_id", F.col("source").alias("case_id"), "text", "n_chars")
     good = t.labels.where("quality = 1").join(docs, "doc_id")
-    expected = good.select("case_id", F.col("doc_id").alias("question_id"), F.left("text", F.lit(80)).alias("question_text"), F.lit(0).alias("ord"))
-    body = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("# *"), F.left("text", F.lit(80)))).otherwise(F.left("text", F.lit(75)))
+    expected = good.select("case_id", F.col("doc_id").alias("question_id"), F.col("text").alias("question_text"), F.lit(0).alias("ord"))
+    body = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("# *"), "text")).otherwise(F.concat("text", F.lit(" and more")))
     actual = docs.where("n_chars > 800").select("case_id", F.col("doc_id").alias("question_id"), body.alias("question_text"), F.lit(0).alias("ord"))
     return actual, expected
 
 
 _SQL = """
-WITH e AS (SELECT d.source AS case_id, d.doc_id AS question_id, left(text, 80) AS t FROM labels l JOIN documents d USING (doc_id) WHERE quality = 1),
-a AS (SELECT source AS case_id, doc_id AS question_id, CASE WHEN doc_id % 3 = 0 THEN '# *' || left(text, 80) ELSE left(text, 75) END AS t FROM documents WHERE n_chars > 800),
+WITH e AS (SELECT d.source AS case_id, d.doc_id AS question_id, text AS t FROM labels l JOIN documents d USING (doc_id) WHERE quality = 1),
+a AS (SELECT source AS case_id, doc_id AS question_id, CASE WHEN doc_id % 3 = 0 THEN '# *' || text ELSE text || ' and more' END AS t FROM documents WHERE n_chars > 800),
 c AS (SELECT coalesce(a.case_id, e.case_id) AS case_id, coalesce(a.question_id, e.question_id) AS question_id,
   CASE WHEN a.question_id IS NULL THEN 'missing' WHEN e.question_id IS NULL THEN 'extra'
        WHEN regexp_replace(lower(a.t), '[^a-z0-9]+', '', 'g') = regexp_replace(lower(e.t), '[^a-z0-9]+', '', 'g') THEN 'match' ELSE 'text_mismatch' END AS status

@@ -89,12 +89,11 @@ def hierarchy_repair(t):
 
 @query(
     "weak_headings",
-    _SQL_LINES + f"""SELECT doc_id, ord, '2.' || ord || ' ' || q AS heading FROM (SELECT doc_id, ord, {dstrip('substr(question_text, 1, 5 + ord % 90)')} AS q FROM i) WHERE NOT contains(q, '?') AND len(q) < 60
+    _SQL_LINES + f"""SELECT doc_id, ord, '2.' || ord || ' ' || q AS heading FROM (SELECT doc_id, ord, {dstrip('question_text')} AS q FROM i) WHERE NOT contains(q, '?') AND len(q) < 60
       AND regexp_matches(q, '^[A-Z][a-zA-Z0-9{T.WS}\\-_/,&]+\\z') AND NOT regexp_matches(q, '(?i)\\b(please|indicate|provide|describe|specify|state|answer|explain|are|is|do|does|how|what|which)\\b')""",
 )
 def weak_headings(t):
-    text = F.expr("substr(question_text, 1, 5 + cast(ord % 90 as int))")
-    rows = line_items(t).select("doc_id", "ord", F.concat(F.lit("2."), F.col("ord").cast("string")).alias("question_id"), text.alias("question_text"))
+    rows = line_items(t).select("doc_id", "ord", F.concat(F.lit("2."), F.col("ord").cast("string")).alias("question_id"), "question_text")
     _, heads = I.split_weak_headings(rows.withColumn("question_text", T.strip(F.col("question_text"))))
     return heads.select("doc_id", "ord", "heading")
 
@@ -171,8 +170,8 @@ def question_format(t):
 def _markdown(t):
     """Documents with numbering markers in front of their lines."""
     line = lambda x, i: (
-        F.when(i % 12 == 0, F.concat(F.lit("# **I. "), F.left(x, F.lit(30)), F.lit("**")))
-        .when(i % 12 == 1, F.concat(F.lit("## **"), (i % 9 + 1).cast("string"), F.lit(". "), F.left(x, F.lit(30)), F.lit("**")))
+        F.when(i % 12 == 0, F.concat(F.lit("# **I. "), x, F.lit("**")))
+        .when(i % 12 == 1, F.concat(F.lit("## **"), (i % 9 + 1).cast("string"), F.lit(". "), x, F.lit("**")))
         .when(i % 12 == 2, F.concat((i % 5).cast("string"), F.lit("."), i.cast("string"), F.lit(" "), x))
         .when(i % 12 == 3, F.concat(F.lit("("), i.cast("string"), F.lit(") "), x))
         .when(i % 12 == 4, F.concat(F.lit("| a. "), x, F.lit(" (i) Measures (ii) Records |")))
@@ -206,17 +205,16 @@ def structured_questions(t):
 
 @query(
     "toc_removal",
-    """WITH m AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
-    SELECT doc_id, md5(l[1] || chr(10) || array_to_string(list_filter(l[2:], lambda x: TRUE), chr(10))) AS text_md5, 3 + least(len(l), 1) * 1 AS removed FROM m WHERE len(l) > 1
-      AND NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = m.doc_id AND (regexp_matches(l[2], '^[\\s*#_`]*$')))""",
+    """WITH m AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+    k AS (SELECT *, coalesce(list_position(list_transform(l[2:], lambda x: NOT regexp_matches(x, '^[\\s*#_`]*$')), TRUE) - 1, len(l) - 1) AS blank FROM m)
+    SELECT doc_id, md5(l[1] || chr(10) || array_to_string(l[2 + blank:], chr(10))) AS text_md5, 4 + blank AS removed FROM k""",
 )
 def toc_removal(t):
-    """A contents block with links and a blank line is put behind the first line of each document."""
+    """A contents block with links and a blank line is put behind the first line of each document; blank lines that follow go with it."""
     l = F.split("text", "\n")
     block = F.array(F.lit("**目次**"), F.lit(""), F.lit("[1. A](#_Toc1)"), F.lit("[2. B](#toc2)"))
-    d = t.documents.where(F.size(l) > 1).where(~F.element_at(l, 2).rlike(r"^[\s*#_`]*$"))
     full = F.array_join(F.concat(F.slice(l, 1, 1), block, F.slice(l, 2, F.size(l))), "\n")
-    d = d.select("doc_id", full.alias("x"))
+    d = t.documents.select("doc_id", full.alias("x"))
     return d.select("doc_id", F.md5(N.without_toc(F.col("x"))).alias("text_md5"), N.toc_lines_removed(F.col("x")).alias("removed"))
 
 

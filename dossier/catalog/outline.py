@@ -17,8 +17,7 @@ def _pages(t):
 def _entries(t):
     total = t.conversations.groupBy("conv_id").agg(F.count("*").cast("int").alias("total_pages"))
     page = F.when(F.col("turn") % 4 == 3, "x").otherwise(((F.col("turn") * 7 + F.col("conv_id")) % 9).cast("string"))
-    rows = t.conversations.where("role <> 'assistant'")
-    return rows.select("conv_id", F.col("turn").alias("ord"), F.concat(F.lit("S"), F.col("turn").cast("string")).alias("id"),
+    return t.conversations.select("conv_id", F.col("turn").alias("ord"), F.concat(F.lit("S"), F.col("turn").cast("string")).alias("id"),
                        F.col("role").alias("title"), page.alias("page")).join(total, "conv_id")
 
 
@@ -26,7 +25,7 @@ _SQL = """
 WITH tot AS (SELECT conv_id, count(*) AS total_pages FROM conversations GROUP BY conv_id),
 e AS (SELECT conv_id, turn AS ord, 'S' || turn AS id, role AS title,
       greatest(1, least(coalesce(try_cast(CASE WHEN turn % 4 = 3 THEN 'x' ELSE CAST((turn * 7 + conv_id) % 9 AS VARCHAR) END AS INT), 1), total_pages)) AS start_page, total_pages
-      FROM conversations JOIN tot USING (conv_id) WHERE role <> 'assistant'),
+      FROM conversations JOIN tot USING (conv_id)),
 anchors AS (SELECT conv_id, ord, id, title, start_page, coalesce(greatest(start_page, lead(start_page) OVER (PARTITION BY conv_id ORDER BY start_page, ord) - 1), total_pages) AS end_page, total_pages FROM e),
 pages AS (SELECT conv_id, turn + 1 AS page FROM conversations)
 """
@@ -117,8 +116,8 @@ def _placed(t):
     "section_reorder",
     f"""WITH s AS (SELECT conv_id, turn, role || (turn % 5) AS section_id, (turn * 5 + conv_id) % 7 + 1 AS page, {_RANK} AS r FROM conversations),
     k AS (SELECT conv_id, section_id, min(ord) AS ord FROM (SELECT conv_id, role || (turn % 5) AS section_id, turn AS ord FROM conversations UNION ALL SELECT conv_id, 'extra' || turn, turn FROM conversations WHERE turn < 2) GROUP BY 1, 2),
-    c AS (SELECT conv_id, section_id, min(page * 10 + r) AS pt FROM s WHERE turn <> 3 GROUP BY 1, 2),
-    l AS (SELECT conv_id, max(page) AS last FROM s WHERE turn <> 3 GROUP BY 1)
+    c AS (SELECT conv_id, section_id, min(page * 10 + r) AS pt FROM s GROUP BY 1, 2),
+    l AS (SELECT conv_id, max(page) AS last FROM s GROUP BY 1)
     SELECT conv_id, section_id, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(pt, (coalesce(last, 1) + 1) * 10), CASE WHEN pt IS NULL THEN ord ELSE 0 END, ord, section_id) AS place
     FROM k LEFT JOIN c USING (conv_id, section_id) LEFT JOIN l USING (conv_id)""",
 )
@@ -126,7 +125,7 @@ def section_reorder(t):
     placed = _placed(t)
     extra = t.conversations.where("turn < 2").select("conv_id", F.concat(F.lit("extra"), F.col("turn").cast("string")).alias("section_id"), F.col("turn").alias("ord"))
     known = placed.select("conv_id", "section_id", F.col("turn").alias("ord")).unionByName(extra)
-    return L.reordered_sections(placed.where("turn < 3"), placed.where("turn > 3"), known, "conv_id")
+    return L.reordered_sections(placed.where("turn <= 3"), placed.where("turn > 3"), known, "conv_id")
 
 
 @query(
@@ -156,16 +155,14 @@ def section_first_appearance(t):
     moved AS (SELECT e.conv_id, e.ord, e.id, coalesce(f.page, start_page) AS start_page, total_pages, CAST(coalesce(f.page <> start_page, FALSE) AS INT) AS is_calibrated FROM e LEFT JOIN f ON f.conv_id = e.conv_id AND f.k = lower(e.id)
       UNION ALL SELECT f.conv_id, t.top + f.page, f.k, f.page, t.total_pages, 1 FROM f JOIN (SELECT conv_id, max(ord) AS top, max(total_pages) AS total_pages FROM e GROUP BY 1) t ON t.conv_id = f.conv_id
         WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.conv_id = f.conv_id AND lower(e.id) = f.k))
-    SELECT conv_id, id, start_page, is_calibrated, coalesce(greatest(start_page, lead(start_page) OVER (PARTITION BY conv_id ORDER BY start_page, ord, id) - 1), total_pages) AS end_page FROM moved
-    QUALIFY count(*) OVER (PARTITION BY conv_id, start_page, ord) = 1""",
+    SELECT conv_id, id, start_page, is_calibrated, coalesce(greatest(start_page, lead(start_page) OVER (PARTITION BY conv_id ORDER BY start_page, ord, id) - 1), total_pages) AS end_page FROM moved""",
 )
 def anchor_calibration(t):
     found = t.conversations.where("role = 'assistant' OR turn % 3 = 0").select(
         "conv_id", F.concat(F.lit("s"), F.col("turn").cast("string")).alias("id"), F.lit("").alias("title"), ((F.col("turn") + F.col("conv_id")) % 6 + 1).cast("int").alias("page")
     )
     out = L.calibrated(L.toc_anchors(_entries(t), "conv_id"), found, "conv_id")
-    same = out.groupBy("conv_id", "start_page", "ord").agg(F.count("*").alias("n")).where("n = 1").drop("n")
-    return out.join(same, ["conv_id", "start_page", "ord"]).select("conv_id", "id", "start_page", F.col("is_calibrated").cast("int").alias("is_calibrated"), "end_page")
+    return out.select("conv_id", "id", "start_page", F.col("is_calibrated").cast("int").alias("is_calibrated"), "end_page")
 
 
 @query(

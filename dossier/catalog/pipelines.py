@@ -99,7 +99,7 @@ def breakdown_reading(t):
 def outline_map(t):
     """Page map of an outline made of the first words of every turn."""
     word = lambda n: F.element_at(F.split("text", " "), n)
-    entries = t.conversations.where("turn % 2 = 0").select(
+    entries = t.conversations.select(
         F.col("conv_id").alias("doc_id"), F.col("turn").cast("bigint").alias("ord"), F.concat(F.char((F.col("turn") % 26 + 65).cast("long")), F.lit(": "), word(1)).alias("section_id"),
         F.lit("").alias("subsection_id"), F.lit("").alias("title"), (F.col("turn") + 1).cast("string").alias("page"), F.lit("top").alias("position"), F.lit(True).alias("is_major"), F.col("text").alias("depiction"),
     )
@@ -143,7 +143,7 @@ def ask_pipeline(t):
         F.lit("answer").alias("chunk_source"), "chunk_idx", "chunk_text", "embedding",
     )
     items = t.documents.select(F.col("doc_id").alias("parent_id"), F.lit(0).alias("is_deleted"), F.col("source").alias("master_id"),
-                               F.left("text", F.lit(60)).alias("title"), F.substring("text", 61, 200).alias("reply"), F.col("doc_id").cast("string").alias("item_no"))
+                               F.concat_ws(" ", "lang", F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("reply"), F.col("doc_id").cast("string").alias("item_no"))
     masters = t.documents.groupBy(F.col("source").alias("master_id")).agg(F.max("lang").alias("master_name"))
     files = masters.select("master_id", F.col("master_id").alias("file_path"), F.lit(0).alias("is_deleted"))
     asked = t.conversations.where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("question"))

@@ -131,16 +131,15 @@ def first_keywords(t):
 
 
 def _sides(t):
-    """English and French documents of a source, numbered inside the source."""
-    # positions come from the id itself: the documents of a source are every twentieth one
-    side = lambda lang: t.documents.where(F.col("lang") == lang).select("source", "doc_id", F.left("text", F.lit(40)).alias("v"))
-    return side("en"), side("fr")
+    """The documents of a source in two languages each as the sides to align, told apart by digests of their whole texts."""
+    side = lambda *langs: t.documents.where(F.col("lang").isin(*langs)).select("source", "doc_id", F.md5("text").alias("v"))
+    return side("en", "es"), side("fr", "de")
 
 
 @query(
     "align_rows",
-    """WITH l AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n, left(text, 40) AS v FROM documents WHERE lang = 'en'),
-    r AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n, left(text, 40) AS v FROM documents WHERE lang = 'fr'),
+    """WITH l AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n, md5(text) AS v FROM documents WHERE lang IN ('en', 'es')),
+    r AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n, md5(text) AS v FROM documents WHERE lang IN ('fr', 'de')),
     s AS (SELECT source, (SELECT count(*) FROM l WHERE l.source = x.source) AS nl, (SELECT count(*) FROM r WHERE r.source = x.source) AS nr FROM (SELECT DISTINCT source FROM documents) x),
     g AS (SELECT source, nl, nr, greatest(nl, nr) AS n, unnest(range(0, greatest(nl, nr))) AS i FROM s WHERE nl > 0 AND nr > 0)
     SELECT g.source, g.i, l.v AS a, r.v AS b FROM g JOIN l ON l.source = g.source AND l.n = i * nl // g.n JOIN r ON r.source = g.source AND r.n = i * nr // g.n""",

@@ -234,15 +234,13 @@ def to_traditional(c: Column, mapping: dict[str, str] | None = None) -> Column:
     """Simplified to Traditional Chinese.
 
     With a character ``mapping`` the replacement is a JVM ``translate``; without one the
-    OpenCC tables are used when they are installed, else the text is returned unchanged.
+    OpenCC tables are used, and it is an error if they are not installed.
     """
     if mapping:
         keys = "".join(mapping)
         return F.translate(c, keys, "".join(mapping[k] for k in keys))
-    try:
-        import opencc  # noqa: F401
-    except ImportError:
-        return c
+    import opencc  # noqa: F401
+
     @F.pandas_udf("string")
     def convert(texts: pd.Series) -> pd.Series:
         import opencc

@@ -6,6 +6,8 @@ same length. It runs inside Arrow batches on the workers.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -54,22 +56,36 @@ def embed(df: DataFrame, text: str, model: Embedder, out: str = "embedding", bat
     return df.withColumn(out, run(F.col(text)))
 
 
-def chat(prompt: Column, model: ChatModel, images: Column | None = None, retries: int = 0) -> Column:
+def require_items(answer: str) -> None:
+    """ValueError unless the answer is a JSON array of objects with an id and a text."""
+    body = re.sub(r"^```(?:json)?\s*|\s*```$", "", (answer or "").strip(), flags=re.I)
+    said = json.loads(body)
+    if not isinstance(said, list) or not all(isinstance(x, dict) and {"question_id", "question_text"} <= x.keys() for x in said):
+        raise ValueError("answer is not a JSON array of question items")
+
+
+def chat(prompt: Column, model: ChatModel, images: Column | None = None, retries: int = 0, check: Callable[[str], None] | None = None) -> Column:
     """Struct(answer, error): one call per row; a failing call becomes an error, not a failed task.
 
+    A call counts as failed when the model raises or ``check`` refuses its answer; it is made again up to ``retries`` times.
+    The last refused answer is kept, for the plan to say what is wrong with it.
+
     With ``images`` (array<binary> or array<string>) the model gets (prompts, images). The
     function counts as non-deterministic so that no plan rewrite calls a model twice.
     """
     out = T.StructType([T.StructField("answer", T.StringType()), T.StructField("error", T.StringType())])
 
     def ask(*inputs) -> tuple:
-        last = None
+        answer = last = None
         for _ in range(retries + 1):
             try:
-                return model(*[[x] for x in inputs])[0], None
+                answer = model(*[[x] for x in inputs])[0]
+                if check is not None:
+                    check(answer)
+                return answer, None
             except Exception as exc:  # noqa: BLE001
                 last = f"{type(exc).__name__}: {exc}"
-        return None, last
+        return answer, last
 
     if images is None:
 

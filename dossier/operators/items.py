@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossier.functions import ids
-from dossier.functions.html import merge_fragments
+from dossier.functions.blocks import merge_fragments
 from dossier.functions.text import collapse
 from dossier.operators import ordered as O
 

@@ -23,9 +23,9 @@ def position_rank(position: Column) -> Column:
 def with_ends(anchors: DataFrame, doc: str = "doc_id", block: int = O.BLOCK) -> DataFrame:
     """End page of each anchor: the page before the next start, never before its own start.
 
-    anchors: doc, ord, start_page, total_pages.
+    anchors: doc, ord, id, start_page, total_pages; anchors of one page follow each other by ord, then by id.
     """
-    nxt = O.following(anchors, [doc], ["start_page", "ord"], {"__next": F.col("start_page")}, block)
+    nxt = O.following(anchors, [doc], ["start_page", "ord", "id"], {"__next": F.col("start_page")}, block)
     end = F.coalesce(F.greatest(F.col("start_page"), F.col("__next") - 1), F.col("total_pages"))
     return nxt.withColumn("end_page", end).drop("__next")
 

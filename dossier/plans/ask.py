@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions.modeljson import parse_units
-from dossier.functions.text import answer_halves, is_chinese, strip, to_traditional
+from dossier.functions.text import answer_halves, is_chinese, strip
 from dossier.models import ChatModel, Embedder, chat, embed
 from dossier.operators import match as M
 from dossier.operators import retrieval as R
@@ -34,8 +34,12 @@ class Corpus:
     documents: DataFrame | None = None
 
 
-def translated(questions: DataFrame, patterns: DataFrame, model: ChatModel) -> DataFrame:
-    """Adds ``chinese``: the question itself, or its translation under the official terms."""
+def _as_said(text: Column) -> Column:
+    return text
+
+
+def translated(questions: DataFrame, patterns: DataFrame, model: ChatModel, script=_as_said) -> DataFrame:
+    """Adds ``chinese``: the question itself, or its translation under the official terms in the form that ``script`` gives it."""
     hits = M.english_hits(questions, ["query_id"], "question", patterns)
     terms = hits.groupBy("query_id").agg(R.ordered_text(F.concat(F.lit("  - "), F.col("en"), F.lit(" → "), F.col("zh")), F.col("pos"), "\n").alias("terms"))
     rows = questions.join(terms, "query_id", "left")
@@ -43,7 +47,7 @@ def translated(questions: DataFrame, patterns: DataFrame, model: ChatModel) -> D
     prompt = F.concat(F.lit("Translate into Traditional Chinese. Give the translation only."), block, F.lit("\n\n"), F.col("question"))
     zh = rows.where(is_chinese(F.col("question"))).select("query_id", "question", F.col("question").alias("chinese"))
     other = rows.where(~F.coalesce(is_chinese(F.col("question")), F.lit(False)))
-    other = other.select("query_id", "question", to_traditional(strip(F.coalesce(chat(prompt, model)["answer"], F.col("question")))).alias("chinese"))
+    other = other.select("query_id", "question", script(strip(F.coalesce(chat(prompt, model)["answer"], F.col("question")))).alias("chinese"))
     return zh.unionByName(other)
 
 
@@ -109,9 +113,12 @@ def qa_prompt(question: Column, context: Column, xml: Column, knowledge: Column)
 
 def ask(questions: DataFrame, corpus: Corpus, patterns: DataFrame, unit_patterns: DataFrame, embedder: Embedder, model: ChatModel,
         profile: DataFrame | None = None, params: RetrievalParams = RetrievalParams(), intent_top_n: int = 1, mode: str = "standard",
-        translator: ChatModel | None = None) -> dict[str, DataFrame]:
-    """Answers, references, knowledge references, attachments and routes for (query_id, question)."""
-    asked = checkpoint(translated(questions, patterns, translator or model))
+        translator: ChatModel | None = None, script=_as_said) -> dict[str, DataFrame]:
+    """Answers, references, knowledge references, attachments and routes for (query_id, question).
+
+    ``script`` is applied to every Chinese answer, for example ``functions.text.to_traditional``.
+    """
+    asked = checkpoint(translated(questions, patterns, translator or model, script))
     routes = routed(asked, unit_patterns, profile, model if profile is not None else None, intent_top_n)
     found = dictionary_terms(asked, "query_id", "chinese", patterns, mode)
     rows = asked.join(found, "query_id", "left")
@@ -136,7 +143,7 @@ def ask(questions: DataFrame, corpus: Corpus, patterns: DataFrame, unit_patterns
     empty = (F.col("raw_context") == "") & (F.coalesce("knowledge_context", F.lit("")) == "")
     ready = full.withColumn("prompt", F.when(~empty, qa_prompt(F.col("question"), F.col("raw_context"), xml, F.col("knowledge_context"))))
     said = ready.where(F.col("prompt").isNotNull()).withColumn("m", chat(F.col("prompt"), model)).withColumn("h", answer_halves(F.coalesce("m.answer", F.lit(""))))
-    said = said.select("query_id", "question", "chinese", "raw_context", "prompt", F.col("h.english").alias("english"), to_traditional(F.col("h.chinese")).alias("chinese_answer"))
+    said = said.select("query_id", "question", "chinese", "raw_context", "prompt", F.col("h.english").alias("english"), script(F.col("h.chinese")).alias("chinese_answer"))
     blank = ready.where(F.col("prompt").isNull()).select("query_id", "question", "chinese", "raw_context", "prompt", F.lit(NO_DATA_EN).alias("english"), F.lit(NO_DATA_ZH).alias("chinese_answer"))
     out = {"answers": said.unionByName(blank), "routes": routes, "references": R.references(qa, ["master_id", "item_no"], ["master_name"]),
            "attachments": R.attachments(qa, corpus.files)}

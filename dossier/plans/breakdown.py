@@ -14,7 +14,7 @@ from dossier.functions import modeljson as J
 from dossier.functions.chunks import heading_candidates, semantic_chunks
 from dossier.functions.html import linearize_tables
 from dossier.functions.text import nfkc, strip
-from dossier.models import ChatModel, VisionModel, chat
+from dossier.models import ChatModel, VisionModel, chat, require_items
 from dossier.operators import items as I
 from dossier.operators import numbering as N
 from dossier.operators import outline as L
@@ -117,21 +117,38 @@ def failed_documents(segments: DataFrame, failures: DataFrame, items: DataFrame)
 # --- v2: outline first -------------------------------------------------------------------
 
 
+def outline_line(candidate: Column) -> Column:
+    return F.concat(F.lit("- [pos:"), candidate["pos"].cast("string"), F.lit("] "), candidate["line"])
+
+
 def outline_prompt(candidates: Column) -> Column:
-    listed = F.array_join(F.transform(candidates, lambda c: F.concat(F.lit("- [pos:"), c["pos"].cast("string"), F.lit("] "), c["line"])), "\n")
-    cut = F.when(F.length(listed) > OUTLINE_LIMIT, F.concat(F.left(listed, F.lit(OUTLINE_LIMIT)), F.lit("\n...(truncated)"))).otherwise(listed)
-    return F.concat(F.lit("<Heading_Candidates>\n"), cut, F.lit("\n</Heading_Candidates>"))
+    return F.concat(F.lit("<Heading_Candidates>\n"), F.array_join(F.transform(candidates, outline_line), "\n"), F.lit("\n</Heading_Candidates>"))
+
+
+def candidate_slices(docs: DataFrame, limit: int = OUTLINE_LIMIT) -> DataFrame:
+    """(doc_id, slice, cand): the heading candidates of a document in slices of about ``limit`` characters of prompt, none left out.
+
+    Candidates of a document come from one row, so its running length is a window over a bounded group.
+    """
+    rows = unnest_structs(docs.select("doc_id", heading_candidates(F.col("text")).alias("c")), ["doc_id"], "c", ["pos", "line"], "k")
+    size = F.length(outline_line(F.struct("pos", "line"))) + 1
+    before = F.sum(size).over(Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)) - size
+    cut = rows.withColumn("slice", F.floor(before / limit).cast("int"))
+    return cut.groupBy("doc_id", "slice").agg(F.array_sort(F.collect_list(F.struct("k", "pos", "line"))).alias("cand"))
 
 
 def skeleton(docs: DataFrame, model: ChatModel) -> DataFrame:
-    """(doc_id, ord, pos, path, title): outline nodes at the first candidate line with their marker."""
-    df = docs.withColumn("cand", heading_candidates(F.col("text"))).where(F.size("cand") > 0)
-    df = df.withColumn("m", chat(outline_prompt(F.col("cand")), model))
+    """(doc_id, ord, pos, path, title): outline nodes at the first candidate line with their marker.
+
+    A long list of candidates is asked for slice by slice, and the answers follow each other.
+    """
+    df = candidate_slices(docs).withColumn("m", chat(outline_prompt(F.col("cand")), model))
     raw = J.strip_fence(F.col("m.answer"))
     df = df.withColumn("nodes", F.when(raw.startswith("["), J.parse_array(raw)))
-    rows = unnest(df, ["doc_id", "cand"], "nodes", "r", "ord").where(F.map_contains_key("r", F.lit("canonical_id")))
+    rows = unnest(df, ["doc_id", "slice", "cand"], "nodes", "r", "k").where(F.map_contains_key("r", F.lit("canonical_id")))
     get = lambda k: strip(F.coalesce(F.try_element_at("r", F.lit(k)), F.lit("")))
-    marked = rows.select("doc_id", F.col("ord").cast("bigint").alias("ord"), "cand", get("canonical_id").alias("path"), get("heading_title").alias("name"), get("raw_marker").alias("marker"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("slice", "k")).cast("bigint") - 1
+    marked = rows.select("doc_id", place.alias("ord"), "cand", get("canonical_id").alias("path"), get("heading_title").alias("name"), get("raw_marker").alias("marker"))
     first = F.try_element_at(F.filter("cand", lambda c: (F.col("marker") != "") & F.contains(c["line"], F.col("marker"))), F.lit(1))["pos"]
     return marked.select("doc_id", "ord", F.coalesce(first, F.lit(0)).cast("bigint").alias("pos"), "path", F.trim(F.concat("path", F.lit(" "), "name")).alias("title"))
 
@@ -174,7 +191,7 @@ def breakdown_v2(docs: DataFrame, model: ChatModel, outline_model: ChatModel | N
     # outline answers are used twice in the as-of join below
     nodes = checkpoint(skeleton(cut.where(F.size("chunks") > 1).select("doc_id", "text"), outline_model)) if outline_model else empty
     placed = L.chunk_paths(blocks, nodes, block=None)
-    asked = placed.withColumn("m", chat(path_prompt(F.col("path"), F.col("title"), _markdown(F.col("text"))), model, retries=1))
+    asked = placed.withColumn("m", chat(path_prompt(F.col("path"), F.col("title"), _markdown(F.col("text"))), model, retries=1, check=require_items))
     asked = asked.withColumn("p", J.plain_items(F.col("m.answer"), strict=True)).withColumn("error", F.coalesce("m.error", "p.error"))
     if keep:
         asked = checkpoint(asked)

@@ -14,8 +14,6 @@ from dossier.operators.unnest import unnest
 from dossier.params import DOC_TYPES, ChunkParams
 from dossier.sources import readers
 
-PATH_LIMIT = 300
-
 
 def ingest_records(items: DataFrame, params: ChunkParams = ChunkParams(), tokens=tokens_bytes4) -> DataFrame:
     """(item_id, chunk_source, chunk_idx, chunk_text, embed_text, n_tokens) from titles and replies.
@@ -37,10 +35,11 @@ def placeholder(text: Column) -> Column:
     return F.when(text == "", "empty").otherwise(text)
 
 
-def with_header(path: Column, chunk: Column) -> Column:
-    """Chunk with its heading path in front, unless the path is in the chunk already."""
+def with_header(path: Column, chunk: Column, limit: int | None = None) -> Column:
+    """Chunk with its heading path in front, unless the path is in the chunk already; a path beyond ``limit`` is shortened."""
     path, text = sanitize_for_storage(path), sanitize_for_storage(chunk)
-    path = F.when(F.length(path) > PATH_LIMIT, F.concat(F.left(path, F.lit(PATH_LIMIT)), F.lit("..."))).otherwise(path)
+    if limit is not None:
+        path = F.when(F.length(path) > limit, F.concat(F.left(path, F.lit(limit)), F.lit("..."))).otherwise(path)
     return F.when((path != "") & ~F.contains(text, path), F.concat(F.lit("["), path, F.lit("]\n"), text)).otherwise(text)
 
 

@@ -46,12 +46,15 @@ def ship_package(spark: SparkSession) -> None:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage in the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where the session names none (tests on one machine).
+    A folder of our own is set only where a local session names none; on a cluster that is an error,
+    since executors share no folder of the driver's machine.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set, and executors share no other folder")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="dossier-ckpt-"))
     return df.checkpoint(eager=True)
 

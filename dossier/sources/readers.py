@@ -42,14 +42,25 @@ def filled(df: DataFrame, column: str) -> DataFrame:
 
 
 def json_map(spark: SparkSession, path: str) -> DataFrame:
-    """(key, value, ord) of a JSON object of strings; an unreadable file is an empty map."""
+    """(key, value, ord) of a JSON object of strings, or of one object a line, over all files of the path.
+
+    A file that is not JSON from its start is an empty map; text behind a whole object is an error.
+    """
     raw = spark.read.text(path, wholetext=True)
     return json_map_rows(raw, "value")
 
 
 def json_map_rows(df: DataFrame, column: str) -> DataFrame:
-    parsed = F.from_json(F.col(column), "map<string,string>")
-    return unnest_structs(df, [], F.map_entries(parsed), ["key", "value"], "ord")
+    kind = "map<string,string>"
+    text = strip(F.col(column))
+    lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
+    by_line = F.forall(lines, lambda x: x.rlike(r"^\{.*\}\z") & F.from_json(x, kind).isNotNull())
+    whole = F.from_json(text, kind)
+    # an object with text behind it is no element of a JSON array
+    alone = F.size(F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{kind}>")) == 1
+    one = F.when(whole.isNull() | alone, F.map_entries(whole)).otherwise(F.raise_error(F.lit("text behind the JSON object")))
+    entries = F.when(by_line, F.flatten(F.transform(lines, lambda x: F.map_entries(F.from_json(x, kind))))).otherwise(one)
+    return unnest_structs(df, [], entries, ["key", "value"], "ord")
 
 
 def json_list_map_rows(df: DataFrame, column: str) -> DataFrame:

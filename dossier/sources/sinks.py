@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from dossier.functions.text import sanitize_for_storage
 from dossier.session import checkpoint
 
-RAW_LIMIT = 2_000
 BUCKETS = 512
 
 
@@ -93,14 +92,14 @@ def write_json_map(pairs: DataFrame, key: str, value: str, path: str) -> None:
     json_map_text(pairs, key, value).write.mode("overwrite").text(path)
 
 
-def dead_letters(df: DataFrame, stage: str, payload: str, error: Column, keys: Column, include_raw: bool = False) -> DataFrame:
-    """Failed units of work as review records; the payload only as a hash unless asked for."""
+def dead_letters(df: DataFrame, stage: str, payload: str, error: Column, keys: Column, include_raw: bool = False, raw_limit: int | None = None) -> DataFrame:
+    """Failed units of work as review records; the payload only as a hash unless asked for, then whole or up to ``raw_limit`` characters."""
     has = F.coalesce(payload, F.lit("")) != ""
     out = df.select(
         F.lit("needs_review").alias("status"), F.lit(stage).alias("stage"), "document_id", "unit_index", "total_units",
         error.alias("error_message"), keys.alias("candidate_keys"),
         F.when(has, F.sha2(F.col(payload), 256)).alias("raw_payload_sha256"),
-        F.when(has & F.lit(include_raw), F.left(F.col(payload), F.lit(RAW_LIMIT))).alias("raw_payload"),
+        F.when(has & F.lit(include_raw), F.col(payload) if raw_limit is None else F.left(F.col(payload), F.lit(raw_limit))).alias("raw_payload"),
     )
     return out
 
@@ -132,13 +131,13 @@ def query_log(rows: DataFrame) -> DataFrame:
     return clean.withColumns(defaults) if defaults else clean
 
 
-def append_query_log(rows: DataFrame, path: str) -> bool:
-    """Append, and report instead of raising when the store is unavailable."""
+def append_query_log(rows: DataFrame, path: str) -> str | None:
+    """Append; what went wrong comes back as text, so that an unavailable store does not break an answer and is still seen."""
     try:
         query_log(rows).write.mode("append").parquet(path)
-        return True
-    except Exception:  # noqa: BLE001 - logging must not break the answer
-        return False
+        return None
+    except Exception as failure:  # noqa: BLE001
+        return f"{type(failure).__name__}: {failure}"
 
 
 def write_pages(pages: DataFrame, path: str) -> None:

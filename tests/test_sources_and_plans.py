@@ -69,7 +69,8 @@ def test_exports_and_dead_letters(spark, tmp_path):
     assert not os.path.exists(tmp_path / "none")
     d = spark.createDataFrame([("d1", 0, 1, "p" * 3000)], "document_id string, unit_index int, total_units int, text string")
     rec = sinks.dead_letters(d, "extract", "text", F.lit("e"), F.lit("C001"), include_raw=True)
-    assert len(rec.first().raw_payload) == 2000 and len(rec.first().raw_payload_sha256) == 64
+    assert rec.first().raw_payload == d.first().text and len(sinks.dead_letters(d, "extract", "text", F.lit("e"), F.lit("C001"), True, 7).first().raw_payload) == 7
+    assert len(rec.first().raw_payload_sha256) == 64
     assert sinks.write_dead_letters(rec, str(tmp_path / "dlq")) and not sinks.write_dead_letters(rec, str(tmp_path / "off"), enabled=False)
     assert spark.read.json(str(tmp_path / "dlq")).first().status == "needs_review"
 

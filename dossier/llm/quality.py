@@ -16,16 +16,23 @@ from dossier.llm.shared import over_batches, same, slices, stored
 
 #: Labelled documents that the document classifier is fitted on, at most (chosen by hash); words of its lexicon, at most.
 LABELLED, LEXICON = 20_000, 2_000
-#: Documents with one label in which a lexicon word must occur; how many standard deviations its log odds must be from zero.
-LEXICON_DOCS, LEXICON_Z = 3, 3.0
+#: Toxic documents that a lexicon word must occur in: so many, and this share of them; standard deviations of its log odds from zero.
+LEXICON_DOCS, LEXICON_SHARE, LEXICON_Z = 3, 0.02, 3.3
+#: Least lower bound of the log odds of a lexicon word.
+LEXICON_WEIGHT = 1.0
+#: Openings of words that stand in the lexicon like words do.
+STEMS = (4, 5)
 #: Ridge of the logistic fit, and its Newton steps.
-RIDGE, STEPS = 1.0, 30
+RIDGE, STEPS = 3.0, 30
 #: Bounds of a site's prior strength in documents.
 WEAKEST, STRONGEST = 1.0, 1e6
 #: Site rows that may be broadcast; beyond it the join is left to shuffle.
 SITES_BROADCAST = 200_000
 
-FEATURES = ("length", "upper", "digit", "symbol", "stop", "bar", "accent", "word_length", "short_words", "distinct", "repeated", "line_repeat", "trigram", "toxic_sum", "toxic_max", "toxic_share")
+#: Shape of a text, whatever its language and words; and how it meets the lexicon.
+SHAPE = ("length", "upper", "symbol", "bar", "distinct", "repeated", "line_repeat", "sentence_repeat", "longest_word")
+MEETING = ("toxic_sum", "toxic_max", "toxic_share")
+FEATURES = SHAPE + MEETING
 
 # classes of bytes: 1 upper, 2 lower, 3 digit, 4 space, 5 full stops and commas, 6 other ASCII marks, 7 beyond ASCII
 _CLASS = np.zeros(256, dtype=np.uint8)
@@ -39,6 +46,12 @@ def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
+def marks_of(kinds: set[str]) -> set[str]:
+    """What can stand in the lexicon: words without marks around them, and the openings of longer ones."""
+    bare = {w if w.isalnum() else _TRIM.sub("", w) for w in kinds}
+    return bare.union(*({f"{w[:n]}*" for w in bare if len(w) > n} for n in STEMS)) - {""}
+
+
 def describe(text: str | None, lexicon: dict[str, float]) -> list[float]:
     """FEATURES of a whole text. A null or blank text has zeros, and a length of zero."""
     words = words_of(text) if text else []
@@ -51,12 +64,11 @@ def describe(text: str | None, lexicon: dict[str, float]) -> list[float]:
     repeated = sum(map(str.__eq__, words, words[1:]))
     lines = [line for line in text.split("\n") if line]
     sentences = [s for s in re.split(r"[.!?\n]+", text) if len(s) > 20]
-    weights = [lexicon[w] for w in (kinds & lexicon.keys())] if lexicon else []
-    weights += [lexicon[w] for w in {_TRIM.sub("", w) for w in kinds if not w.isalnum()} - kinds if w in lexicon]
+    weights = [lexicon[w] for w in marks_of(kinds) & lexicon.keys()] if lexicon else []
     return [
-        float(np.log1p(n)), counts[1] / size, counts[3] / size, counts[6] / size, counts[5] / size, data.tobytes().count(b"|") / size, counts[7] / size,
-        size / n, sum(len(w) < 3 for w in words) / n, len(kinds) / n ** 0.8, repeated / n, 1 - len(set(lines)) / max(len(lines), 1),
-        1 - len(set(sentences)) / max(len(sentences), 1), min(sum(weights), 20.0), max(weights, default=0.0), sum(weights) / n ** 0.5,
+        float(np.log1p(n)), counts[1] / size, counts[6] / size, data.tobytes().count(b"|") / size, len(kinds) / n ** 0.8, repeated / n,
+        1 - len(set(lines)) / max(len(lines), 1), 1 - len(set(sentences)) / max(len(sentences), 1), float(np.log1p(max(map(len, kinds)))),
+        min(sum(weights), 20.0), max(weights, default=0.0), sum(weights) / n ** 0.5,
     ]
 
 
@@ -107,22 +119,22 @@ class Model:
     base_rate: float
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Probability of being acceptable (good and not toxic), and of being toxic."""
+        """Probability of being good, and of being toxic."""
         features = np.array([describe(t, self.lexicon) for t in texts]).reshape(len(texts), len(FEATURES))
         if self.good is None or self.toxic is None:
             return np.full(len(texts), self.base_rate), np.zeros(len(texts))
-        good, toxic = (1 / (1 + np.exp(-m.logit(features))) for m in (self.good, self.toxic))
-        return np.clip(good * (1 - toxic), 1e-5, 1 - 1e-5), toxic
+        good, toxic = (1 / (1 + np.exp(-m.logit(x))) for m, x in ((self.good, features[:, :len(SHAPE)]), (self.toxic, features[:, len(SHAPE):])))
+        return np.clip(good, 1e-5, 1 - 1e-5), toxic
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words of every labelled text with the label."""
+    """Distinct words and openings of every labelled text with the label."""
     for batch in slices(batches, 64):
         words, toxic = [], []
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            kinds = {_TRIM.sub("", w) for w in words_of(text or "")} - {""}
-            words += kinds
-            toxic += [label] * len(kinds)
+            marks = marks_of(set(words_of(text or "")))
+            words += marks
+            toxic += [label] * len(marks)
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int64())], ["word", "toxic"])
 
 
@@ -133,7 +145,7 @@ def _described(batches: Iterator[pa.RecordBatch], lexicon: dict[str, float]) ->
 
 
 def _lexicon(sample: DataFrame) -> dict[str, float]:
-    """Words that mark toxic documents, with the lower bound of their log odds; LEXICON of them at most."""
+    """Words and openings that mark toxic documents, with the lower bound of their log odds; LEXICON of them at most."""
     totals = sample.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     toxic = float(totals["toxic"] or 0)
     other = float(totals["n"]) - toxic
@@ -141,14 +153,15 @@ def _lexicon(sample: DataFrame) -> dict[str, float]:
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     odds = F.log(a / (toxic + 1)) - F.log(b / (other + 1))
     deviation = F.sqrt(1 / a + 1 / b)
-    kept = found.where(F.col("a") >= LEXICON_DOCS).select("word", (odds - 2 * deviation).alias("weight"), (odds / deviation).alias("z"))
-    kept = kept.where((F.col("z") >= LEXICON_Z) & (F.col("weight") > 0.5))
+    kept = found.where((F.col("a") >= LEXICON_DOCS) & (F.col("a") >= LEXICON_SHARE * toxic)).select("word", (odds - 2 * deviation).alias("weight"), (odds / deviation).alias("z"))
+    kept = kept.where((F.col("z") >= LEXICON_Z) & (F.col("weight") > LEXICON_WEIGHT))
     return {r["word"]: float(r["weight"]) for r in kept.orderBy(F.desc("weight"), "word").limit(LEXICON).collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     """Document classifier of at most LABELLED labelled documents, chosen by the hash of their key.
 
+    The lexicon of toxic words is drawn from one half of the sample, so that what it says on the other half is honest for the fit.
     Labels that are null or of null keys play no part; of several labels of one key the worst counts. Without labels every document has the rate 0.5.
     """
     marked = labels.where(f"{key} IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col(key).alias("_key")).agg(F.min("quality").alias("good"), F.max("toxic").alias("toxic"))
@@ -156,15 +169,18 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     share = min(1.0, LABELLED / max(n, 1))
     chosen = marked.where(F.pmod(F.xxhash64("_key"), F.lit(1_000_003)) < int(share * 1_000_003)) if share < 1 else marked
     found = docs.join(F.broadcast(chosen), docs[key] == F.col("_key")).select(F.col("_key").alias("doc_id"), docs[text].alias("text"), "good", "toxic")
-    sample = stored(found.where("text IS NOT NULL"), "labelled")
-    lexicon = _lexicon(sample)
+    # copies of a text count once, or their words would look like marks of their label
+    once = found.where("text IS NOT NULL").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.min("good").alias("good"), F.max("toxic").alias("toxic"))
+    sample = stored(once.select("doc_id", "text", "good", "toxic"), "labelled")
+    half = F.pmod(F.xxhash64("text"), F.lit(2)) == 0
+    lexicon = _lexicon(sample.where(half))
     rows = over_batches(sample, partial(_described, lexicon=lexicon), "doc_id " + sample.schema["doc_id"].dataType.simpleString() + ", features array<double>, good " + sample.schema["good"].dataType.simpleString() + ", toxic " + sample.schema["toxic"].dataType.simpleString())
     rows = sorted(((r["doc_id"], list(r["features"]), float(r["good"] > 0), float(r["toxic"] > 0)) for r in rows.collect()), key=lambda r: (r[0], r[1]))
     if not rows:
         return Model(lexicon, None, None, 0.5)
     features, good, toxic = np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
-    rate = float((good * (1 - toxic)).sum() + 0.5) / (len(rows) + 1)
-    return Model(lexicon, Logistic.fit(features, good), Logistic.fit(features, toxic), rate)
+    rate = float(good.sum() + 0.5) / (len(rows) + 1)
+    return Model(lexicon, Logistic.fit(features[:, :len(SHAPE)], good), Logistic.fit(features[:, len(SHAPE):], toxic), rate)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
@@ -212,11 +228,11 @@ def posteriors(scores: DataFrame) -> tuple[DataFrame, float]:
     return nested.select("host", "path", rate.alias("site_rate"), F.col("n").cast("long").alias("site_n")), overall
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key: str = "doc_id", text: str = "text", threshold: float = 0.5, toxic_limit: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key: str = "doc_id", text: str = "text", threshold: float = 0.5, toxic_limit: float = 0.7) -> DataFrame:
     """``doc_id, host, path, doc_score, toxic_score, site_rate, site_n, score, accepted`` of every row.
 
-    The document's odds are multiplied by how much its site's posterior odds differ from the global ones; a document is accepted at ``threshold``, unless
-    it is toxic beyond ``toxic_limit``. A site with few documents has nearly the global rate, so it moves nothing.
+    The document's odds of being good are multiplied by how much its site's posterior odds differ from the global ones; a document is accepted at
+    ``threshold``, unless it is toxic by ``toxic_limit`` or more. A site with few documents has nearly the global rate, so it moves nothing.
 
     A null or blank text has no evidence of its own but its emptiness (all features zero). Null hosts and paths are sites of their own. Repeated rows give repeated
     rows with equal answers; null keys stay; no rows give none; other columns play no part.
@@ -225,7 +241,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key
     rows = docs.select(F.col(key).alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col(text).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
     scored = stored(over_batches(rows, partial(_scored, model=model), f"doc_id {kind}, host string, path string, doc_score double, toxic_score double"), "scores")
-    known = labels.where("quality IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col(key).alias("_key")).agg(F.min(((F.col("quality") > 0) & (F.col("toxic") <= 0)).cast("double")).alias("label"))
+    known = labels.where("quality IS NOT NULL").groupBy(F.col(key).alias("_key")).agg(F.min((F.col("quality") > 0).cast("double")).alias("label"))
     evidence = scored.join(known, scored["doc_id"] == known["_key"], "left").select("host", "path", F.coalesce("label", "doc_score").alias("evidence"))
     sites, overall = posteriors(evidence)
     sites = stored(sites.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "site_rate", "site_n"), "sites")

@@ -9,6 +9,7 @@ reduction are DataFrame work on those rows.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -74,9 +75,9 @@ class _Reader:
     def _outline(self, item: dict) -> None:
         major = str(item.get("is_major_section", "")).lower() == "true"
         raw, title = str(item.get("section_id", item.get("id", "")) or "").strip(), str(item.get("title", item.get("heading_title", "")) or "").strip()
-        code, text = S.split_section(raw, title if major else "", str(item.get("depiction", "") or ""))
+        code, text = S.outline_entry(raw, title if major else "", str(item.get("depiction", "") or ""))
         if code == "General":
-            code = S.clean_id(raw or str(item.get("subsection_id", "") or "")) or "General"
+            code = S.canonical(raw or str(item.get("subsection_id", "") or "")) or "General"
         at = (self._page(item), _PLACES.get(str(item.get("position", "top")).strip().lower(), 0))
         self.places[code] = min(at, self.places.get(code, at))
         if _is_section(code, title):
@@ -105,7 +106,7 @@ class _Reader:
         self.anchors.sort(key=lambda a: a[1])
         if note:
             self.stack = [name]
-        code, text = S.split_section(name, title, str(chapter.get("depiction", "") or ""))
+        code, text = S.outline_entry(name, title, str(chapter.get("depiction", "") or ""))
         if code not in self.sections:
             self.depictions[code] = text
             at = (page, _PLACES.get(str(chapter.get("position", "top")).strip().lower(), 0))
@@ -127,8 +128,6 @@ class _Reader:
 
 
 def _is_section(code: str, title: str) -> bool:
-    import re
-
     low = title.lower()
     return not (
         not code or code.lower() in ids.NOT_A_SECTION or re.search(r"\([a-z0-9]+\)", code, re.I) or re.match(r"[A-Z]\.\d+$", code)
@@ -136,9 +135,17 @@ def _is_section(code: str, title: str) -> bool:
     )
 
 
-def _loads(answer: str) -> dict:
-    import re
+_ASKING = re.compile(r"\b(?:" + "|".join(ids.QUESTION_VERBS) + r")\b", re.I)
+
 
+def _heading(item: dict) -> str:
+    """Id and text of an item that is a heading by :func:`dossier.functions.ids.is_weak_heading`, else ''."""
+    qid, text = (str(item.get(k, "") or "").strip() for k in ("question_id", "question_text"))
+    named = len(text) < 60 and re.fullmatch(r"[A-Z][a-zA-Z0-9\s\-_/,&]+", text) and not _ASKING.search(text)
+    return f"{qid} {text}" if named and re.fullmatch(r"(?:[A-Za-z0-9]+\.)+\d+", qid) else ""
+
+
+def _loads(answer: str) -> dict:
     body = re.sub(r"^```(?:json)?\s*|\s*```$", "", (answer or "").strip(), flags=re.I)
     try:
         out = json.loads(body)
@@ -157,7 +164,7 @@ def _read_page(state: _Reader, page: int, image, previous, model: VisionModel) -
     raw = said.get("detected_new_chapters", said.get("detected_new_chapter")) or []
     chapters = [c for c in (raw if isinstance(raw, list) else [raw]) if isinstance(c, dict) and c.get("id")]
     notes = [n for n in (state.enter(c, page) for c in chapters) if n]
-    entered = S.split_section(str(chapters[-1]["id"]))[0] if chapters else ""
+    entered = S.outline_entry(str(chapters[-1]["id"]))[0] if chapters else ""
     state.active = entered or str(said.get("active_chapter", before) or "").strip() or before
     back = [p for p in said.get("back_read_pages") or [] if isinstance(p, int) and 1 <= p < page]
     if said.get("request_back_read") and not back and page > 1:
@@ -179,6 +186,7 @@ def _read_page(state: _Reader, page: int, image, previous, model: VisionModel) -
         state.stack.append(heading)
     found = said.get("extracted_questions") or []
     labels = [str(q.get("question_id", "")) for q in found if isinstance(q, dict)]
+    state.stack += [h for h in (_heading(q) for q in found if isinstance(q, dict)) if h and h not in state.stack]
     state.memory = S.reading_memory(page, state.total, state.active, labels, chapters[-1] if chapters else None, state.pending, state.stack)
     first = str(chapters[0].get("first_question_id", "") or "").strip() if len(chapters) == 1 else ""
     changed = bool(entered) and entered != before
@@ -228,7 +236,7 @@ def page_items(read: DataFrame) -> DataFrame:
     keys = ["doc_id", "page"]
     rows = I.repaired_hierarchy(I.cleaned(found), keys, "k", F.col("before"), block=None)
     rows, _ = I.split_weak_headings(rows)
-    code = S.section_of_id_col(F.col("question_id"), F.col("sections"))
+    code = S.section_of_id(F.col("question_id"), F.col("sections"))
     opens = (F.col("first_new") != "") & (F.lower("question_id") == F.lower("first_new"))
     belongs = (F.col("by_id") == F.col("active")) | (F.col("given") == F.col("active"))
     page = Window.partitionBy(*keys)
@@ -236,7 +244,7 @@ def page_items(read: DataFrame) -> DataFrame:
     turn = F.coalesce(F.min(F.when(opens, F.col("k"))).over(page), F.min(F.when(belongs, F.col("k"))).over(page))
     rows = rows.withColumn("turn", F.when(F.col("changed"), turn))
     after = F.when(F.col("turn").isNotNull(), F.col("k") >= F.col("turn")).otherwise(F.col("changed"))
-    return rows.withColumn("section", S.section_for_col(F.col("question_id"), F.col("given"), F.col("before"), F.col("active"), F.col("sections"), after))
+    return rows.withColumn("section", S.section_for(F.col("question_id"), F.col("given"), F.col("before"), F.col("active"), F.col("sections"), after))
 
 
 def final_sections(read: DataFrame, items: DataFrame, review_model: ChatModel | None = None) -> DataFrame:
@@ -247,7 +255,7 @@ def final_sections(read: DataFrame, items: DataFrame, review_model: ChatModel |
     """
     end = read.groupBy("doc_id").agg(F.max_by(F.struct("sections", "depictions"), "page").alias("z")).select("doc_id", "z.*")
     rows = items.drop("sections").join(end.select("doc_id", "sections"), "doc_id")
-    again = F.coalesce(S.section_of_id_col(F.col("question_id"), F.col("sections")), F.col("section"))
+    again = F.coalesce(S.section_of_id(F.col("question_id"), F.col("sections")), F.col("section"))
     rows = rows.select("doc_id", again.alias("section"), (F.col("page").cast("bigint") * 2**20 + F.col("k")).alias("ord"), "question_id", "question_text")
     named = rows.where("section <> ''")
     first = named.groupBy("doc_id").agg(F.min_by("section", "ord").alias("__first"))
@@ -273,7 +281,7 @@ def final_sections(read: DataFrame, items: DataFrame, review_model: ChatModel |
     raw = F.coalesce(F.try_element_at("depictions", F.col("section")), F.lit(""))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("at").asc_nulls_last(), "section"))
     out = out.withColumns({"questions": questions, "place": place})
-    return out.select("doc_id", "place", "section", S.depiction_of(raw, F.col("section"), F.transform("questions", lambda q: q["question_text"])).alias("depiction"), "questions")
+    return out.select("doc_id", "place", "section", S.introduction_col(raw, F.col("section"), F.transform("questions", lambda q: q["question_text"])).alias("depiction"), "questions")
 
 
 def breakdown_reading(pages: DataFrame, model: VisionModel, outline_model: VisionModel | None = None, review_model: ChatModel | None = None) -> DataFrame:
@@ -293,7 +301,7 @@ def outline_map(entries: DataFrame, pages: DataFrame) -> dict[str, DataFrame]:
     total = pages.groupBy("doc_id").agg(F.max("page").cast("int").alias("total"))
     e = entries.join(total, "doc_id")
     title = F.coalesce("title", F.lit(""))
-    e = e.withColumn("s", S.split_section_col(F.coalesce("section_id", F.lit("")), F.when(F.col("is_major"), title).otherwise(""), F.coalesce("depiction", F.lit(""))))
+    e = e.withColumn("s", S.outline_entry_col(F.coalesce("section_id", F.lit("")), F.when(F.col("is_major"), title).otherwise(""), F.coalesce("depiction", F.lit(""))))
     raw = F.when(F.coalesce("section_id", F.lit("")) != "", F.col("section_id")).otherwise(F.coalesce("subsection_id", F.lit("")))
     norm = ids.normalize_question_id(raw)
     code = F.when(F.col("s.section_id") == "General", F.when(norm == "", "General").otherwise(norm)).otherwise(F.col("s.section_id"))

@@ -33,6 +33,23 @@ dict AS (SELECT zh, 'EN-' || zh AS en, min(item_id * 10000 + k) AS ord FROM w GR
 """
 
 
+_SQL_PATTERNS = """, st AS (SELECT left(zh, 5) AS stem, arg_max(zh, ord) AS zh, min(ord) AS ord FROM dict WHERE len(zh) >= 9 GROUP BY 1),
+p AS (SELECT ord AS pid, zh AS pattern, zh, en FROM dict
+      UNION ALL SELECT ord + (SELECT max(ord) FROM dict) + 1, stem, zh, 'EN-' || zh FROM st WHERE stem NOT IN (SELECT zh FROM dict))"""
+
+
+def dstandard(name: str, texts: str, key: str, text: str) -> str:
+    """CTE ``name`` (key, pid, start): of all places of the patterns ``p``, those that a reading without overlaps takes.
+
+    Every place follows the one before it in the text; in the order of their ends, then starts, a place counts that begins behind the last one counted.
+    """
+    return f""", {name}_at(k, pid, s) AS (SELECT {key}, pid, instr({text}, pattern) FROM {texts} JOIN p ON contains({text}, pattern)
+      UNION ALL SELECT k, pid, s + instr(substr({text}, s + 1), pattern) FROM {name}_at JOIN {texts} ON {key} = k JOIN p USING (pid) WHERE instr(substr({text}, s + 1), pattern) > 0),
+    {name}_all AS (SELECT k, list({{'stop': s - 1 + len(pattern), 'start': s - 1, 'taken': [{{'pid': pid, 'start': s - 1}}]}} ORDER BY s - 1 + len(pattern), s, pid) AS l FROM {name}_at JOIN p USING (pid) GROUP BY k),
+    {name} AS (SELECT k AS {key}, o.pid AS pid, o.start AS start FROM (SELECT k, unnest(list_reduce(l, lambda a, e: CASE WHEN e.start >= a.stop
+      THEN {{'stop': e.stop, 'start': e.start, 'taken': list_concat(a.taken, e.taken)}} ELSE a END).taken) AS o FROM {name}_all))"""
+
+
 @query("load_dictionary", "SELECT p_name AS zh, arg_max(p_type, p_partkey) AS en, min(p_partkey) AS ord FROM part WHERE p_name <> '' AND p_size % 9 <> 0 GROUP BY 1")
 def load_dictionary(t):
     return M.load_dictionary(t.part.select(F.col("p_name").alias("zh"), F.when(F.col("p_size") % 9 != 0, F.col("p_type")).alias("en"), F.col("p_partkey").alias("ord")))
@@ -44,7 +61,11 @@ def term_contains(t):
     return M.term_hits(texts, ["doc_id"], "n", M.dictionary_patterns(_dictionary(t), _stems(t)), "contains").select("doc_id", "zh", "en", "pos")
 
 
-@query("term_standard")
+@query(
+    "term_standard",
+    _SQL_DICT.replace("WITH", "WITH RECURSIVE", 1) + _SQL_PATTERNS + f", x AS (SELECT doc_id, {dnorm('text')} AS n FROM documents)" + dstandard("m", "x", "doc_id", "n")
+    + " SELECT doc_id, zh, en, min(start) AS pos FROM m JOIN p USING (pid) GROUP BY 1, 2, 3",
+)
 def term_standard(t):
     """Non-overlapping matching with stems resolved to their official terms."""
     texts = t.documents.select("doc_id", normalize_for_matching(F.col("text")).alias("n"))
@@ -99,7 +120,14 @@ def term_grounded(t):
     return M.grounded_terms(d, ["doc_id"], "q", "c", M.dictionary_patterns(_dictionary(t), _stems(t)), "contains")
 
 
-@query("term_grounded_standard")
+@query(
+    "term_grounded_standard",
+    _SQL_DICT.replace("WITH", "WITH RECURSIVE", 1) + _SQL_PATTERNS
+    + f""", x AS (SELECT doc_id, q, c, CASE WHEN c <> '' THEN q || chr(10) || c ELSE q END AS n FROM (SELECT doc_id, {dnorm('substr(text, 1, 200)')} AS q, {dnorm('substr(text, 201)')} AS c FROM documents))"""
+    + dstandard("m", "x", "doc_id", "n") + dstandard("b", "x", "doc_id", "c")
+    + """ SELECT doc_id, zh, en, min(start) AS pos FROM m JOIN p USING (pid) JOIN x USING (doc_id)
+      WHERE contains(q, zh) OR (doc_id, zh) IN (SELECT (doc_id, zh) FROM b JOIN p USING (pid)) GROUP BY 1, 2, 3""",
+)
 def term_grounded_standard(t):
     d = t.documents.select("doc_id", F.left("text", F.lit(200)).alias("q"), F.substr("text", F.lit(201)).alias("c"))
     return M.grounded_terms(d, ["doc_id"], "q", "c", M.dictionary_patterns(_dictionary(t), _stems(t)), "standard")
@@ -167,7 +195,13 @@ def intent_topn(t):
     return M.classify(_asked(t), ["c_custkey"], "q", M.intent_patterns(_units(t)), 3, "contains")
 
 
-@query("intent_standard")
+@query(
+    "intent_standard",
+    _SQL_UNITS.replace("WITH", "WITH RECURSIVE", 1) + _SQL_ASKED + dstandard("g", "a", "c_custkey", "q")
+    + """, m AS (SELECT c_custkey, agency, unit, pattern, pid, len(pattern) AS l FROM g JOIN p USING (pid)),
+    b AS (SELECT *, row_number() OVER (PARTITION BY c_custkey, agency, unit ORDER BY l DESC, pid) AS k FROM m)
+    SELECT c_custkey, agency, unit, pattern AS keyword, rank FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY l DESC, pid) AS rank FROM b WHERE k = 1) WHERE rank <= 3""",
+)
 def intent_standard(t):
     return M.classify(_asked(t), ["c_custkey"], "q", M.intent_patterns(_units(t)), 3, "standard")
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm.ledger import Ledger
-from dossier.llm.shared import over_batches, same, slices
+from dossier.llm.shared import over_batches, same, slices, stored
 
 FINDINGS = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
@@ -113,6 +113,7 @@ def mask(docs: DataFrame, ledger_path: str, text: str = "text") -> DataFrame:
     digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
     contents = docs.select(digest.alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("content"))
     ledger.append(over_batches(ledger.unseen(contents, RULES_VERSION), partial(_scanned, version=RULES_VERSION), ledger.schema))
-    found = ledger.rows(RULES_VERSION).where("spans <> ''").select(F.col("digest").alias("_digest"), F.col("spans").alias("_spans"))
+    # written apart, so that the planner knows its size and moves no text where it is small
+    found = stored(ledger.rows(RULES_VERSION).where("spans <> ''").select(F.col("digest").alias("_digest"), F.col("spans").alias("_spans")), "findings")
     rows = docs.join(found, same(digest, F.col("_digest")), "left").select(*[docs[c] for c in docs.columns], "_spans")
     return over_batches(rows, partial(_masked, column=docs.columns.index(text)), docs.schema)

@@ -177,7 +177,7 @@ def term_hits(df: DataFrame, keys: list[str], text: str, patterns: DataFrame, mo
     ``pos`` is the place of the first occurrence, or the load order in contains mode,
     where stems take no part.
     """
-    patterns = settled(patterns.where(~F.col("is_stem")) if mode == "contains" else patterns, PATTERNS_PER_SHARD)
+    patterns = settled(patterns.where(~F.col("is_stem")) if mode == "contains" else patterns)
     found = hit_rows(df, keys, text, patterns, mode)
     place = F.col("pid") if mode == "contains" else F.col("start")
     rows = found.join(patterns.select("pid", "zh", "en"), "pid").withColumn("pos", place.cast("bigint"))
@@ -192,7 +192,7 @@ def grounded_terms(df: DataFrame, keys: list[str], query: str, context: str, pat
     in the question. A dictionary without stems needs no grounding.
     """
     n_query, n_context = normalize_for_matching(F.col(query)), normalize_for_matching(F.col(context))
-    patterns = settled(patterns, PATTERNS_PER_SHARD)
+    patterns = settled(patterns)
     texts = df.select(*keys, n_query.alias("__q"), n_context.alias("__c")).withColumn(
         "__all", F.when(F.col("__c") != "", F.concat("__q", F.lit("\n"), "__c")).otherwise(F.col("__q"))
     )
@@ -206,7 +206,7 @@ def grounded_terms(df: DataFrame, keys: list[str], query: str, context: str, pat
 
 def english_hits(df: DataFrame, keys: list[str], text: str, patterns: DataFrame) -> DataFrame:
     """Official terms whose English value occurs in the text, case aside."""
-    low = settled(patterns.where(~F.col("is_stem") & (F.col("en") != "")).select("pid", "zh", "en", F.lower("en").alias("pattern")), PATTERNS_PER_SHARD)
+    low = settled(patterns.where(~F.col("is_stem") & (F.col("en") != "")).select("pid", "zh", "en", F.lower("en").alias("pattern")))
     found = hit_rows(df.select(*keys, F.lower(text).alias("__t")), keys, "__t", low, "contains")
     return found.join(low.select("pid", "zh", "en"), "pid").select(*keys, "zh", "en", F.col("pid").alias("pos"))
 
@@ -260,7 +260,7 @@ def intent_patterns(units: DataFrame, aliases: DataFrame | None = None) -> DataF
     words = words.withColumn("pid", F.col("place"))
     if aliases is None:
         return words.select("pid", "pattern", "agency", "unit")
-    owner = settled(lookup_map(words), PATTERNS_PER_SHARD)
+    owner = settled(lookup_map(words))
     std = aliases.select("standard", "alias", "ord").withColumn("n_std", normalize_for_matching(F.col("standard")))
     exact = std.join(owner.select(F.col("pattern").alias("n_std"), F.struct("agency", "unit").alias("o")), "n_std", "left")
     miss = exact.where(F.col("o").isNull()).select("n_std").distinct()
@@ -302,7 +302,7 @@ def classify(df: DataFrame, keys: list[str], text: str, patterns: DataFrame, top
 
     (keys, agency, unit, keyword, rank)
     """
-    patterns = settled(patterns, PATTERNS_PER_SHARD)
+    patterns = settled(patterns)
     norm = df.select(*keys, normalize_for_matching(F.col(text)).alias("__t"))
     found = hit_rows(norm, keys, "__t", patterns, mode)
     place = F.col("pid") if mode == "contains" else F.col("start").cast("bigint")

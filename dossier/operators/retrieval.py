@@ -14,8 +14,6 @@ from dossier.operators.vectors import top_k
 from dossier.params import RetrievalParams
 from dossier.session import settled
 
-# Hits of a query batch kept as a local relation; more of them are checkpointed.
-SETTLED_ROWS = 100_000
 
 
 def is_active(flag: Column) -> Column:
@@ -59,7 +57,7 @@ def track(
     parents: parent_id, is_deleted, master_id, ...; masters: master_id, ...
     """
     keys = ["parent_id", "chunk_source", "chunk_idx"] if tagged else ["parent_id", "chunk_idx"]
-    found = settled(hits(chunks, queries, params, keys), SETTLED_ROWS)
+    found = settled(hits(chunks, queries, params, keys))
     expanded = expand_neighbours(found, chunks, keys)
     # only parents that a hit can reach go into the join
     live = parents.where(is_active(F.col("is_deleted"))).drop("is_deleted")

@@ -9,6 +9,7 @@ from dossier.functions.chunks import sliding_chunks, structure_chunks
 from dossier.functions.text import (
     STEM_STOPWORDS, clean_markdown, let, split_keywords, split_units, strip, trim_suffix, valid_alias_shape, valid_stem,
 )
+from dossier.operators.ordered import BLOCK, row_index
 from dossier.operators.unnest import unnest
 from dossier.params import MINING_CHUNK_OVERLAP, MINING_CHUNK_SIZE, ChunkParams
 
@@ -164,12 +165,14 @@ def positional_answers(batch: Column, answers: Column) -> Column:
     )
 
 
-def batches(df: DataFrame, order: str, size: int, salt: int = 1) -> DataFrame:
-    """Number rows into batches of ``size`` along an id, without a global sort.
+def batches(df: DataFrame, order: str, size: int) -> DataFrame:
+    """Number rows into batches of ``size`` in order of an integer column.
 
-    Rows are laid out by range of ``order``; each range is cut on its own, so a batch never
-    spans two tasks and at most one short batch is left per range.
+    Places are counted inside blocks of that column and the blocks' counts added up, so there is no global sort, every batch but
+    the last is full, and a stage that runs again gives the same batches. Blocks are as wide as holds BLOCK rows on average, so
+    dense numbers and hashes are cut alike.
     """
-    laid = df.repartitionByRange(order).withColumn("__part", F.spark_partition_id())
-    at = F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
-    return laid.withColumn("batch", F.concat_ws("-", F.col("__part").cast("string"), F.floor(at / size).cast("string"))).drop("__part")
+    seen = df.agg(F.count(order).alias("n"), F.min(order).alias("low"), F.max(order).alias("high")).first()
+    width = min(max(1, (seen["high"] - seen["low"] + 1) * BLOCK // seen["n"]), 2**62) if seen["n"] else BLOCK
+    placed = row_index(df.withColumn("__all", F.lit(0)), ["__all"], [order], "__at", block=width)
+    return placed.withColumn("batch", F.floor(F.col("__at") / size).cast("string")).drop("__all", "__at")

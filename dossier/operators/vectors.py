@@ -10,13 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dossier.session import rows_within
-
-# Queries handled in one pass over the vectors; more queries take more passes.
+# Queries of one broadcast, read by the driver one block at a time; more queries take more passes over the vectors.
 QUERIES_PER_PASS = 2_048
 # Distances are compared after rounding, so equal vectors tie exactly on every machine.
 DIGITS = 9
@@ -38,47 +37,58 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _best(dist: np.ndarray, pk: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the k smallest (distance, key) pairs, in no particular order."""
-    if len(dist) <= k:
-        return np.arange(len(dist))
-    edge = np.partition(dist, k - 1)[k - 1]
-    below, tied = np.flatnonzero(dist < edge), np.flatnonzero(dist == edge)
-    need = k - len(below)
-    if len(tied) > need:
-        tied = tied[np.argsort(pk[tied], kind="stable")[:need]]
-    return np.concatenate([below, tied])
-
-
-def _local_top_k(query_ids: list, matrix: np.ndarray, k: int, pk: str, vec: str, payload: list[str], schema: pa.Schema):
-    unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
-
+class _Nearest:
+    """The k nearest rows so far of every query: flat arrays of query, distance and row, and the rows they name."""
+
+    def __init__(self, queries: int, k: int, pk: str) -> None:
+        self.k, self.pk = k, pk
+        self.query, self.distance, self.row = np.array([], np.int64), np.array([], np.float64), np.array([], np.int64)
+        self.rows: pa.Table | None = None
+        self.bound = np.full(queries, np.inf)
+
+    def add(self, distance: np.ndarray, rows: pa.Table) -> None:
+        """Rows of a batch with their distances to all queries; only cells that can still be among the k nearest are looked at."""
+        limit = self.bound
+        if len(distance) > self.k:
+            limit = np.minimum(limit, np.partition(distance, self.k - 1, axis=0)[self.k - 1])
+        row, query = np.nonzero(distance <= limit[None, :])
+        used, at = np.unique(row, return_inverse=True)
+        first = 0 if self.rows is None else self.rows.num_rows
+        new = rows.take(used)
+        self.rows = new if self.rows is None else pa.concat_tables([self.rows, new])
+        self.query = np.concatenate([self.query, query])
+        self.distance = np.concatenate([self.distance, distance[row, query]])
+        self.row = np.concatenate([self.row, first + at])
+        self._cut()
+
+    def _cut(self) -> None:
+        place = np.empty(self.rows.num_rows, np.int64)
+        place[pc.sort_indices(self.rows, sort_keys=[(self.pk, "ascending")]).to_numpy()] = np.arange(self.rows.num_rows)
+        order = np.lexsort((place[self.row], self.distance, self.query))
+        query = self.query[order]
+        keep = order[np.arange(len(order)) - np.searchsorted(query, query, side="left") < self.k]
+        self.query, self.distance = self.query[keep], self.distance[keep]
+        used, self.row = np.unique(self.row[keep], return_inverse=True)
+        self.rows = self.rows.take(used).combine_chunks()
+        full = np.bincount(self.query, minlength=len(self.bound)) == self.k
+        ends = np.searchsorted(self.query, np.flatnonzero(full), side="right") - 1
+        self.bound[full] = self.distance[ends]
+
+
+def _local_top_k(shared, k: int, pk: str, vec: str, payload: list[str], schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, pa.Table] | None] = [None] * len(query_ids)
+        query_ids, matrix = shared.value
+        unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+        near = _Nearest(len(query_ids), k, pk)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            data = _matrix(batch.column(vec))
-            norm = np.linalg.norm(data, axis=1)
-            dist = np.round(1.0 - (data @ unit.T) / norm[:, None], DIGITS)
-            keys = np.asarray(batch.column(pk).to_pylist(), dtype=object)
-            rows = pa.Table.from_batches([batch.select(payload)])
-            for q in range(len(query_ids)):
-                pick = _best(dist[:, q], keys, k)
-                d, p, t = dist[pick, q], keys[pick], rows.take(pick)
-                if held[q] is not None:
-                    hd, hp, ht = held[q]
-                    d, p, t = np.concatenate([hd, d]), np.concatenate([hp, p]), pa.concat_tables([ht, t])
-                    keep = _best(d, p, k)
-                    d, p, t = d[keep], p[keep], t.take(keep)
-                held[q] = (d, p, t)
-        for q, state in enumerate(held):
-            if state is None:
-                continue
-            d, _, t = state
-            ids = pa.array([query_ids[q]] * len(d), type=schema.field("query_id").type)
-            t = t.append_column("distance", pa.array(d)).add_column(0, "query_id", ids)
-            yield from t.combine_chunks().cast(schema).to_batches()
+            if batch.num_rows:
+                data = _matrix(batch.column(vec))
+                distance = np.round(1.0 - (data @ unit.T) / np.linalg.norm(data, axis=1)[:, None], DIGITS)
+                near.add(distance, pa.Table.from_batches([batch.select(payload)]))
+        if near.rows is not None:
+            ids = pa.array(query_ids, type=schema.field("query_id").type).take(pa.array(near.query))
+            found = near.rows.take(near.row).append_column("distance", pa.array(near.distance)).add_column(0, "query_id", ids)
+            yield from found.combine_chunks().cast(schema).to_batches()
 
     return run
 
@@ -103,29 +113,16 @@ def top_k(
     )
     arrow_schema = to_arrow_schema(out_schema)
 
-    def one_pass(rows: list) -> DataFrame:
-        matrix = np.asarray([r["query_vec"] for r in rows], dtype=np.float64)
-        fn = _local_top_k([r["query_id"] for r in rows], matrix, k, pk, vec, payload, arrow_schema)
-        return usable.mapInArrow(fn, out_schema)
-
     queries = queries.select("query_id", "query_vec").where(F.exists("query_vec", lambda x: x != 0))
-    rows = rows_within(queries, QUERIES_PER_PASS)
-    if rows is not None:
-        parts = [rows] if rows else []
-    else:
-        # more than one pass: cut the query table by hash until each part fits
-        total = queries.count()
-        shards = 2 * -(-total // QUERIES_PER_PASS)
-        parts = []
-        for s in range(shards):
-            part = rows_within(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(shards)) == s), 2 * QUERIES_PER_PASS)
-            if part is None:
-                raise ValueError("query ids do not spread over passes; are they unique?")
-            parts.append(part)
+    passes = queries.count() // QUERIES_PER_PASS + 1
     near = None
-    for part in parts:
-        if part:
-            found = one_pass(part)
+    for i in range(passes):
+        part = queries if passes == 1 else queries.where(F.pmod(F.xxhash64("query_id", "query_vec"), F.lit(passes)) == i)
+        rows = part.collect()
+        if rows:
+            block = ([r["query_id"] for r in rows], np.asarray([r["query_vec"] for r in rows], dtype=np.float64))
+            shared = vectors.sparkSession.sparkContext.broadcast(block)
+            found = usable.mapInArrow(_local_top_k(shared, k, pk, vec, payload, arrow_schema), out_schema)
             near = found if near is None else near.unionAll(found)
     if near is None:
         near = vectors.sparkSession.createDataFrame([], out_schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,19 +44,24 @@ def ship_package(spark: SparkSession) -> None:
     context._dossier_shipped = True
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where a local session names none; on a cluster that is an error,
-    since executors share no folder of the driver's machine.
+    A folder of our own is set only where a local session names none; on a cluster that is an error, since executors share no
+    folder of the driver's machine.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not context.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir is not set, and executors share no other folder")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="dossier-ckpt-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -69,13 +75,11 @@ def rows_within(df: DataFrame, limit: int) -> list | None:
     return rows if len(rows) <= limit else None
 
 
-def settled(df: DataFrame, limit: int) -> DataFrame:
+def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once, for a result used several times downstream.
 
-    Up to ``limit`` rows come back as a local relation, whose size the optimizer knows;
-    a larger result is written to the checkpoint folder instead.
+    It is written to the shared folder and read back, so the planner knows its size and decides by it.
     """
-    table = df.limit(limit + 1).toArrow()
-    if table.num_rows > limit:
-        return checkpoint(df)
-    return df.sparkSession.createDataFrame(table, df.schema)
+    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -22,29 +22,30 @@ def replaced(current: DataFrame, fresh: DataFrame, items: DataFrame, key: str =
 def write_chunks(spark: SparkSession, path: str, fresh: DataFrame, items: DataFrame, key: str = "parent_id", buckets: int = BUCKETS) -> None:
     """Replace the chunks of ``items`` in a table partitioned by key bucket.
 
-    Only buckets that hold a replaced item are rewritten, so a rerun gives the same table.
+    Only buckets that hold a replaced item are rewritten, so a rerun gives the same table. New rows are written before buckets
+    that are left without any go; large buckets are written by several tasks.
     """
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
     touched = items.select(bucket.alias("bucket")).distinct()
     fresh = fresh.withColumn("bucket", bucket)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     exists = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    rows = fresh
+    rows, empty = fresh, None
     if exists:
         current = spark.read.schema(fresh.schema).parquet(path).join(touched, "bucket", "left_semi")
         # cut the lineage first: the buckets being read are the ones being written
         rows = checkpoint(replaced(current.select(fresh.columns), fresh, items, key))
         empty = touched.join(rows.select("bucket").distinct(), "bucket", "left_anti")
-        for row in empty.limit(buckets).toLocalIterator():  # at most one entry per bucket
-            target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={row['bucket']}")
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
     (
-        rows.repartition("bucket")
+        rows.hint("rebalance", "bucket")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("bucket")
         .parquet(path)
     )
+    for row in empty.toLocalIterator() if empty is not None else ():  # at most one entry per bucket
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={row['bucket']}")
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def new_terms(candidates: DataFrame, existing: DataFrame) -> DataFrame:

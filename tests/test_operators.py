@@ -204,3 +204,38 @@ def test_weak_headings(spark):
     q, h = I.split_weak_headings(_items(spark, ["2.1.3", "2.1.3.1"], ["Storage and transport conditions", "Are temperature logs maintained during storage?"]))
     assert [r.question_id for r in q.collect()] == ["2.1.3.1"]
     assert [r.heading for r in h.collect()] == ["2.1.3 Storage and transport conditions"]
+
+
+def test_batches_of_dense_and_hashed_orders(spark):
+    from dossier.operators import ordered, terms
+
+    dense = spark.range(1000).select(F.col("id").alias("ord"))
+    for rows in (dense, dense.select(F.xxhash64("ord").alias("ord"))):
+        got = terms.batches(rows.repartition(7), "ord", 90).collect()
+        sizes = {}
+        for r in got:
+            sizes.setdefault(int(r.batch), []).append(r.ord)
+        assert [len(sizes[b]) for b in sorted(sizes)] == [90] * 11 + [10]
+        assert sorted(r.ord for r in got) == [o for b in sorted(sizes) for o in sorted(sizes[b])]
+    assert terms.batches(dense.where("false"), "ord", 90).count() == 0
+    assert ordered.BLOCK > 1
+
+
+def test_nearest_over_several_passes_and_ties(spark, monkeypatch):
+    import numpy as np
+
+    from dossier.operators import vectors
+
+    monkeypatch.setattr(vectors, "QUERIES_PER_PASS", 3)
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(40, 5))
+    rows = [(f"k{i:03d}", [float(x) for x in base[i % 40]], i) for i in range(160)]
+    table = spark.createDataFrame(rows, "pk string, embedding array<double>, place int").repartition(5)
+    asked = spark.createDataFrame([(q, [float(x) for x in rng.normal(size=5)]) for q in range(10)], "query_id int, query_vec array<double>")
+    got = {}
+    for r in vectors.top_k(table, asked, 6, "pk", payload=["place"]).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.pk, r.place))
+    for q in asked.collect():
+        v = np.array(q.query_vec)
+        best = sorted((round(float(1 - np.dot(v, x) / np.linalg.norm(v) / np.linalg.norm(x)), 9), k, i) for k, x, i in rows)[:6]
+        assert [(k, i) for _, k, i in sorted(got[q.query_id])] == [(k, i) for _, k, i in best]

@@ -45,8 +45,33 @@ def _automaton(token: str, shared):
     return _built[token]
 
 
-def _scan_udf(shared, once: bool):
-    """All occurrences; with ``once`` only the first occurrence of every pattern."""
+def _first_of_each(machine, sizes: dict[int, int], text: str):
+    """First occurrence of every pattern, as (pid, last place)."""
+    first: dict[int, int] = {}
+    for end, ids in machine.iter(text):
+        for pid in ids:
+            first.setdefault(pid, end)
+    return first.items()
+
+
+def _every(machine, sizes: dict[int, int], text: str):
+    """All occurrences."""
+    return [(pid, end) for end, ids in machine.iter(text) for pid in ids]
+
+
+def _apart(machine, sizes: dict[int, int], text: str):
+    """Occurrences of a reading without overlaps: the one that ends first, the longest of those, then on behind it."""
+    out, behind = [], 0
+    for end, ids in machine.iter(text):
+        usable = [(-sizes[pid], pid) for pid in ids if end + 1 - sizes[pid] >= behind]
+        if usable:
+            out.append((min(usable)[1], end))
+            behind = end + 1
+    return out
+
+
+def _scan_udf(shared, read):
+    """Occurrences that ``read`` picks in each text."""
     token = uuid4().hex
 
     @F.arrow_udf(T.ArrayType(_HIT))
@@ -54,17 +79,9 @@ def _scan_udf(shared, once: bool):
         machine, sizes = _automaton(token, shared)
         pids, stops, ends = [], [], [0]
         for text in texts.to_pylist():
-            if once:
-                first: dict[int, int] = {}
-                for end, ids in machine.iter(text or ""):
-                    for pid in ids:
-                        first.setdefault(pid, end)
-                pids += first.keys()
-                stops += first.values()
-            else:
-                for end, ids in machine.iter(text or ""):
-                    pids += ids
-                    stops += [end] * len(ids)
+            for pid, end in read(machine, sizes, text or ""):
+                pids.append(pid)
+                stops.append(end)
             ends.append(len(pids))
         stop = np.asarray(stops, dtype=np.int32) + 1
         width = np.asarray([sizes[p] for p in pids], dtype=np.int32)
@@ -124,10 +141,12 @@ def scan(df: DataFrame, text: str, patterns: DataFrame, mode: str = "standard",
     if mode not in ("contains", "standard"):
         raise ValueError("mode must be contains or standard")
     shared = _shards(patterns, shard)
-    found = [_scan_udf(b, once=mode == "contains")(F.col(text)) for b in shared]
+    # one automaton reads without overlaps by itself; the places of several are put in order first
+    read = _first_of_each if mode == "contains" else _apart if len(shared) == 1 else _every
+    found = [_scan_udf(b, read)(F.col(text)) for b in shared]
     hits = F.concat(*found) if found else F.array().cast(T.ArrayType(_HIT))
     df = df.withColumn(out, hits)
-    return df.withColumn(out, _standard(F.col(out))) if mode == "standard" else df
+    return df.withColumn(out, _standard(F.col(out))) if read is _every else df
 
 
 def hit_rows(df: DataFrame, keys: list[str], text: str, patterns: DataFrame, mode: str) -> DataFrame:

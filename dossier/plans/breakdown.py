@@ -18,6 +18,7 @@ from dossier.models import ChatModel, VisionModel, chat, require_items
 from dossier.operators import items as I
 from dossier.operators import numbering as N
 from dossier.operators import outline as L
+from dossier.operators.evaluate import key_coverage
 from dossier.operators.unnest import unnest, unnest_structs
 from dossier.params import BLOCK_LIMIT, VERIFY_BATCH
 from dossier.session import checkpoint
@@ -87,7 +88,8 @@ def with_key_ids(answered: DataFrame) -> DataFrame:
 
 
 def breakdown_v1(docs: DataFrame, model: ChatModel, limit: int = BLOCK_LIMIT, normalize: bool = True, keep: bool = False) -> dict[str, DataFrame]:
-    """items (doc_id, ord, question_id, question_text), failures and selected keys.
+    """items (doc_id, ord, question_id, question_text), failures, candidates and selected keys, the coverage of the candidates by them
+    (missing and repeated keys), and the documents whose every segment failed.
 
     Documents with a readable question table never reach the model. With ``keep`` the model
     answers are written to the checkpoint folder, so several results read them once.
@@ -104,14 +106,13 @@ def breakdown_v1(docs: DataFrame, model: ChatModel, limit: int = BLOCK_LIMIT, no
     failures = asked.where(F.col("error").isNotNull()).select("doc_id", "segment", "text", "error")
     selected = unnest_structs(asked, ["doc_id", "segment"], "items", ["source_key"]).where("source_key <> ''")
     candidates = unnest_structs(asked, ["doc_id", "segment"], "candidates", ["source_key", "question_id", "text", "kind", "source_line"])
-    return {"items": fast.unionByName(merged), "failures": failures, "selected": selected, "candidates": candidates}
+    return {"items": fast.unionByName(merged), "failures": failures, "selected": selected, "candidates": candidates,
+            "coverage": key_coverage(candidates, selected, ["doc_id", "segment"]), "failed": failed_documents(asked)}
 
 
-def failed_documents(segments: DataFrame, failures: DataFrame, items: DataFrame) -> DataFrame:
-    """Documents none of whose units of work succeeded."""
-    total = segments.groupBy("doc_id").agg(F.count("*").alias("units"))
-    bad = failures.groupBy("doc_id").agg(F.count("*").alias("failed"))
-    return total.join(bad, "doc_id").where("failed = units").select("doc_id")
+def failed_documents(units: DataFrame) -> DataFrame:
+    """Documents none of whose units of work (rows with ``error``) succeeded; in one pass, so answers are not asked for twice."""
+    return units.groupBy("doc_id").agg(F.bool_and(F.col("error").isNotNull()).alias("lost")).where("lost").select("doc_id")
 
 
 # --- v2: outline first -------------------------------------------------------------------
@@ -205,7 +206,7 @@ def breakdown_v2(docs: DataFrame, model: ChatModel, outline_model: ChatModel | N
         checked = checked.withColumn("own", F.when(many, F.lit(-1)).otherwise(F.col("ord"))).drop("batch")
         items = I.merged_by_id(checked, ["doc_id", "own"]).drop("own")
     failures = asked.where(F.col("error").isNotNull()).select("doc_id", F.col("chunk_idx").alias("segment"), "text", "error")
-    return {"items": items.select("doc_id", "ord", "question_id", "question_text"), "failures": failures}
+    return {"items": items.select("doc_id", "ord", "question_id", "question_text"), "failures": failures, "failed": failed_documents(asked)}
 
 
 # --- pages -------------------------------------------------------------------------------

@@ -95,6 +95,17 @@ def test_v1_failures_are_rows(spark):
     assert {(r.doc_id, r.error) for r in out["failures"].collect()} == {(1, "answer is not a JSON array of objects"), (2, "unknown source key")}
 
 
+def test_v1_coverage_and_lost_documents(spark):
+    md = "1.1 Wells of the plant\n1.2 Pipes of the plant\n1.3 Valves of the plant\n"
+    d = spark.createDataFrame([(1, md), (2, "1.1 Broken one here")], "doc_id bigint, text string")
+    keyed = [{"source_key": k, "role": "question", "question_text": "x"} for k in ("C001", "C001", "C003")]
+    out = B.breakdown_v1(d, Canned(Wells=keyed, Broken={"not": "a list"}), keep=True)
+    assert {(r.doc_id, r.source_key, r.status) for r in out["coverage"].collect() if r.doc_id == 1} == {(1, "C002", "missing"), (1, "C001", "duplicate")}
+    assert [r.doc_id for r in out["failed"].collect()] == [2]
+    lost = B.breakdown_v2(d, lambda prompts: ["not json"])
+    assert sorted(r.doc_id for r in lost["failed"].collect()) == [1, 2]
+
+
 TABLE = (
     "**4. Water**\n\n**4.2 Wells in use**\n\n**1) By region (last year)**\n\n**5. Staff**\n\n"
     "| Topic | Questions | Detailed questions and request for supporting materials |\n| --- | --- | --- |\n"

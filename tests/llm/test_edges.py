@@ -212,14 +212,37 @@ def test_topk_edges(spark):
     assert [r["vec_id"] for r in topk.top_k(huge, huge.where("vec_id = 0")).orderBy("rank").collect()] == [1, 2]
 
 
+class Sent:
+    """Stands for a broadcast."""
+
+    def __init__(self, value):
+        self.value = value
+
+
 @pytest.mark.parametrize("dense", [0.0, 0.25, 1.0])
-def test_topk_blocks_and_postings(spark, monkeypatch, dense):
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+def test_topk_blocks_and_postings(monkeypatch, dense):
     monkeypatch.setattr(topk, "SCORES", 50)
     monkeypatch.setattr(topk, "CANDIDATES", 16)
     monkeypatch.setattr(topk, "DENSE", dense)
     rng = np.random.default_rng(3)
-    rows = [(int(i), [float(x) for x in np.where(rng.random(6) < 0.5, 0, rng.normal(size=6)).astype(np.float32)]) for i in range(130)]
+    whole = np.where(rng.random((130, 6)) < 0.5, 0, rng.integers(-40, 40, (130, 6)))
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.arange(i, j)), pa.array(whole[i:j].tolist(), pa.list_(pa.int64()))], ["vec_id", "weights"]) for i, j in ((0, 50), (50, 51), (51, 130))]
+    asked = np.arange(0, 130, 5)
+    out = list(topk._ranked(iter(batches), Sent((np.arange(len(asked)), asked, whole[asked].astype(float))), 6))[0]
+    got = {}
+    for q, v, score in zip(out["query_id"].to_pylist(), out["vec_id"].to_pylist(), out["score"].to_pylist()):
+        got.setdefault(q, []).append((-score, v))
+    for q in asked.tolist():
+        assert sorted(got[q]) == sorted((-int(whole[q] @ whole[v]), v) for v in range(130) if v != q)[:6]
+    vectors, weights = whole.astype(float), whole[asked].astype(float)
+    assert (topk.Postings(vectors).scores(weights) == weights @ vectors.T).all()
+    assert (topk._whole_scores(weights, vectors) == weights @ vectors.T).all()
+
+
+def test_topk_in_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+    rng = np.random.default_rng(4)
+    rows = [(int(i), [float(x) for x in rng.normal(size=6).astype(np.float32)]) for i in range(130)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
     got = [tuple(r) for r in topk.top_k(vectors, vectors.where("vec_id % 5 = 0"), k=6).collect()]
     assert sorted(got) == sorted(brute.top_k(rows, k=6, every=5))
@@ -262,8 +285,21 @@ TURNS = [(1, 0, "user", "hi"), (1, 1, "assistant", r"a\b### x: </turn> <t> ünï
 
 
 @pytest.mark.parametrize("size", [8_000_000, 40])
-def test_chat_edges(spark, monkeypatch, size):
+def test_fragments_join_to_the_same_text(monkeypatch, size):
     monkeypatch.setattr(chat, "FRAGMENT_BYTES", size)
+    monkeypatch.setattr(chat, "TaskContext", Sent(None))
+    monkeypatch.setattr(chat.TaskContext, "get", lambda: Sent(None), raising=False)
+    monkeypatch.setattr(Sent, "partitionId", lambda self: 2, raising=False)
+    turns = [(1, i, ("user", "assistant")[i % 2], f"# turn {i} ü\\n" * 3) for i in range(20)] + [(2, 0, "assistant", "")]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*turns)], ["conv_id", "turn", "role", "text"])
+    rows = [r for out in chat._formatted(iter([batch])) for r in out.to_pylist()]
+    assert (len(rows) > 2) == (size == 40) and [r["part"] for r in rows] == sorted(r["part"] for r in rows)
+    whole = "".join(r["formatted"] for r in rows if r["conv_id"] == 1)
+    assert chat.parse(whole) == [(r, t) for c, _, r, t in turns if c == 1]
+    assert "".join(chat.plain(r["formatted"][s["start"]:s["end"]]) for r in rows for s in r["loss"]) == "".join(t for _, _, r, t in turns if r == "assistant")
+
+
+def test_chat_edges(spark):
     turns = spark.createDataFrame([(*t, "p") for t in TURNS], "conv_id long, turn long, role string, text string, part string").repartition(3)
     fragments = chat.format_chats(turns)
     got = {r["conv_id"]: tuple(r)[1:5] for r in chat.digests(fragments).collect()}

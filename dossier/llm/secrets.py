@@ -22,14 +22,19 @@ _BASE = (
     ("access", r"AKIA[A-Z0-9]+", 0, 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 0, 24),
 )
+# A key's text runs through the END line of its kind. Without one before the next BEGIN it ends with its base64 lines: header fields, lines of
+# 16 characters or more, a shorter last one. Line ends may be written out as \\n, and lines be indented, quoted or run together by blanks.
+_GAP = r"[\x20\t]*+(?:\\[nr]|\r?\n)(?:\\[nr]|[\x20\t\r\n>])*+"
+_CLOSED = r"(?:(?!-----BEGIN\x20)[\s\S])*?-----END\x20(?P=owner)PRIVATE KEY-----"
+_OPEN = rf"(?:(?:{_GAP}[A-Za-z][A-Za-z0-9-]*+:[^\n\\]*+)*+(?:(?:{_GAP}|\x20*+)[A-Za-z0-9+/=]{{16,}}+)++(?:{_GAP}[A-Za-z0-9+/=]++(?![^\s\\\"']))?+)?+"
 # Published shapes of further credentials, after the base kinds.
 _MORE = (
-    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0, 1),
+    ("private_key", rf"-----BEGIN (?P<owner>[A-Z ]*)PRIVATE KEY-----(?:{_CLOSED}|{_OPEN})", 0, 0, 1),
     ("code_host", r"\b(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,}", 0, 0, 1),
     ("chat_bot", r"\bxox[abprs]-[A-Za-z0-9-]{10,}", 0, 0, 1),
     ("web_token", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0, 1),
     ("map_key", r"\bAIza[A-Za-z0-9_-]{35}", 0, 0, 1),
-    ("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{3,128}@", 0, 0, 1),
+    ("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]++:[^\s/:@]{3,}+@", 0, 0, 1),
 )
 RULES = tuple((kind, re.compile(pattern, flags), group, least) for kind, pattern, flags, group, least in _BASE + _MORE)
 BASE_KINDS = tuple(kind for kind, *_ in _BASE)

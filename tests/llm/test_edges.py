@@ -197,6 +197,30 @@ def test_masking(spark, tmp_path, none):
     assert secrets.mask(none, f"file://{tmp_path}/n").count() == 0
 
 
+BODY = ["MIIEowIBAAKCAQEA" + "aB3/+9xZ" * 6] * 4
+
+
+@pytest.mark.parametrize("owner, line, head", [("RSA ", "\n", ""), ("", "\r\n", ""), ("ENCRYPTED ", "\\n", ""), ("EC ", "\n    ", ""), ("OPENSSH ", "\n> ", ""), ("RSA ", "\n", "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0F3A\n")])
+def test_whole_keys_are_masked(spark, tmp_path, owner, line, head):
+    begin, end = f"-----BEGIN {owner}PRIVATE KEY-----", f"-----END {owner}PRIVATE KEY-----"
+    body = line.join([*BODY, "Qx7="])
+    closed, cut = f"{begin}{head}{line}{body}{line}{end}", f"{begin}{head}{line}{body}"
+    other = f"-----END X{owner}PRIVATE KEY-----"
+    texts = [f"see {closed} there", f"see {cut}\nand then more", f"{cut}\n\n{closed}\n{end}", f"{cut}\n{other} tail", f"the line {begin} alone", cut]
+    m = secrets.MASK
+    want = [f"see {m} there", f"see {m}\nand then more", f"{m}\n\n{m}\n{end}", f"{m}\n{other} tail", f"the line {m} alone", m]
+    got = secrets.mask(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), f"file://{tmp_path}/keys")
+    assert [r["text"] for r in got.orderBy("doc_id").collect()] == want
+
+
+def test_long_logins_and_broken_keys_take_linear_time():
+    login = "https://" + "u" * 5_000 + ":" + "p" * 5_000 + "@"
+    assert secrets.find(f"at {login}host") == [(3, 3 + len(login), "url_login")]
+    begin = "-----BEGIN PRIVATE KEY-----"
+    for text in (begin * 5_000, (begin + " \n" * 20) * 500, begin + "\n \n" * 50_000 + "x", "https://" + "u" * 500_000):
+        assert len(secrets.find(text)) == text.count(begin)
+
+
 def test_topk_edges(spark):
     big = 3e38
     rows = [(0, [1.0, 0.5]), (20, [1.0, 0.5]), (1, [1.0, 0.5]), (1, [1.0, 0.5]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]),

@@ -60,6 +60,11 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+def content_of(text: str) -> Column:
+    """SHA-256 of a text, 32 bytes; a null text counts as an empty one."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+
+
 # The word class of the contracts is every code point but ASCII other than digits and letters, letters in lower case.
 _ASCII_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 

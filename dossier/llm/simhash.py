@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.shared import components, over_batches, same, slices, star_links, stored
+from dossier.llm import resemblance
+from dossier.llm.shared import components, over_batches, slices, star_links, stored
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 #: Every half of a fingerprint has a tree of its own, with this many levels of vantage points.
@@ -258,7 +259,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``docs`` without those that a row with a smaller key stands for. Of repeated rows with one key all stay or go."""
-    found = near_duplicates(docs, key, text)
-    gone = found.where(~same(F.col("doc_id"), F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, same(docs[key], F.col("_gone")), "left_anti")
+    """Rows of ``docs`` without those that a near copy stands for.
+
+    64 bits can't tell near copies by five-word shingles from others: at a resemblance of 0.8 fingerprints are about 10 bits apart and often 16, where trees
+    rule nothing out. So candidates come from samples of the shingle sets and are checked on the sets (``resemblance``).
+    """
+    return resemblance.one_of_each(docs, key, text)

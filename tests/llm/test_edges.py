@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from dossier.llm import chat, decontaminate, ledger, licenses, packing, quality, secrets, shared, simhash, tokens, topk, vocabulary, warc
+from dossier.llm import chat, decontaminate, ledger, licenses, packing, quality, resemblance, secrets, shared, simhash, tokens, topk, vocabulary, warc
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 LONG = "Wörter über Wörter, " * 40_000
@@ -56,6 +56,63 @@ def test_simhash_edges(spark, odd, none):
     assert simhash.one_of_each(none).count() == 0
 
 
+def resembling(rows, least=0.8):
+    """rows: (doc_id, text) -> ids of each group that five-word sets with a resemblance of ``least`` or more lead to."""
+    sets, group = [], list(range(len(rows)))
+    for _, text in rows:
+        w = (text or "").translate(brute.LOWER).split()
+        sets.append({tuple(w[i:i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    for i, one in enumerate(sets):
+        for n, other in enumerate(sets[:i]):
+            if len(one & other) >= least * len(one | other):
+                group = [group[n] if g == group[i] else g for g in group]
+    return {frozenset(rows[i][0] for i, g in enumerate(group) if g == name) for name in group}
+
+
+def edited(seed, bases=12, copies=12):
+    """Texts with 0 to 5 words changed, so that resemblances lie on both sides of 0.8; the last base's copies are a large group."""
+    draw = np.random.default_rng(seed)
+    out = []
+    for base in range(bases):
+        words = [f"w{n}" for n in draw.integers(0, 5_000, int(draw.integers(60, 160)))]
+        for _ in range(copies * (5 if base == bases - 1 else 1)):
+            text = list(words)
+            for at in draw.integers(0, len(text), int(draw.integers(0, 6))):
+                text[at] = f"x{draw.integers(0, 5_000)}"
+            out.append(" ".join(text))
+    return out + ["", None, " \n", "four words are short", "FOUR words  are short", "four words are not"]
+
+
+def test_near_copies_by_their_sets(spark):
+    rows = list(enumerate(edited(5)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    want = resembling(rows)
+    assert {len(g) for g in want} > {1} and len(want) < len(rows)
+    found = {}
+    for r in resemblance.groups(docs)[0].collect():
+        found.setdefault(r["root"], set()).add(r["doc_id"])
+    assert {frozenset(g) for g in found.values()} == want
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == sorted(min(g) for g in want)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 100])
+def test_buckets_over_batches(size):
+    rows = [(1, 5), (2, 5), (2, 6), (2, 7), (3, 1), (4, 1), (5, 2), (5, 3), (6, 9)]
+    table = pa.table({"bucket": [b for b, _ in rows], "node": [n for _, n in rows], "n": [10] * len(rows)})
+    got = [tuple(r.values()) for b in resemblance._met(table.to_batches(max_chunksize=size)) for r in b.to_pylist()]
+    assert got == [(1, 5, 10, -1), (2, 5, 10, -1), (2, 6, 10, 5), (2, 7, 10, 6), (5, 2, 10, -1), (5, 3, 10, 2), (6, 9, 10, -1)]
+    members = pa.table({"bucket": [1, 1, 1, 1, 2, 2], "n": [8, 9, 10, 20, 5, 5], "node": [4, 2, 3, 1, 7, 8], "root": [4, 2, 2, 1, 7, 7]})
+    found = [tuple(r.values()) for b in resemblance._across(members.to_batches(max_chunksize=size), 0.8) for r in b.to_pylist()]
+    assert sorted(found) == [(2, 4), (3, 4)]
+
+
+def test_near_copies_go_row_by_row(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(None, a), (None, a), (None, a + " more"), (None, "alone"), (None, b + " end"), (7, b), (7, "other text of seven"), (8, b), (None, None), (None, "")]
+    kept = simhash.one_of_each(spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, n int")).collect()
+    assert sorted((r["doc_id"] or 0, (r["text"] or "")[:2]) for r in kept) == [(0, ""), (0, "a0"), (0, "al"), (7, "b0"), (7, "ot")]
+
+
 def test_long_and_short_hash_lists_agree():
     hashes = simhash._hashes(LONG)
     assert simhash._long_majority(hashes)[0] == simhash._majority([hashes])[0] == brute.fingerprint(LONG)
@@ -435,6 +492,17 @@ PAGES = [(1, "http://a.example/x", "<html lang='en'><head><title>T &amp; t</titl
          (2, None, None), (3, "u", ""), (4, "u\nv", "plain\ntext"), (4, "u\nv", "plain\ntext"), (None, "n", "<p>open <b")]
 
 
+def test_rows_without_keys_are_accepted_one_by_one(spark):
+    docs, labels = labelled(spark)
+    without, shared_key = (docs.withColumn("doc_id", F.lit(k).cast("long")) for k in (None, -5))
+    rows = docs.join(labels, "doc_id", "left_semi").union(without).union(shared_key).withColumn("shown", F.col("text"))
+    verdicts = quality.classify(rows, labels, F.col("source"), F.col("lang"), carried=("shown",)).where("doc_id IS NULL OR doc_id = -5")
+    want = sorted((r["doc_id"] or 0, r["shown"]) for r in verdicts.where("accepted").collect())
+    assert 0 < len(want) < verdicts.count()
+    kept = quality.keep_accepted(rows, labels, F.col("source"), F.col("lang")).where("doc_id IS NULL OR doc_id = -5")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == want
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(*p, "x") for p in PAGES], "page_id long, url string, html string, block string")
     found = warc.responses(pages, "2024-01-01T00:00:00Z")

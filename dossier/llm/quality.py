@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.shared import over_batches, same, slices, stored
+from dossier.llm.shared import content_of, fresh_name, over_batches, same, slices, stored
 
 #: Labelled documents that the document classifier is fitted on, at most (chosen by hash); words of its lexicon, at most.
 LABELLED, LEXICON = 20_000, 2_000
@@ -186,7 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 def _scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         doc, toxic = model.value.score(batch.column(3).to_pylist())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(doc), pa.array(toxic)], ["doc_id", "host", "path", "doc_score", "toxic_score"])
+        columns = [*batch.columns[:3], pa.array(doc), pa.array(toxic), *batch.columns[4:]]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "host", "path", "doc_score", "toxic_score", *batch.schema.names[4:]])
 
 
 def _logit(p: Column) -> Column:
@@ -228,19 +229,19 @@ def posteriors(scores: DataFrame) -> tuple[DataFrame, float]:
     return nested.select("host", "path", rate.alias("site_rate"), F.col("n").cast("long").alias("site_n")), overall
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key: str = "doc_id", text: str = "text", threshold: float = 0.5, toxic_limit: float = 0.7) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key: str = "doc_id", text: str = "text", threshold: float = 0.5, toxic_limit: float = 0.7, carried: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, host, path, doc_score, toxic_score, site_rate, site_n, score, accepted`` of every row.
 
     The document's odds of being good are multiplied by how much its site's posterior odds differ from the global ones; a document is accepted at
     ``threshold``, unless it is toxic by ``toxic_limit`` or more. A site with few documents has nearly the global rate, so it moves nothing.
 
     A null or blank text has no evidence of its own but its emptiness (all features zero). Null hosts and paths are sites of their own. Repeated rows give repeated
-    rows with equal answers; null keys stay; no rows give none; other columns play no part.
+    rows with equal answers; null keys stay; no rows give none; other columns play no part. Columns of ``docs`` in ``carried`` are handed through.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, key, text))
-    rows = docs.select(F.col(key).alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col(text).alias("text"))
-    kind = docs.schema[key].dataType.simpleString()
-    scored = stored(over_batches(rows, partial(_scored, model=model), f"doc_id {kind}, host string, path string, doc_score double, toxic_score double"), "scores")
+    rows = docs.select(F.col(key).alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col(text).alias("text"), *carried)
+    kinds = ", ".join([f"doc_id {docs.schema[key].dataType.simpleString()}, host string, path string, doc_score double, toxic_score double", *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carried)])
+    scored = stored(over_batches(rows, partial(_scored, model=model), kinds), "scores")
     known = labels.where("quality IS NOT NULL").groupBy(F.col(key).alias("_key")).agg(F.min((F.col("quality") > 0).cast("double")).alias("label"))
     evidence = scored.join(known, scored["doc_id"] == known["_key"], "left").select("host", "path", F.coalesce("label", "doc_score").alias("evidence"))
     sites, overall = posteriors(evidence)
@@ -254,6 +255,13 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key
 
 
 def keep_accepted(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose key no rejected row has, with all their columns."""
-    rejected = classify(docs, labels, host, path, key, text).where("NOT accepted").select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(rejected, same(docs[key], F.col("_rejected")), "left_anti")
+    """Rows of ``docs`` that are accepted, with all their columns.
+
+    What is decided of a row follows from its text, host and path, so rejected rows are known by these (the text by its SHA-256) and never by their key.
+    """
+    content = fresh_name(docs, "content")
+    marked = docs.withColumn(content, content_of(text))
+    rejected = classify(marked, labels, host, path, key, text, carried=(content,)).where("NOT accepted")
+    rejected = stored(rejected.select(F.col(content).alias("_content"), F.col("host").alias("_host"), F.col("path").alias("_path")).distinct(), "rejected")
+    equal = (marked[content] == rejected["_content"]) & same(host.cast("string"), rejected["_host"]) & same(path.cast("string"), rejected["_path"])
+    return marked.join(rejected, equal, "left_anti").select(*docs.columns)

@@ -101,9 +101,35 @@ def test_buckets_over_batches(size):
     table = pa.table({"bucket": [b for b, _ in rows], "node": [n for _, n in rows], "n": [10] * len(rows)})
     got = [tuple(r.values()) for b in resemblance._met(table.to_batches(max_chunksize=size)) for r in b.to_pylist()]
     assert got == [(1, 5, 10, -1), (2, 5, 10, -1), (2, 6, 10, 5), (2, 7, 10, 6), (5, 2, 10, -1), (5, 3, 10, 2), (6, 9, 10, -1)]
-    members = pa.table({"bucket": [1, 1, 1, 1, 2, 2], "n": [8, 9, 10, 20, 5, 5], "node": [4, 2, 3, 1, 7, 8], "root": [4, 2, 2, 1, 7, 7]})
-    found = [tuple(r.values()) for b in resemblance._across(members.to_batches(max_chunksize=size), 0.8) for r in b.to_pylist()]
-    assert sorted(found) == [(2, 4), (3, 4)]
+
+
+def test_block_links_equal_all_pairs():
+    draw = np.random.default_rng(3)
+    base = np.arange(100)
+    sets = [np.unique(np.concatenate([draw.choice(base, 100 - int(draw.integers(0, 18)), replace=False), draw.integers(1_000, 9_000, int(draw.integers(0, 12)))])) for _ in range(60)]
+    rows = [{"cluster": 1, "block": n % 2, "visitor": False, "needle": n > 5, "root": min(n, 3) if n < 6 else n, "hashes": s.tolist()} for n, s in enumerate(sets)]
+    rows += [{**r, "block": 1 - r["block"], "visitor": True} for r in rows if r["needle"]]
+    rows += [{**r, "cluster": 2, "root": r["root"] + 100} for r in rows[:2] if not r["visitor"]]
+    rows.sort(key=lambda r: (r["cluster"], r["block"], r["visitor"]))
+
+    def groups_of(links, nodes):
+        group = {n: n for n in nodes}
+        for a, b in links:
+            group = {n: group[a] if g == group[b] else g for n, g in group.items()}
+        return {frozenset(n for n in group if group[n] == g) for g in group.values()}
+
+    def alike(one, other):
+        common = len(np.intersect1d(one, other))
+        return common >= 0.8 * (len(one) + len(other) - common)
+
+    root = [min(n, 3) if n < 6 else n for n in range(60)]
+    want = [(root[i], root[n]) for i in range(6, 60) for n in range(i) if alike(sets[i], sets[n])]
+    nodes = {r["root"] for r in rows if r["cluster"] == 1}
+    table = pa.Table.from_pylist(rows)
+    for size in (1, 7, 1_000):
+        got = [(r["a"], r["b"]) for b in resemblance._joined(table.to_batches(max_chunksize=size), 0.8) for r in b.to_pylist()]
+        assert groups_of(got, nodes) == groups_of(want, nodes)
+        assert len(got) < len(nodes)
 
 
 def test_near_copies_go_row_by_row(spark):

@@ -167,8 +167,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     marked = labels.where(f"{key} IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col(key).alias("_key")).agg(F.min("quality").alias("good"), F.max("toxic").alias("toxic"))
     n = marked.count()
     share = min(1.0, LABELLED / max(n, 1))
-    chosen = marked.where(F.pmod(F.xxhash64("_key"), F.lit(1_000_003)) < int(share * 1_000_003)) if share < 1 else marked
-    found = docs.join(F.broadcast(chosen), docs[key] == F.col("_key")).select(F.col("_key").alias("doc_id"), docs[text].alias("text"), "good", "toxic")
+    # the same share of the range of a 64-bit hash
+    chosen = marked.where(F.xxhash64("_key") < int((2 * share - 1) * 2**63)) if share < 1 else marked
+    narrow = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))
+    found = narrow.join(F.broadcast(chosen), "_key").select(F.col("_key").alias("doc_id"), "text", "good", "toxic")
     # copies of a text count once, or their words would look like marks of their label
     once = found.where("text IS NOT NULL").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.min("good").alias("good"), F.max("toxic").alias("toxic"))
     sample = stored(once.select("doc_id", "text", "good", "toxic"), "labelled")

@@ -23,6 +23,25 @@ RESULT = "n_words long, n_hit long, n_items long, items array<string>, longest l
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
+_MIX = np.random.default_rng(7).integers(0, 2**63, 3, dtype=np.uint64) | np.uint64(1)
+
+
+class _Hashed:
+    """Sums of hashed words times powers of a number, from which the hash of any stretch follows. Zeros match nothing on another ``side``."""
+
+    def __init__(self, words: np.ndarray, side: int) -> None:
+        values = words.astype(np.uint64)
+        values = np.where(values > 0, values, np.uint64(1 << 62 | side)) * _MIX[0]
+        values = (values ^ values >> np.uint64(29)) * _MIX[1]
+        self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(words), _MIX[2])]), dtype=np.uint64)
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum((values ^ values >> np.uint64(32)) * self.powers[:-1], dtype=np.uint64)])
+
+
+def _equal(a: _Hashed, b: _Hashed, at: np.ndarray, other: np.ndarray, length: np.ndarray) -> np.ndarray:
+    powers = a.powers if len(a.powers) > len(b.powers) else b.powers
+    return (a.sums[at + length] - a.sums[at]) * powers[other] == (b.sums[other + length] - b.sums[other]) * powers[at]
+
+
 class Suffixes:
     """Test suffixes of a benchmark block, ready to be looked up: word numbers, windows and the item of each."""
 
@@ -46,6 +65,21 @@ class Suffixes:
         self.bits = max(1, int(len(self.number) + 1).bit_length())
         self.pairs = np.unique(self._pairs(self.words)) if len(self.words) else np.array([], np.int64)
         self.lone = bool((self.need == 1).any())
+        self._sort_windows()
+
+    def _sort_windows(self) -> None:
+        """Distinct windows, each looked up once: one of their suffixes, all of them by the word in front, and their items."""
+        asked = np.flatnonzero(self.need > 0)
+        table = np.column_stack([self.need[asked], self.keys(self.words, asked)]) if len(asked) else np.zeros((0, 2), np.int64)
+        _, first, kind = np.unique(table, axis=0, return_index=True, return_inverse=True)
+        kind = kind.ravel()
+        self.window, self.window_need = asked[first], self.need[asked[first]]
+        self.wide = len(self.number) + 1
+        front = np.where(asked > 0, self.words[asked - 1], 0) if len(asked) else asked
+        order = np.argsort(kind * self.wide + front, kind="stable")
+        self.suffixes, self.fronts = asked[order], (kind * self.wide + front)[order]
+        self.window_items = np.unique(np.column_stack([kind, self.owner[asked]]), axis=0) if len(asked) else np.zeros((0, 2), np.int64)
+        self.hashed = _Hashed(self.words, 1)
 
     def _pairs(self, numbers: np.ndarray) -> np.ndarray:
         """Number of each word with the next one; 0 where either is missing."""
@@ -120,33 +154,45 @@ class Shard:
         order = _order(keys)
         self.at, self.sorted = at[order], keys[order]
 
-    def matches(self) -> tuple[np.ndarray, ...]:
-        """``(place, item, window length, test suffix)`` of every occurrence of every window."""
+    def matches(self) -> tuple[np.ndarray, np.ndarray]:
+        """``(place, window)`` of every occurrence of every distinct window."""
         tests = self.tests
-        asked = np.flatnonzero(tests.need > 0)
-        if not len(asked) or not len(self.at):
-            return (np.array([], np.int64),) * 4
-        need = tests.need[asked]
-        keys = tests.keys(tests.words, asked)
-        tops = tests.top(need, keys)
+        if not len(tests.window) or not len(self.at):
+            return (np.array([], np.int64),) * 2
+        keys = tests.keys(tests.words, tests.window)
+        tops = tests.top(tests.window_need, keys)
         low, high = _search(self.sorted, keys, after=False), _search(self.sorted, tops, after=True)
         count = high - low
-        each = np.repeat(np.arange(len(asked)), count)
+        each = np.repeat(np.arange(len(keys)), count)
         place = self.at[low[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)]
-        return place, tests.owner[asked[each]], need[each], asked[each]
+        return place, each
+
+    def longest(self, place: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(place, test suffix, length)`` of the matches that no word in front makes longer; the longest match of a text is one of them."""
+        tests = self.tests
+        front = np.where(place > 0, self.numbers[place - 1], 0)
+        base = window * tests.wide
+        start, end = np.searchsorted(tests.fronts, base), np.searchsorted(tests.fronts, base + tests.wide)
+        cut = np.where(front > 0, np.searchsorted(tests.fronts, base + front), end)
+        again = np.where(front > 0, np.searchsorted(tests.fronts, base + front, side="right"), end)
+        low, count = np.concatenate([start, again]), np.concatenate([cut - start, end - again])
+        each = np.repeat(np.arange(len(low)), count)
+        test = tests.suffixes[low[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)]
+        place, need = np.tile(place, 2)[each], np.tile(tests.window_need[window], 2)[each]
+        return place, test, self.extended(place, test, need)
 
     def extended(self, place: np.ndarray, test: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """How far each match goes on word by word beyond its window."""
-        numbers = np.append(self.numbers, 0)
-        words = np.append(self.tests.words, 0)
-        length = length.copy()
-        going = np.arange(len(place))
-        while len(going):
-            d = numbers[np.minimum(place[going] + length[going], len(numbers) - 1)]
-            t = words[np.minimum(test[going] + length[going], len(words) - 1)]
-            going = going[(d > 0) & (d == t)]
-            length[going] += 1
-        return length
+        """How far each match goes on beyond its window: a binary search over hashes of stretches."""
+        own, other = _Hashed(self.numbers, 2), self.tests.hashed
+        low, high = length.copy(), np.minimum(len(self.numbers) - place, len(self.tests.words) - test)
+        while len(going := np.flatnonzero(low < high)):
+            middle = (low[going] + high[going] + 1) // 2
+            # most matches end at once, so the first steps are short
+            middle = np.minimum(middle, np.maximum(low[going] + 1, 2 * low[going] - length[going]))
+            same = _equal(own, other, place[going], test[going], middle)
+            low[going] = np.where(same, middle, low[going])
+            high[going] = np.where(same, high[going], middle - 1)
+        return low
 
 
 def _spans(places: np.ndarray, ends: np.ndarray) -> list[dict]:
@@ -162,23 +208,29 @@ def _spans(places: np.ndarray, ends: np.ndarray) -> list[dict]:
 
 def _of_shard(tests: Suffixes, docs: list[list[bytes]]) -> list[tuple]:
     shard = Shard(tests, docs)
-    found = shard.matches()
+    place, window = shard.matches()
     rows: list[tuple] = [(len(words), 0, 0, [], 0, None, None, []) for words in docs]
-    if not len(found[0]):
+    if not len(place):
         return rows
-    place, item, need, test = found
-    length = shard.extended(place, test, need)
     order = np.argsort(place, kind="stable")
-    place, item, need, length = place[order], item[order], need[order], length[order]
+    place, window = place[order], window[order]
+    need = tests.window_need[window]
+    start_of, test_of, length = shard.longest(place, window)
+    owner = np.searchsorted(shard.bounds, start_of, side="right") - 1
+    # of each text the longest match, then the earliest, then the smallest item (items are numbered in their order)
+    best = np.lexsort((tests.owner[test_of], start_of, -length, owner))
+    best = best[np.searchsorted(owner[best], np.arange(len(docs)))[np.unique(owner)]]
+    top = {int(owner[i]): i for i in best}
     doc = np.searchsorted(shard.bounds, place, side="right") - 1
     for start, end in zip(*_runs(doc)):
         d = int(doc[start])
         at = place[start:end] - shard.bounds[d]
         hits = _spans(at, at + need[start:end])
-        items = sorted({tests.items[i] for i in np.unique(item[start:end])})
-        size = length[start:end]
-        best = min(np.flatnonzero(size == size.max()).tolist(), key=lambda i: (at[i], tests.items[item[start + i]]))
-        rows[d] = (len(docs[d]), sum(h["end"] - h["start"] for h in hits), len(items), items, int(size[best]), tests.items[item[start + best]], int(at[best]), hits)
+        kinds = np.unique(window[start:end])
+        low, high = np.searchsorted(tests.window_items[:, 0], kinds), np.searchsorted(tests.window_items[:, 0], kinds, side="right")
+        items = sorted({tests.items[i] for a, b in zip(low.tolist(), high.tolist()) for i in tests.window_items[a:b, 1].tolist()})
+        i = top[d]
+        rows[d] = (len(docs[d]), sum(h["end"] - h["start"] for h in hits), len(items), items, int(length[i]), tests.items[tests.owner[test_of[i]]], int(start_of[i] - shard.bounds[d]), hits)
     return rows
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm.ledger import Ledger
-from dossier.llm.shared import over_batches, same, slices, stored
+from dossier.llm.shared import fresh_name, over_batches, same, slices, stored
 
 FINDINGS = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
@@ -32,7 +32,7 @@ _MORE = (
     ("private_key", rf"-----BEGIN (?P<owner>[A-Z ]*)PRIVATE KEY-----(?:{_CLOSED}|{_OPEN})", 0, 0, 1),
     ("code_host", r"\b(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,}", 0, 0, 1),
     ("chat_bot", r"\bxox[abprs]-[A-Za-z0-9-]{10,}", 0, 0, 1),
-    ("web_token", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0, 1),
+    ("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", 0, 0, 1),
     ("map_key", r"\bAIza[A-Za-z0-9_-]{35}", 0, 0, 1),
     ("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]++:[^\s/:@]{3,}+@", 0, 0, 1),
 )
@@ -112,13 +112,14 @@ def mask(docs: DataFrame, ledger_path: str, text: str = "text") -> DataFrame:
     """All rows and columns of ``docs``, with every finding in ``text`` replaced by ``[secret]``; overlapping findings become one.
 
     Texts without a finding, null ones among them, stay as they are. Rows meet their findings by the content's digest, so repeated rows and rows with
-    a null key are masked alike.
+    a null key are masked alike. Columns may have any names.
     """
     ledger = Ledger(docs.sparkSession, ledger_path, FINDINGS)
     digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
     contents = docs.select(digest.alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("content"))
     ledger.append(over_batches(ledger.unseen(contents, RULES_VERSION), partial(_scanned, version=RULES_VERSION), ledger.schema))
+    named, listed = fresh_name(docs, "_digest"), fresh_name(docs, "_spans")
     # written apart, so that the planner knows its size and moves no text where it is small
-    found = stored(ledger.rows(RULES_VERSION).where("spans <> ''").select(F.col("digest").alias("_digest"), F.col("spans").alias("_spans")), "findings")
-    rows = docs.join(found, same(digest, F.col("_digest")), "left").select(*[docs[c] for c in docs.columns], "_spans")
+    found = stored(ledger.rows(RULES_VERSION).where("spans <> ''").select(F.col("digest").alias(named), F.col("spans").alias(listed)), "findings")
+    rows = docs.join(found, same(digest, F.col(named)), "left").select(*[docs[c] for c in docs.columns], listed)
     return over_batches(rows, partial(_masked, column=docs.columns.index(text)), docs.schema)

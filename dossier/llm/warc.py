@@ -20,7 +20,7 @@ RESPONSE = "page_id {key}, record_id string, target_uri string, date string, htt
 DERIVED = "page_id {key}, record_type string, record_id string, refers_to string, target_uri string, content_type string, content_length long, block_digest string, source_digest string, headers string, block string"
 NEWLINE = "\r\n"
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title)\b[^>]*>(.*?)(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL | re.IGNORECASE)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title)\b[^<>]*+>(.*?)(?:</\1\s*+>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^<>]*+>", re.DOTALL | re.IGNORECASE)
 _HREF = re.compile(r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _LANG = re.compile(r"""\blang\s*=\s*["']?([A-Za-z-]+)""", re.IGNORECASE)
 _SPACE = re.compile(r"[ \t\r\f\v ]+")

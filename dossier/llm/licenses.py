@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
+from functools import lru_cache, partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -163,26 +163,27 @@ class Scanner:
         out = []
         for i, hits in by_template.items():
             chains: list[list[int]] = []  # start, end, end in the template, words covered
+            open_: list[list[int]] = []
             for start, end, low, high in sorted(hits):
-                best = None
-                for chain in reversed(chains):
-                    if start - chain[1] > GAP:
-                        break
-                    if start >= chain[1] and 0 <= low - chain[2] <= GAP and (best is None or chain[3] > best[3]):
-                        best = chain
+                # what ends too far in front is out of reach for all further hits too
+                chains += [c for c in open_ if start - c[1] > GAP]
+                open_ = [c for c in open_ if start - c[1] <= GAP]
+                fits = [c for c in open_ if start >= c[1] and 0 <= low - c[2] <= GAP]
+                best = max(reversed(fits), key=lambda c: c[3], default=None)
                 if best is not None:
-                    chains.remove(best)
-                    chains.append([best[0], end, high, best[3] + high - low])
+                    open_.remove(best)
+                    open_.append([best[0], end, high, best[3] + high - low])
                 else:
-                    chains.append([start, end, high, high - low])
-                chains.sort(key=lambda c: c[1])
+                    open_.append([start, end, high, high - low])
+                open_.sort(key=lambda c: c[1])
+            chains += open_
             out += [(self.labels[i], c[0], c[1], c[3] / self.sizes[i]) for c in chains if c[3] >= LEAST_COVER * self.sizes[i]]
         return sorted(out, key=lambda s: (s[1], s[2], s[0]))
 
 
-@lru_cache(maxsize=1)
-def _scanner() -> Scanner:
-    return Scanner()
+@lru_cache(maxsize=4)
+def _scanner(templates: tuple[tuple[str, str], ...]) -> Scanner:
+    return Scanner(templates=templates)
 
 
 _SPANS = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("cover", pa.float64())]))
@@ -190,22 +191,23 @@ _TYPES = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), _SPANS]
 _NAMES = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
 
 
-def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    scan = _scanner().scan
+def _scanned(batches: Iterator[pa.RecordBatch], templates: tuple[tuple[str, str], ...]) -> Iterator[pa.RecordBatch]:
+    scan = _scanner(templates).scan
     for batch in slices(batches):
         rows = [scan(text) for text in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), _TYPES))], ["doc_id", *_NAMES])
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: Iterable[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """``doc_id``, the words, base places and labels of every row, and ``spans`` of template text with the share covered.
 
     Every task streams its texts through one automaton of all phrases and templates, which gives at each word the longest run of template words that
     ends there. Phrases are read off the states; matches of five words or more are chained to spans, and a template that a chain covers by half
-    or more gives its label. ``score`` is the largest share covered, 1 for a base phrase, else 0. Nothing is shuffled, and the automaton is of fixed size.
+    or more gives its label. ``templates`` are pairs of label and text, of any number that a worker's automaton should hold; the built-in ones are openings of
+    licenses. ``score`` is the largest share covered, 1 for a base phrase, else 0. Nothing is shuffled, and the automaton is of fixed size.
 
     A null text is empty: no words, no places (null first and last), empty labels, score 0. Repeated rows give repeated rows, null keys stay, no
     rows give none; other columns play no part.
     """
     kind = docs.schema[key].dataType.simpleString()
-    return over_batches(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), _scanned, f"doc_id {kind}, {RESULT}")
+    return over_batches(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), partial(_scanned, templates=tuple(templates)), f"doc_id {kind}, {RESULT}")

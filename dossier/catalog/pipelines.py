@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import functions as F
@@ -95,6 +97,34 @@ def breakdown_reading(t):
     return _hashed(unnest_structs(out, ["doc_id", "place", "section"], "questions", ["question_id", "question_text"], "k"), "doc_id", "place", "section", "k")
 
 
+class Looker:
+    """Stand-in reader with a script: every third page asks to see the first page and the one in front again; an answer is the digest of what was shown."""
+
+    def __call__(self, prompts: Sequence[str], images: Sequence[Sequence]) -> list[str]:
+        out = []
+        for prompt, shown in zip(prompts, images):
+            said = {"extracted_questions": [{"question_id": "S.1", "question_text": hashlib.md5("\n".join(shown).encode()).hexdigest()}]}
+            at = re.match(r"Page (\d+)/", prompt)
+            if at and int(at[1]) % 3 == 0:
+                said |= {"request_back_read": True, "back_read_pages": [1, str(int(at[1]) - 1)]}
+            out.append(json.dumps(said))
+        return out
+
+
+@query(
+    "reading_rounds",
+    """WITH p AS (SELECT conv_id AS doc_id, turn + 1 AS page, text FROM conversations),
+    looks AS (SELECT doc_id, page, page AS seen, 3 AS place FROM p UNION ALL SELECT doc_id, page, 1, 1 FROM p WHERE page % 3 = 0 UNION ALL SELECT doc_id, page, page - 1, 2 FROM p WHERE page % 3 = 0)
+    SELECT l.doc_id, l.page::INT AS page, (l.page % 3 = 0) AS looked_back, md5(string_agg(s.text, chr(10) ORDER BY place)) AS shown_md5
+    FROM looks l JOIN p s ON s.doc_id = l.doc_id AND s.page = l.seen GROUP BY ALL""",
+)
+def reading_rounds(t):
+    """Every turn as a page: which pages the model was shown for it."""
+    read = R.read_pages(_turn_pages(t), Looker())
+    shown = F.get_json_object("answer", "$[0].question_text")
+    return read.select("doc_id", "page", (F.size("back_read") > 0).alias("looked_back"), shown.alias("shown_md5"))
+
+
 @query("outline_map")
 def outline_map(t):
     """Page map of an outline made of the first words of every turn."""

@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Sequence
+import threading
+import time
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dossier.params import EMBED_BATCH
+from dossier.params import CALL_WINDOW, EMBED_BATCH
 
 ChatModel = Callable[[Sequence[str]], Sequence[str]]
 VisionModel = Callable[[Sequence[str], Sequence[Sequence]], Sequence[str]]
@@ -64,9 +67,48 @@ def require_items(answer: str) -> None:
         raise ValueError("answer is not a JSON array of question items")
 
 
-def chat(prompt: Column, model: ChatModel, images: Column | None = None, retries: int = 0, check: Callable[[str], None] | None = None) -> Column:
+def in_order(fn: Callable, inputs: Iterable, window: int = CALL_WINDOW, timeout: float | None = None) -> Iterator:
+    """``fn`` of every input in order, up to ``window`` calls at a time.
+
+    Calls are started as the window has room and waited for from the oldest on, so no more than ``window`` results are held. A call that raises, or takes
+    longer than ``timeout`` seconds, gives its exception in place of a result; what a call says after its time is not looked at.
+    """
+
+    def started(x) -> tuple[threading.Thread, list, float]:
+        box: list = []
+
+        def run() -> None:
+            try:
+                box.append(fn(x))
+            except Exception as exc:  # noqa: BLE001
+                box.append(exc)
+
+        thread = threading.Thread(target=run, daemon=True)
+        thread.start()
+        return thread, box, time.monotonic()
+
+    def finished(thread: threading.Thread, box: list, since: float):
+        thread.join(None if timeout is None else max(0.0, since + timeout - time.monotonic()))
+        return box[0] if box else TimeoutError(f"no answer within {timeout} s")
+
+    open_: deque = deque()
+    for x in inputs:
+        if len(open_) >= window:
+            yield finished(*open_.popleft())
+        open_.append(started(x))
+    while open_:
+        yield finished(*open_.popleft())
+
+
+def chat(
+    prompt: Column, model: ChatModel, images: Column | None = None, retries: int = 0, check: Callable[[str], None] | None = None,
+    window: int = CALL_WINDOW, timeout: float | None = None,
+) -> Column:
     """Struct(answer, error): one call per row; a failing call becomes an error, not a failed task.
 
+    A task has up to ``window`` calls open at a time, so a model must bear calls from several threads; answers keep the order of their rows. A row's calls
+    together may take ``timeout`` seconds.
+
     A call counts as failed when the model raises or ``check`` refuses its answer; it is made again up to ``retries`` times.
     The last refused answer is kept, for the plan to say what is wrong with it.
 
@@ -87,17 +129,21 @@ def chat(prompt: Column, model: ChatModel, images: Column | None = None, retries
                 last = f"{type(exc).__name__}: {exc}"
         return answer, last
 
+    def answered(rows: list[tuple]) -> pd.DataFrame:
+        said = in_order(lambda row: ask(*row), rows, window, timeout)
+        return pd.DataFrame([x if isinstance(x, tuple) else (None, f"{type(x).__name__}: {x}") for x in said], columns=["answer", "error"])
+
     if images is None:
 
         @F.pandas_udf(out)
         def run(prompts: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([ask(p) for p in prompts], columns=["answer", "error"])
+            return answered([(p,) for p in prompts])
 
         return run.asNondeterministic()(prompt)
 
     @F.pandas_udf(out)
     def see(prompts: pd.Series, shown: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([ask(p, list(i)) for p, i in zip(prompts, shown)], columns=["answer", "error"])
+        return answered([(p, list(i)) for p, i in zip(prompts, shown)])
 
     return see.asNondeterministic()(prompt, images)
 

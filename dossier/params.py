@@ -16,6 +16,7 @@ MINING_CHUNK_OVERLAP = 300
 BLOCK_LIMIT = 6000
 VERIFY_BATCH = 80
 EMBED_BATCH = 16
+CALL_WINDOW = 5
 ENRICH_TERMS = 5
 UPLOAD_EXTENSIONS = ("pdf", "doc", "docx", "xlsx", "xls")
 DOC_TYPES = ("REGULATION", "GUIDELINE", "QA")

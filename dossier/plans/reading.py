@@ -1,39 +1,33 @@
 """Sequential page reading: each page is read with what the pages before it left behind.
 
-Pages are laid out by document and page and streamed through one loop per document that
-holds only the navigation state (anchors, sections, pending text), never the pages. What
-a page said is put out as a row; cleaning, numbering, section assignment and the final
-reduction are DataFrame work on those rows.
+All documents advance together, a page a round; a document's navigation state (anchors,
+sections, pending text) is a row. What a page said is put out as a row; cleaning,
+numbering, section assignment and the final reduction are DataFrame work on those rows.
 """
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions import ids
+from dossier.functions import pagereading as P
 from dossier.functions import sections as S
 from dossier.functions.html import format_question_text
 from dossier.functions.modeljson import parse_array, repair_array, strip_fence
 from dossier.functions.text import strip
-from dossier.models import ChatModel, VisionModel, chat
+from dossier.models import ChatModel, VisionModel, chat, in_order
 from dossier.operators import items as I
 from dossier.operators import outline as L
 from dossier.operators.unnest import unnest_structs
 from dossier.params import VERIFY_BATCH
 from dossier.plans.breakdown import SAMPLE_PAGES
-from dossier.session import checkpoint
-
-_PLACES = {"top": 0, "middle": 1, "bottom": 2}
-ROWS = (
-    "doc_id bigint, page int, before string, active string, first_new string, changed boolean, sections array<string>, "
-    "depictions map<string,string>, answer string, pending string, milestones array<string>, back_read array<int>, error string"
-)
+from dossier.session import checkpoint, shared_folder
 
 
 def outline_answers(pages: DataFrame, model: VisionModel) -> DataFrame:
@@ -45,180 +39,96 @@ def outline_answers(pages: DataFrame, model: VisionModel) -> DataFrame:
     return asked.select("doc_id", F.to_json(repair_array(strip_fence(F.col("m.answer")))).alias("outline"))
 
 
-class _Reader:
-    """Navigation state of one document."""
-
-    def __init__(self, total: int, outline: list[dict]) -> None:
-        self.total, self.stack, self.pending, self.memory = total, [], "", ""
-        self.sections: list[str] = []
-        self.depictions: dict[str, str] = {}
-        self.places: dict[str, tuple[int, int]] = {}
-        self.anchors: list[list] = []
-        for item in sorted(outline, key=lambda x: (self._page(x), _PLACES.get(str(x.get("position", "top")).lower(), 3))):
-            self._outline(item)
-        for item in outline:
-            name = str(item.get("section_id") or item.get("id") or "").strip()
-            if name:
-                self.anchors.append([name, self._page(item)])
-        self.anchors.sort(key=lambda a: a[1])
-        if not self.sections:
-            self.sections, self.depictions = ["General"], {"General": ""}
-        self.active = self.sections[0]
-        self.stack = [self.active]
-
-    def _page(self, item: dict) -> int:
-        try:
-            return max(1, min(int(item.get("page", item.get("page_number", 1))), self.total))
-        except (TypeError, ValueError):
-            return 1
-
-    def _outline(self, item: dict) -> None:
-        major = str(item.get("is_major_section", "")).lower() == "true"
-        raw, title = str(item.get("section_id", item.get("id", "")) or "").strip(), str(item.get("title", item.get("heading_title", "")) or "").strip()
-        code, text = S.outline_entry(raw, title if major else "", str(item.get("depiction", "") or ""))
-        if code == "General":
-            code = S.canonical(raw or str(item.get("subsection_id", "") or "")) or "General"
-        at = (self._page(item), _PLACES.get(str(item.get("position", "top")).strip().lower(), 0))
-        self.places[code] = min(at, self.places.get(code, at))
-        if _is_section(code, title):
-            if code not in self.sections:
-                self.sections.append(code)
-            self.depictions[code] = self.depictions.get(code) or text
-
-    def expected(self, page: int) -> str:
-        """Chapter an anchor promises for the page, else the active one."""
-        if not self.anchors:
-            return self.active
-        covering = [n for (n, s), nxt in zip(self.anchors, [*self.anchors[1:], [None, self.total + 1]]) if s <= page <= max(s, nxt[1] - 1)]
-        return covering[0] if covering else self.anchors[-1][0]
-
-    def enter(self, chapter: dict, page: int) -> str:
-        """Take in a chapter seen on a page; all chapters of a page take effect."""
-        name, title = str(chapter.get("id", "")).strip(), str(chapter.get("title", "") or "").strip()
-        known = next((a for a in self.anchors if a[0].lower() == name.lower()), None)
-        note = ""
-        if known is None:
-            self.anchors.append([name, page])
-            note = f"new chapter [{name}] on page {page}"
-        elif known[1] != page:
-            note = f"chapter [{name}] moved from page {known[1]} to {page}"
-            known[1] = page
-        self.anchors.sort(key=lambda a: a[1])
-        if note:
-            self.stack = [name]
-        code, text = S.outline_entry(name, title, str(chapter.get("depiction", "") or ""))
-        if code not in self.sections:
-            self.depictions[code] = text
-            at = (page, _PLACES.get(str(chapter.get("position", "top")).strip().lower(), 0))
-            self.places[code] = min(at, self.places.get(code, at))
-            last = max((p for p, _ in self.places.values()), default=1) + 1
-            order = {s: i for i, s in enumerate([*self.sections, code])}
-            self.sections = sorted(order, key=lambda s: (*self.places[s], 0) if s in self.places else (last, 0, order[s]))
-        elif text and text not in (held := self.depictions.get(code, "")):
-            self.depictions[code] = text if not held or held in text else f"{held}\n\n{text}"
-        return note
-
-    def prompt(self, page: int) -> str:
-        parts = [f"Page {page}/{self.total}.", f"<Navigation>\nexpected: {self.expected(page)}\nheadings: {' > '.join(self.stack)}\n</Navigation>"]
-        if self.memory:
-            parts.append(f"<Reading_Progress_Memory>\n{self.memory}\n</Reading_Progress_Memory>")
-        if self.pending:
-            parts.append(f"<Pending_Context>\n{self.pending}\n</Pending_Context>")
-        return "\n\n".join(parts)
-
-
-def _is_section(code: str, title: str) -> bool:
-    low = title.lower()
-    return not (
-        not code or code.lower() in ids.NOT_A_SECTION or re.search(r"\([a-z0-9]+\)", code, re.I) or re.match(r"[A-Z]\.\d+$", code)
-        or code.count(".") >= 2 or any(p in low for p in ids.QUESTION_TITLES) or low.strip().endswith("?")
-    )
+def _looked(batches: Iterator[pd.DataFrame], look: Callable) -> Iterator[pd.DataFrame]:
+    """A row for each row, several calls of the model at a time; what is no answer of a model but a fault of ours ends the task."""
+    for batch in batches:
+        rows = list(in_order(look, batch.itertuples(index=False)))
+        for row in rows:
+            if isinstance(row, Exception):
+                raise row
+        yield pd.DataFrame(rows, columns=_ROUND_COLUMNS)
+
+
+def _first_looks(batches: Iterator[pd.DataFrame], model: VisionModel) -> Iterator[pd.DataFrame]:
+    def look(r) -> tuple:
+        state = P.Reader.load(r.state)
+        step = P.first_look(state, r.page, r.image, model)
+        done = not step.back
+        row = P.finish(state, r.page, step) if done else (None,) * 9 + (step.back, None)
+        return r.doc_id, r.page, *row, state.dump(), None if done else step.dump()
+
+    yield from _looked(batches, look)
+
 
+def _second_looks(batches: Iterator[pd.DataFrame], model: VisionModel) -> Iterator[pd.DataFrame]:
+    def look(r) -> tuple:
+        state, step = P.Reader.load(r.state), P.Step.load(r.step)
+        seen = {x["page"]: x for x in r.seen}
+        shown = [seen[p]["image"] for p in step.back if p in seen]
+        told = [P.remembered(p, seen[p]["active"], seen[p]["answer"], seen[p]["pending"]) for p in step.back if p in seen and seen[p]["answer"] is not None]
+        P.second_look(state, r.page, step, [*shown, seen[r.page]["image"]], told, model)
+        return r.doc_id, r.page, *P.finish(state, r.page, step), state.dump(), None
 
-_ASKING = re.compile(r"\b(?:" + "|".join(ids.QUESTION_VERBS) + r")\b", re.I)
-
-
-def _heading(item: dict) -> str:
-    """Id and text of an item that is a heading by :func:`dossier.functions.ids.is_weak_heading`, else ''."""
-    qid, text = (str(item.get(k, "") or "").strip() for k in ("question_id", "question_text"))
-    named = len(text) < 60 and re.fullmatch(r"[A-Z][a-zA-Z0-9\s\-_/,&]+", text) and not _ASKING.search(text)
-    return f"{qid} {text}" if named and re.fullmatch(r"(?:[A-Za-z0-9]+\.)+\d+", qid) else ""
-
-
-def _loads(answer: str) -> dict:
-    body = re.sub(r"^```(?:json)?\s*|\s*```$", "", (answer or "").strip(), flags=re.I)
-    try:
-        out = json.loads(body)
-    except ValueError:
-        return {}
-    return out if isinstance(out, dict) else {}
-
-
-def _read_page(state: _Reader, page: int, image, previous, model: VisionModel) -> tuple:
-    """One page: ask, follow chapters, read back at most once, leave state for the next page."""
-    before, error = state.expected(page), None
-    try:
-        said = _loads(model([state.prompt(page)], [[image]])[0])
-    except Exception as exc:  # noqa: BLE001
-        said, error = {}, f"{type(exc).__name__}: {exc}"
-    raw = said.get("detected_new_chapters", said.get("detected_new_chapter")) or []
-    chapters = [c for c in (raw if isinstance(raw, list) else [raw]) if isinstance(c, dict) and c.get("id")]
-    notes = [n for n in (state.enter(c, page) for c in chapters) if n]
-    entered = S.outline_entry(str(chapters[-1]["id"]))[0] if chapters else ""
-    state.active = entered or str(said.get("active_chapter", before) or "").strip() or before
-    back = [p for p in said.get("back_read_pages") or [] if isinstance(p, int) and 1 <= p < page]
-    if said.get("request_back_read") and not back and page > 1:
-        back = [page - 1]
-    back = back if said.get("request_back_read") else []
-    if back:
-        # the page in front is still at hand; farther pages are named in the prompt only
-        try:
-            shown = [x for x in (previous, image) if x is not None]
-            said = {**said, **_loads(model([f"Read pages {back} again together with page {page}."], [shown])[0])}
-            before = state.active
-        except Exception as exc:  # noqa: BLE001
-            error = f"{type(exc).__name__}: {exc}"
-    state.pending = str(said.get("pending_context", "") or "").strip()
-    heading = str(said.get("current_heading", "") or "").strip()
-    if state.active and state.stack[:1] != [state.active]:
-        state.stack = [state.active]
-    if heading and heading not in state.stack:
-        state.stack.append(heading)
-    found = said.get("extracted_questions") or []
-    labels = [str(q.get("question_id", "")) for q in found if isinstance(q, dict)]
-    state.stack += [h for h in (_heading(q) for q in found if isinstance(q, dict)) if h and h not in state.stack]
-    state.memory = S.reading_memory(page, state.total, state.active, labels, chapters[-1] if chapters else None, state.pending, state.stack)
-    first = str(chapters[0].get("first_question_id", "") or "").strip() if len(chapters) == 1 else ""
-    changed = bool(entered) and entered != before
-    answer = json.dumps(found, ensure_ascii=False)
-    return before, state.active, first, changed, list(state.sections), dict(state.depictions), answer, state.pending, notes, back, error
+    yield from _looked(batches, look)
+
+
+_ROUND = P.ROWS + ", state string, step string"
+_ROUND_COLUMNS = [*P.COLUMNS, "state", "step"]
+
+
+def _begun(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield batch.assign(state=[P.Reader.start(t, o).dump() for t, o in zip(batch["total"], batch["outline"])])[["doc_id", "total", "state"]]
 
 
 def read_pages(pages: DataFrame, model: VisionModel, outline: DataFrame | None = None) -> DataFrame:
     """One row per page with its answer and the navigation state it was read under.
 
-    pages: doc_id, page, image; outline: doc_id, outline (JSON text).
+    pages: doc_id, page, image; outline: doc_id, outline (JSON text). Rows without a document or a page number are left out; of several images of one page any
+    one is read.
+
+    Documents are read side by side in rounds. A round joins the next page of every document with its state, a row each; pages that the model wants to see
+    again are joined by key with their images and with what was read on them, and asked about once more; rows and states of the round are
+    written to the shared folder. So no task holds a document, however many pages it has, and a lost executor repeats a round's part.
     """
-    total = pages.groupBy("doc_id").agg(F.max("page").cast("int").alias("total"))
-    laid = pages.join(total, "doc_id")
-    laid = laid.join(outline, "doc_id", "left") if outline is not None else laid.withColumn("outline", F.lit(None).cast("string"))
-    laid = laid.select("doc_id", F.col("page").cast("int").alias("page"), "image", "total", "outline")
-    laid = laid.repartition("doc_id").sortWithinPartitions("doc_id", "page")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc, state, last = None, None, None
-        columns = [c.split()[0] for c in ROWS.split(", ")]
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                if r.doc_id != doc:
-                    doc, last = r.doc_id, None
-                    state = _Reader(r.total, json.loads(r.outline) if r.outline and r.total > 1 else [])
-                rows.append((doc, r.page, *_read_page(state, r.page, r.image, last, model)))
-                last = r.image
-            yield pd.DataFrame(rows, columns=columns)
-
-    return laid.mapInPandas(run, ROWS)
+    spark = pages.sparkSession
+    root = f"{shared_folder(spark)}/reading-{uuid.uuid4().hex}"
+    laid = pages.where("doc_id IS NOT NULL AND page IS NOT NULL").select("doc_id", F.col("page").cast("int").alias("page"), "image")
+    # laid out by page, so that a round reads its own pages only
+    laid.repartitionByRange("page", "doc_id").sortWithinPartitions("page").write.parquet(f"{root}/pages")
+    laid = spark.read.schema(laid.schema).parquet(f"{root}/pages")
+    total = laid.groupBy("doc_id").agg(F.max("page").alias("total"))
+    begun = total.join(outline.select("doc_id", "outline"), "doc_id", "left") if outline is not None else total.withColumn("outline", F.lit(None).cast("string"))
+    begun.mapInPandas(_begun, "doc_id bigint, total int, state string").write.parquet(f"{root}/begun")
+    state = spark.read.parquet(f"{root}/begun")
+    # as many numbers as the longest document has pages
+    numbers = [r["page"] for r in laid.select("page").distinct().orderBy("page").collect()]
+
+    def rows(folder: str, numbers: list[int]) -> DataFrame:
+        return spark.read.schema(_ROUND).parquet(*(f"{root}/{folder}/{n}" for n in numbers))
+
+    for number in numbers:
+        here = state.where(F.col("total") >= number).join(laid.where(F.col("page") == number), "doc_id").dropDuplicates(["doc_id"])
+        here.select("doc_id", "page", "image", "state").mapInPandas(partial(_first_looks, model=model), _ROUND).write.parquet(f"{root}/first/{number}")
+        first = rows("first", [number])
+        done, open_ = first.where("step IS NULL"), first.where("step IS NOT NULL")
+        wanted = [r["p"] for r in open_.select(F.explode("back_read").alias("p")).distinct().collect()]
+        if wanted:
+            asked = open_.select("doc_id", F.explode(F.array_append("back_read", F.col("page"))).alias("page"))
+            shown = asked.join(laid.where(F.col("page").isin([*wanted, number])), ["doc_id", "page"]).dropDuplicates(["doc_id", "page"])
+            read_before = [n for n in wanted if n in set(numbers)]
+            told = rows("rounds", read_before).select("doc_id", "page", "active", "answer", "pending") if read_before else rows("first", [number]).where("false").select("doc_id", "page", "active", "answer", "pending")
+            seen = shown.join(told, ["doc_id", "page"], "left").groupBy("doc_id").agg(F.collect_list(F.struct("page", "image", "active", "answer", "pending")).alias("seen"))
+            again = open_.select("doc_id", "page", "state", "step").join(seen, "doc_id")
+            done = done.union(again.mapInPandas(partial(_second_looks, model=model), _ROUND))
+        done.write.parquet(f"{root}/rounds/{number}")
+        after = rows("rounds", [number]).select("doc_id", F.col("state").alias("now"))
+        moved = state.where(F.col("total") > number).join(after, "doc_id", "left").select("doc_id", "total", F.coalesce("now", "state").alias("state"))
+        moved.write.parquet(f"{root}/states/{number}")
+        state = spark.read.schema(state.schema).parquet(f"{root}/states/{number}")
+    if not numbers:
+        return spark.createDataFrame([], P.ROWS)
+    return rows("rounds", numbers).select(*P.COLUMNS)
 
 
 def page_items(read: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """Running computations over an ordered group that may hold a third of all rows.
 
-A plain window sends a whole group to one task. Here a group is cut into blocks of its
-order column first: the window runs inside (group, block), every block is reduced to one
-summary row with map-side partial aggregation, and only those summaries are scanned per
-group. A group of n rows puts n / block rows into its largest task instead of n.
+A plain window sends a whole group to one task. Here all rows are sorted once over many
+tasks, by range of (group, order), and cut into blocks of at most ``block`` rows by their
+place in that order, so neither a hot group nor equal order values make a block longer.
+Every block is reduced to one summary row for each group in it, only those summaries are
+scanned per group, and a second pass adds what the blocks in front hold.
 
 ``block=None`` asks for the plain window. It is for groups that came out of one source row
 (the lines of a document, the items of an answer), which that row already bounds.
@@ -15,13 +16,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from dossier.session import settled
 
 BLOCK = 65_536
 
 
 @dataclass(frozen=True)
 class Running:
-    """``agg`` is max, min, sum or count of ``value`` over the rows up to the current one.
+    """``agg`` is max, min, sum, count or last (not null) of ``value`` over the rows up to the current one.
 
     ``exclusive`` leaves the current row out, ``backward`` runs from the last row to the first.
     """
@@ -35,30 +39,62 @@ class Running:
 _AGGS = {"max": F.max, "min": F.min, "sum": F.sum, "count": F.count}
 
 
+def _plain(spec: Running) -> str:
+    """The aggregate that finds it: the last value is that with the largest place, or the smallest where the rows run backward."""
+    return spec.agg if spec.agg != "last" else "min" if spec.backward else "max"
+
+
+def _placed(spec: Running, place: Column, value: Column) -> Column:
+    return F.when(value.isNotNull(), F.struct(place.alias("at"), value.alias("v"))) if spec.agg == "last" else value
+
+
 def _over(spec: Running, value: Column, group: list[str], order: list[str]) -> Column:
     by = [F.col(c).desc() if spec.backward else F.col(c).asc() for c in order]
     last = -1 if spec.exclusive else 0
-    return _AGGS[spec.agg](value).over(Window.partitionBy(*group).orderBy(*by).rowsBetween(Window.unboundedPreceding, last))
+    return _AGGS[_plain(spec)](value).over(Window.partitionBy(*group).orderBy(*by).rowsBetween(Window.unboundedPreceding, last))
+
+
+def _hashable(kind: T.DataType) -> bool:
+    """Whether a column may break ties by its hash: maps and what holds them may not."""
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def laid_out(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column] | None = None, place: str = "__p") -> DataFrame:
+    """``df`` with ``values``, sorted by keys and order over all tasks and settled, with the number ``place`` that rises in that order.
+
+    Rows of equal order are taken by a hash of their columns, so the order is the same in every run but for equal rows.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tie = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if _hashable(f.dataType)])
+    by = [*keys, *order, "__tie", "__row"]
+    rows = df.withColumns({**(values or {}), "__tie": tie, "__row": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).drop("__tie", "__row")
+    return settled(rows.withColumn(place, F.monotonically_increasing_id()))
 
 
 def running(
     df: DataFrame, keys: list[str], order: list[str], outputs: dict[str, Running], block: int | None = BLOCK
 ) -> DataFrame:
-    """Add one column per output. ``order[0]`` is an integer column, keys are not null."""
+    """Add one column per output. Keys are not null; nulls of the order come first."""
     if block is None:
+        place = F.struct(*[F.col(c) for c in order])
         for name, spec in outputs.items():
-            df = df.withColumn(name, _over(spec, spec.value, keys, order))
+            found = _over(spec, _placed(spec, place, spec.value), keys, order)
+            df = df.withColumn(name, found["v"] if spec.agg == "last" else found)
         return df
-    df = df.withColumn("__blk", F.floor(F.col(order[0]) / F.lit(block)))
-    for name, spec in outputs.items():
-        df = df.withColumn(f"__v_{name}", spec.value)
+    df = laid_out(df, keys, order, {f"__v_{name}": spec.value for name, spec in outputs.items()})
+    df = df.withColumns({"__blk": F.floor(F.col("__p") / F.lit(block)), **{f"__v_{n}": _placed(s, F.col("__p"), F.col(f"__v_{n}")) for n, s in outputs.items()}})
     group = [*keys, "__blk"]
-    summary = df.groupBy(*group).agg(*[_AGGS[s.agg](f"__v_{n}").alias(f"__s_{n}") for n, s in outputs.items()])
+    summary = df.groupBy(*group).agg(*[_AGGS[_plain(s)](f"__v_{n}").alias(f"__s_{n}") for n, s in outputs.items()])
     inner = df
     for name, spec in outputs.items():
         blk = F.col("__blk").desc() if spec.backward else F.col("__blk").asc()
-        inner = inner.withColumn(f"__i_{name}", _over(spec, F.col(f"__v_{name}"), group, order))
-        carry = F.sum if spec.agg in ("sum", "count") else _AGGS[spec.agg]
+        inner = inner.withColumn(f"__i_{name}", _over(spec, F.col(f"__v_{name}"), group, ["__p"]))
+        carry = F.sum if spec.agg in ("sum", "count") else _AGGS[_plain(spec)]
         summary = summary.withColumn(
             f"__c_{name}",
             carry(f"__s_{name}").over(
@@ -72,38 +108,30 @@ def running(
         if spec.agg in ("sum", "count"):
             value = F.coalesce(here, F.lit(0)) + F.coalesce(before, F.lit(0))
         else:
-            value = (F.greatest if spec.agg == "max" else F.least)(here, before)
+            value = (F.greatest if _plain(spec) == "max" else F.least)(here, before)
+        value = value["v"] if spec.agg == "last" else value
         out = out.withColumn(name, value).drop(f"__i_{name}", f"__c_{name}", f"__v_{name}")
-    return out.drop("__blk")
-
-
-def _tagged(order: list[str], value: Column) -> Column:
-    """Order columns in front of the value, null where the value is null."""
-    return F.when(value.isNotNull(), F.struct(*[F.col(c) for c in order], value.alias("v")))
+    return out.drop("__blk", "__p")
 
 
 def carry_forward(df, keys, order, outputs: dict[str, Column], block: int | None = BLOCK) -> DataFrame:
     """Last non-null value at or before each row."""
-    specs = {n: Running(_tagged(order, v)) for n, v in outputs.items()}
-    out = running(df, keys, order, specs, block)
-    return out.withColumns({n: F.col(n)["v"] for n in outputs})
+    return running(df, keys, order, {n: Running(v, "last") for n, v in outputs.items()}, block)
+
+
+def _neighbour(df, keys, order, outputs: dict[str, Column], block: int | None, backward: bool) -> DataFrame:
+    specs = {n: Running(F.struct(v.alias("x")), "last", exclusive=True, backward=backward) for n, v in outputs.items()}
+    return running(df, keys, order, specs, block).withColumns({n: F.col(n)["x"] for n in outputs})
 
 
 def previous(df, keys, order, outputs: dict[str, Column], block: int | None = BLOCK) -> DataFrame:
     """Value of the row in front (a value that may itself be null comes back as null)."""
-    specs = {n: Running(F.struct(*[F.col(c) for c in order], v.alias("v")), exclusive=True) for n, v in outputs.items()}
-    out = running(df, keys, order, specs, block)
-    return out.withColumns({n: F.col(n)["v"] for n in outputs})
+    return _neighbour(df, keys, order, outputs, block, backward=False)
 
 
 def following(df, keys, order, outputs: dict[str, Column], block: int | None = BLOCK) -> DataFrame:
     """Value of the next row."""
-    specs = {
-        n: Running(F.struct(*[F.col(c) for c in order], v.alias("v")), agg="min", exclusive=True, backward=True)
-        for n, v in outputs.items()
-    }
-    out = running(df, keys, order, specs, block)
-    return out.withColumns({n: F.col(n)["v"] for n in outputs})
+    return _neighbour(df, keys, order, outputs, block, backward=True)
 
 
 def row_index(df, keys, order, name: str = "row_index", block: int | None = BLOCK) -> DataFrame:

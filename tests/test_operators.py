@@ -38,6 +38,24 @@ def test_running_is_the_same_for_any_block(spark):
         assert got == sorted(want, key=lambda r: r[:2])
 
 
+def test_running_over_a_hot_key_of_ties(spark):
+    """One key and one order value hold most rows: blocks stay small, and results follow one total order."""
+    rng = random.Random(2)
+    rows = [("hot", 5, rng.choice([None, *range(50)])) for _ in range(300)] + [("hot", n, n) for n in range(9)] + [("cold", n % 2, n) for n in range(20)]
+    d = spark.createDataFrame(rows, "k string, i bigint, v int").repartition(5)
+    assert O.laid_out(d, ["k"], ["i"]).groupBy("k", F.floor(F.col("__p") / 16)).count().agg(F.max("count")).first()[0] <= 16
+    x = O.running(d, ["k"], ["i"], {"s": O.Running(F.col("v"), "sum"), "r": O.Running(F.lit(1), "count"), "c": O.Running(F.col("v"), "last")}, 16)
+    x = x.select("*", F.xxhash64("k", "i", "v").alias("h"))
+    for key in ("hot", "cold"):
+        total, last = 0, None
+        got = sorted((r for r in x.where(F.col("k") == key).collect()), key=lambda r: r["r"])
+        assert [r["r"] for r in got] == list(range(1, len(got) + 1))
+        assert [(r["i"], r["h"]) for r in got] == sorted((r["i"], r["h"]) for r in got)
+        for r in got:
+            total, last = total + (r["v"] or 0), r["v"] if r["v"] is not None else last
+            assert (r["s"], r["c"]) == (total, last)
+
+
 def test_interval_join_takes_the_first_range(spark):
     rng = random.Random(5)
     ranges = [(1, i, a, a + rng.randint(0, 30), f"r{i}") for i, a in enumerate(rng.randint(1, 100) for _ in range(20))]

@@ -81,7 +81,18 @@ def semantic_chunks(t):
     return rows.select("doc_id", "chunk_idx", "start", "stop", "heading", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
-@query("heading_candidates")
+_CANDIDATE = rf"(?im)^(#{{1,6}}[{WS}]+.+|\*\*[^*]+\*\*|(?:Part|Section|Chapter|Annex|Appendix)[{WS}]+[A-Z0-9]+.*)$"
+
+
+@query(
+    "heading_candidates",
+    rf"""WITH src AS (SELECT doc_id, regexp_replace(text, '(?m)^([^a-z\n]{{1}}[a-z]{{2}} )', '# \1', 'g') AS t FROM documents),
+    parts AS (SELECT doc_id, regexp_extract_all(t, '{_CANDIDATE}') AS hits, regexp_split_to_array(t, '{_CANDIDATE}') AS gaps FROM src),
+    each_ AS (SELECT doc_id, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap, generate_subscripts(hits, 1) AS i FROM parts WHERE len(hits) > 0),
+    placed AS (SELECT doc_id, hit, sum(len(gap)) OVER (PARTITION BY doc_id ORDER BY i)
+        + coalesce(sum(len(hit)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM each_)
+    SELECT doc_id, pos::INT AS pos, line FROM (SELECT doc_id, pos, {dstrip("hit")} AS line FROM placed) WHERE len(line) <= 150""",
+)
 def heading_candidates(t):
     marked = t.documents.select("doc_id", F.regexp_replace("text", r"(?md)^([^a-z\n]{1}[a-z]{2} )", "# $1").alias("t"))
     return unnest_structs(marked, ["doc_id"], C.heading_candidates(F.col("t")), ["pos", "line"])

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.functions import growing as G
 from dossier.functions.text import WS, strip
 from dossier.params import BLOCK_LIMIT, MACRO_CHUNK_SIZE, ChunkParams
 
@@ -70,36 +71,29 @@ def greedy_ranges(sizes: Column, limit: int, lone_over_limit: bool = False) -> C
     overflow a non-empty range opens the next one; an entry larger than the limit
     stays a range of its own. With ``lone_over_limit`` nothing joins it either.
     """
-    kind = "struct<i:int,s:int,len:bigint,out:array<struct<s:int,e:int>>>"
-    zero = F.struct(
-        F.lit(0).alias("i"), F.lit(0).alias("s"), F.lit(0).cast("bigint").alias("len"),
-        F.array().cast("array<struct<s:int,e:int>>").alias("out"),
-    ).cast(kind)
+    one = "array<struct<s:int,e:int>>"
+    kind = f"struct<i:int,s:int,len:bigint,{G.fields(one)}>"
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("s"), F.lit(0).cast("bigint").alias("len"), *G.empty(one)).cast(kind)
 
     def rng(a: Column, b: Column) -> Column:
-        return F.array(F.struct(a.alias("s"), b.alias("e")))
+        return F.array(F.struct(a.alias("s"), b.alias("e"))).cast(one)
 
     def step(acc: Column, size: Column) -> Column:
-        i, s, held, out = acc["i"], acc["s"], acc["len"], acc["out"]
+        i, s, held = acc["i"], acc["s"], acc["len"]
         open_ = i > s
         over = open_ & (held + size > limit)
         nxt = F.struct(
-            (i + 1).alias("i"),
-            F.when(over, i).otherwise(s).alias("s"),
-            F.when(over, size).otherwise(held + size).cast("bigint").alias("len"),
-            F.when(over, F.concat(out, rng(s, i))).otherwise(out).alias("out"),
+            (i + 1).alias("i"), F.when(over, i).otherwise(s).alias("s"), F.when(over, size).otherwise(held + size).cast("bigint").alias("len"), *G.push(acc, rng(s, i), over)
         )
         if not lone_over_limit:
-            return nxt.cast(kind)
-        closed = F.when(open_, F.concat(out, rng(s, i))).otherwise(out)
-        alone = F.struct(
-            (i + 1).alias("i"), (i + 1).alias("s"), F.lit(0).cast("bigint").alias("len"),
-            F.concat(closed, rng(i, i + 1)).alias("out"),
-        )
-        return F.when(size > limit, alone).otherwise(nxt).cast(kind)
+            return nxt
+        closed = F.when(open_, F.concat(rng(s, i), rng(i, i + 1))).otherwise(rng(i, i + 1))
+        alone = F.struct((i + 1).alias("i"), (i + 1).alias("s"), F.lit(0).cast("bigint").alias("len"), *G.push(acc, closed))
+        return F.when(size > limit, alone).otherwise(nxt)
 
     def finish(acc: Column) -> Column:
-        return F.when(acc["i"] > acc["s"], F.concat(acc["out"], rng(acc["s"], acc["i"]))).otherwise(acc["out"])
+        out = F.flatten(G.whole(acc))
+        return F.when(acc["i"] > acc["s"], F.concat(out, rng(acc["s"], acc["i"]))).otherwise(out)
 
     return F.aggregate(sizes, zero, step, finish)
 
@@ -138,11 +132,7 @@ def sections(df: DataFrame, text: str, out: str = "sections") -> DataFrame:
     parts = F.split(F.col(text), rf"(?md)(?=^#{{1,6}}[{WS}]+.)")
     df = df.withColumn("__parts", parts)
     head = lambda p: F.regexp_extract(p, rf"(?d)^#{{1,6}}[{WS}]+.+", 0)
-    ends = F.aggregate(
-        F.col("__parts"),
-        F.array(F.lit(0)).cast("array<int>"),
-        lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))).cast("array<int>"),
-    )
+    ends = G.sums_before(F.transform("__parts", F.length))
     df = df.withColumn("__ends", ends)
     raw = F.transform(
         F.arrays_zip(F.col("__parts").alias("p"), F.slice("__ends", 1, _ALL).alias("a"), F.slice("__ends", 2, _ALL).alias("b")),
@@ -176,23 +166,15 @@ def semantic_chunks(df: DataFrame, text: str, out: str = "chunks", limit: int =
 
     def with_offsets(texts: Column, start: Column, fallback: Column) -> Column:
         """Sub-blocks laid end to end from ``start``; removed separators are not counted."""
-        acc = F.aggregate(
-            texts,
-            F.struct(start.cast("int").alias("at"), F.array().cast("array<struct<text:string,start:int,stop:int,heading:string>>").alias("out")),
-            lambda a, t: F.struct(
-                (a["at"] + F.length(t)).alias("at"),
-                F.concat(
-                    a["out"],
-                    F.array(
-                        F.struct(
-                            t.alias("text"), a["at"].alias("start"), (a["at"] + F.length(t)).alias("stop"),
-                            F.when(last_parent_heading(t) == "", fallback).otherwise(last_parent_heading(t)).alias("heading"),
-                        )
-                    ),
-                ).alias("out"),
-            ),
-        )
-        return acc["out"]
+        one = "struct<text:string,start:int,stop:int,heading:string>"
+        kind = f"struct<at:int,{G.fields(one)}>"
+
+        def add(a: Column, t: Column) -> Column:
+            above = last_parent_heading(t)
+            entry = F.struct(t.alias("text"), a["at"].alias("start"), (a["at"] + F.length(t)).alias("stop"), F.when(above == "", fallback).otherwise(above).alias("heading"))
+            return F.struct((a["at"] + F.length(t)).alias("at"), *G.push(a, entry.cast(one)))
+
+        return F.aggregate(texts, F.struct(start.cast("int").alias("at"), *G.empty(one)).cast(kind), add, G.whole)
 
     def packed(r: Column) -> Column:
         part = F.slice(sec, r["s"] + 1, r["e"] - r["s"])
@@ -222,26 +204,23 @@ def semantic_chunks(df: DataFrame, text: str, out: str = "chunks", limit: int =
     ).drop("__sec", "__rng")
 
 
-def heading_candidates(c: Column) -> Column:
-    """``array<struct<pos, line>>`` of heading-like lines of at most 150 characters."""
-    mark = "\u0001"
-    pieces = F.split(F.regexp_replace(c, HEADING_CANDIDATE, mark + "$1" + mark), mark)
-    kind = "struct<at:int,out:array<struct<pos:int,line:string>>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<pos:int,line:string>>").alias("out")).cast(kind)
-    # pieces alternate: text, heading, text, heading, ...
-    tagged = F.transform(pieces, lambda p, i: F.struct((i % 2 == 1).alias("hit"), p.alias("p")))
-    return F.aggregate(
-        tagged,
-        zero,
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["p"])).alias("at"),
-            F.when(
-                x["hit"] & (F.length(strip(x["p"])) <= 150),
-                F.concat(a["out"], F.array(F.struct(a["at"].alias("pos"), strip(x["p"]).alias("line")))),
-            ).otherwise(a["out"]).alias("out"),
-        ).cast(kind),
-        lambda a: a["out"],
-    )
+def heading_candidates(c: Column, longest: int | None = 150) -> Column:
+    """``array<struct<pos, line>>`` of heading-like lines, those over ``longest`` characters left out (None: all of them).
+
+    What lies between the matches and the matches themselves are taken apart by the pattern alone, so any character may stand in the text.
+    """
+    one = "struct<pos:int,line:string>"
+    kind = f"struct<at:int,{G.fields(one)}>"
+    found = F.arrays_zip(F.split(c, HEADING_CANDIDATE).alias("gap"), F.regexp_extract_all(c, F.lit(HEADING_CANDIDATE), F.lit(0)).alias("hit"))
+
+    def add(a: Column, z: Column) -> Column:
+        at = (a["at"] + F.length(z["gap"])).cast("int")
+        line = strip(z["hit"])
+        fits = z["hit"].isNotNull() if longest is None else z["hit"].isNotNull() & (F.length(line) <= longest)
+        entry = F.struct(at.alias("pos"), line.alias("line")).cast(one)
+        return F.struct((at + F.coalesce(F.length(z["hit"]), F.lit(0))).cast("int").alias("at"), *G.push(a, entry, fits))
+
+    return F.aggregate(found, F.struct(F.lit(0).alias("at"), *G.empty(one)).cast(kind), add, G.whole)
 
 
 def structure_chunks(blocks: Column, max_tokens: int = 1200, size: int = 2000, overlap: int = 300) -> Column:
@@ -252,32 +231,32 @@ def structure_chunks(blocks: Column, max_tokens: int = 1200, size: int = 2000, o
     paragraph closes the open unit and is cut hard, without overlap.
     Without titles the joined text is cut by the sliding window.
     """
-    kind = "struct<held:array<string>,n:bigint,out:array<string>>"
-    empty = F.array().cast("array<string>")
-    zero = F.struct(empty.alias("held"), F.lit(0).cast("bigint").alias("n"), empty.alias("out")).cast(kind)
+    pieces = "array<string>"
+    kind = f"struct<held:array<string>,n:bigint,{G.fields(pieces)}>"
+    none = F.array().cast(pieces)
+    zero = F.struct(none.alias("held"), F.lit(0).cast("bigint").alias("n"), *G.empty(pieces)).cast(kind)
 
-    def state(held: Column, n: Column, out: Column) -> Column:
-        return F.struct(held.alias("held"), n.cast("bigint").alias("n"), out.alias("out")).cast(kind)
-
-    def flushed(a: Column) -> Column:
-        return F.when(F.size(a["held"]) > 0, F.concat(a["out"], F.array(F.array_join(a["held"], "\n\n")))).otherwise(a["out"])
+    def unit(a: Column) -> Column:
+        return F.array(F.array_join(a["held"], "\n\n"))
 
     def step(a: Column, b: Column) -> Column:
         text, own = b["text"], F.floor(F.length(b["text"]) / 2)
         table = b["type"].isin("table", "table_footnote")
         title = b["type"] == "title"
-        close = (title & (a["n"] > max_tokens // 2)) | (~title & (a["n"] + own > max_tokens) & (F.size(a["held"]) > 0))
-        out = F.when(close, flushed(a)).otherwise(a["out"])
-        held = F.when(close, empty).otherwise(a["held"])
-        n = F.when(close, F.lit(0).cast("bigint")).otherwise(a["n"])
+        close = table | (title & (a["n"] > max_tokens // 2)) | (~title & (a["n"] + own > max_tokens))
+        closed = F.when(close & (F.size(a["held"]) > 0), unit(a)).otherwise(none)
+        held = F.when(close, none).otherwise(a["held"])
+        n = F.when(close, F.lit(0)).otherwise(a["n"]).cast("bigint")
         hard = F.filter(F.transform(_cut(strip(text), size), strip), lambda p: p != "")
-        return (
-            F.when(table, state(empty, F.lit(0), F.concat(flushed(a), F.array(text))))
-            .when(~title & (own > max_tokens), state(held, n, F.concat(out, hard)))
-            .otherwise(state(F.concat(held, F.array(text)), n + own, out))
-        )
+        alone = table | (~title & (own > max_tokens))
+        own_pieces = F.when(table, F.array(text)).when(alone, hard).otherwise(none)
+        out = G.push(a, F.concat(closed, own_pieces), alone | (close & (F.size(a["held"]) > 0)))
+        return F.struct(F.when(alone, held).otherwise(F.concat(held, F.array(text))).alias("held"), F.when(alone, n).otherwise(n + own).cast("bigint").alias("n"), *out)
+
+    def finish(a: Column) -> Column:
+        return F.flatten(F.when(F.size(a["held"]) > 0, F.concat(G.whole(a), F.array(unit(a)))).otherwise(G.whole(a)))
 
-    packed = F.aggregate(blocks, zero, step, flushed)
+    packed = F.aggregate(blocks, zero, step, finish)
     joined = F.array_join(F.transform(blocks, lambda b: b["text"]), "\n\n")
     fallback = sliding_chunks(joined, ChunkParams(size, overlap), keep_blank=False)
     return F.when(F.exists(blocks, lambda b: b["type"] == "title"), packed).otherwise(fallback)

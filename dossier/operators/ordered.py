@@ -70,9 +70,9 @@ def laid_out(df: DataFrame, keys: list[str], order: list[str], values: dict[str,
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if _hashable(f.dataType)])
-    by = [*keys, *order, "__tie", "__row"]
-    rows = df.withColumns({**(values or {}), "__tie": tie, "__row": F.monotonically_increasing_id()})
-    rows = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).drop("__tie", "__row")
+    by = [*keys, *order, "__same", "__row"]
+    rows = df.withColumns({**(values or {}), "__same": tie, "__row": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).drop("__same", "__row")
     return settled(rows.withColumn(place, F.monotonically_increasing_id()))
 
 

@@ -9,7 +9,7 @@ from dossier.functions.chunks import sliding_chunks, structure_chunks
 from dossier.functions.text import (
     STEM_STOPWORDS, clean_markdown, let, split_keywords, split_units, strip, trim_suffix, valid_alias_shape, valid_stem,
 )
-from dossier.operators.ordered import BLOCK, row_index
+from dossier.operators.ordered import row_index
 from dossier.operators.unnest import unnest
 from dossier.params import MINING_CHUNK_OVERLAP, MINING_CHUNK_SIZE, ChunkParams
 
@@ -140,11 +140,11 @@ def unambiguous_stems(candidates: DataFrame, limit: int = MAX_AMBIGUITY) -> Data
 
 def stem_mapping(terms: DataFrame, answers: DataFrame | None = None) -> DataFrame:
     """Stem to official term: rule stems, then valid model answers (original, stem, ord)."""
-    rules = rule_stems(terms).select("stem", "official", F.struct(F.lit(0).alias("s"), "ord").alias("ord"))
+    rules = rule_stems(terms).select("stem", "official", F.struct(F.lit(0).alias("s"), F.col("ord").cast("decimal(38,0)").alias("ord")).alias("ord"))
     if answers is None:
         return unambiguous_stems(rules)
     good = answers.withColumn("stem", strip(F.col("stem"))).where(valid_stem(F.col("original"), F.col("stem")))
-    model = good.select("stem", F.col("original").alias("official"), F.struct(F.lit(1).alias("s"), "ord").alias("ord"))
+    model = good.select("stem", F.col("original").alias("official"), F.struct(F.lit(1).alias("s"), F.col("ord").cast("decimal(38,0)").alias("ord")).alias("ord"))
     return unambiguous_stems(rules.unionByName(model))
 
 
@@ -166,13 +166,10 @@ def positional_answers(batch: Column, answers: Column) -> Column:
 
 
 def batches(df: DataFrame, order: str, size: int) -> DataFrame:
-    """Number rows into batches of ``size`` in order of an integer column.
+    """Number rows into batches of ``size`` in order of a column.
 
-    Places are counted inside blocks of that column and the blocks' counts added up, so there is no global sort, every batch but
-    the last is full, and a stage that runs again gives the same batches. Blocks are as wide as holds BLOCK rows on average, so
-    dense numbers and hashes are cut alike.
+    Places are counted inside blocks of the global order and the blocks' counts added up, so no task holds more than a block, every batch but
+    the last is full, and a stage that runs again gives the same batches.
     """
-    seen = df.agg(F.count(order).alias("n"), F.min(order).alias("low"), F.max(order).alias("high")).first()
-    width = min(max(1, (seen["high"] - seen["low"] + 1) * BLOCK // seen["n"]), 2**62) if seen["n"] else BLOCK
-    placed = row_index(df.withColumn("__all", F.lit(0)), ["__all"], [order], "__at", block=width)
+    placed = row_index(df.withColumn("__all", F.lit(0)), ["__all"], [order], "__at")
     return placed.withColumn("batch", F.floor(F.col("__at") / size).cast("string")).drop("__all", "__at")

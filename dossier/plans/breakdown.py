@@ -24,7 +24,7 @@ from dossier.params import BLOCK_LIMIT, VERIFY_BATCH
 from dossier.session import checkpoint
 
 OUTLINE_LIMIT = 12_000
-SAMPLE_PAGES = 3
+OUTLINE_PAGES = 3
 _FAR = 2**24  # places inside one segment, batch or page
 
 
@@ -212,16 +212,26 @@ def breakdown_v2(docs: DataFrame, model: ChatModel, outline_model: ChatModel | N
 # --- pages -------------------------------------------------------------------------------
 
 
-def page_skeleton(pages: DataFrame, model: VisionModel) -> DataFrame:
-    """(doc_id, ord, page, path) from the first three pages of documents with more than one."""
-    many = pages.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    first = pages.where(F.col("page") <= SAMPLE_PAGES).join(many, "doc_id")
-    # at most three pages per document
-    shown = first.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "image"))).alias("xs"), F.max("n").alias("n"))
-    shown = shown.withColumn("m", chat(F.format_string("First pages of a questionnaire with %d pages: give its outline.", F.col("n")), model, F.transform("xs", lambda x: x["image"])))
-    rows = unnest(shown, ["doc_id"], J.parse_array(J.strip_fence(F.col("m.answer"))), "r", "ord").where(F.map_contains_key("r", F.lit("canonical_id")))
+def outline_calls(pages: DataFrame, model: VisionModel, prompt: str, first: int | None = None) -> DataFrame:
+    """(doc_id, part, answer): the outline model asked about every OUTLINE_PAGES pages of documents with more than one, or about the ``first`` pages only.
+
+    ``prompt`` takes the first and last page shown and the number of pages. No call holds more than OUTLINE_PAGES images.
+    """
+    total = pages.groupBy("doc_id").agg(F.max("page").alias("total")).where("total > 1")
+    wanted = pages if first is None else pages.where(F.col("page") <= first)
+    shown = wanted.join(total, "doc_id").groupBy("doc_id", F.floor((F.col("page") - 1) / OUTLINE_PAGES).alias("part"), "total")
+    shown = shown.agg(F.array_sort(F.collect_list(F.struct("page", "image"))).alias("xs"))
+    text = F.format_string(prompt, F.element_at("xs", 1)["page"].cast("long"), F.element_at("xs", -1)["page"].cast("long"), F.col("total").cast("long"))
+    return shown.withColumn("m", chat(text, model, F.transform("xs", lambda x: x["image"]))).select("doc_id", "part", F.col("m.answer").alias("answer"))
+
+
+def page_skeleton(pages: DataFrame, model: VisionModel, first: int | None = None) -> DataFrame:
+    """(doc_id, ord, page, path) from the outlines of all pages of documents with more than one."""
+    asked = outline_calls(pages, model, "Pages %d to %d of a questionnaire with %d pages: give their outline.", first)
+    rows = unnest(asked, ["doc_id", "part"], J.parse_array(J.strip_fence(F.col("answer"))), "r", "n").where(F.map_contains_key("r", F.lit("canonical_id")))
     get = lambda k: F.try_element_at("r", F.lit(k))
-    return rows.select("doc_id", F.col("ord").cast("bigint").alias("ord"), F.coalesce(get("page_number").try_cast("int"), F.lit(1)).alias("page"), strip(get("canonical_id")).alias("path"))
+    place = F.col("part").cast("bigint") * _FAR + F.col("n")
+    return rows.select("doc_id", place.alias("ord"), F.coalesce(get("page_number").try_cast("int"), F.lit(1)).alias("page"), strip(get("canonical_id")).alias("path"))
 
 
 def breakdown_pages(pages: DataFrame, model: VisionModel, outline_model: VisionModel | None = None, review_model: ChatModel | None = None) -> dict[str, DataFrame]:

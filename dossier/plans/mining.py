@@ -37,8 +37,7 @@ def mine_documents(documents: DataFrame, model: ChatModel, with_blocks: bool = F
     # used on both sides of the grounding join, and made of model calls
     rows = checkpoint(rows)
     good = M.grounded_pairs(rows, documents, "doc_id")
-    place = (F.col("doc_id").cast("bigint") * 2**30) + F.col("i") * 2**10 + F.col("k")
-    return M.ranked_terms(good.withColumns({"source": F.col("doc_id").cast("string"), "ord": place}))
+    return M.ranked_terms(good.withColumns({"source": F.col("doc_id").cast("string"), "ord": F.struct("doc_id", "i", "k")}))
 
 
 def mine_questions(items: DataFrame, model: ChatModel) -> DataFrame:
@@ -46,7 +45,7 @@ def mine_questions(items: DataFrame, model: ChatModel) -> DataFrame:
     prompt = F.concat(F.lit("<Question>\n"), F.coalesce("title", F.lit("")), F.lit("\n</Question>\n<Answer>\n"), F.coalesce("reply", F.lit("")), F.lit("\n</Answer>"))
     asked = items.withColumn("m", chat(prompt, model))
     rows = unnest_structs(asked, ["item_id", F.col("source_name").alias("source")], parse_term_pairs(F.col("m.answer")), ["zh", "en", "unit"], "k")
-    return M.ranked_terms(rows.withColumn("ord", F.col("item_id") * 2**10 + F.col("k")))
+    return M.ranked_terms(rows.withColumn("ord", F.struct("item_id", "k")))
 
 
 def mine_stems(terms: DataFrame, model: ChatModel, batch: int = 50) -> DataFrame:
@@ -57,7 +56,7 @@ def mine_stems(terms: DataFrame, model: ChatModel, batch: int = 50) -> DataFrame
     asked = groups.withColumn("m", chat(F.to_json(F.transform("xs", lambda x: x["term"])), model))
     said = unnest(asked, ["xs"], parse_array(F.coalesce("m.answer", F.lit(""))), "r", "k")
     get = lambda k: strip(F.coalesce(F.try_element_at("r", F.lit(k)), F.lit("")))
-    answers = said.select(get("original").alias("original"), get("stem").alias("stem"), (F.element_at("xs", 1)["ord"] * 2**10 + F.col("k")).alias("ord"))
+    answers = said.select(get("original").alias("original"), get("stem").alias("stem"), (F.element_at("xs", 1)["ord"].cast("decimal(38,0)") * 2**31 + F.col("k")).alias("ord"))
     return M.stem_mapping(terms, answers)
 
 

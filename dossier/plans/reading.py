@@ -26,17 +26,17 @@ from dossier.operators import items as I
 from dossier.operators import outline as L
 from dossier.operators.unnest import unnest_structs
 from dossier.params import VERIFY_BATCH
-from dossier.plans.breakdown import SAMPLE_PAGES
+from dossier.plans.breakdown import outline_calls
 from dossier.session import checkpoint, shared_folder
 
 
-def outline_answers(pages: DataFrame, model: VisionModel) -> DataFrame:
-    """(doc_id, outline): raw table-of-contents answer from the first three pages."""
-    first = pages.where(F.col("page") <= SAMPLE_PAGES)
-    shown = first.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "image"))).alias("xs"))
-    shown = shown.where(F.size("xs") > 1)
-    asked = shown.withColumn("m", chat(F.lit("Give the table of contents of these pages, or [] when there is none."), model, F.transform("xs", lambda x: x["image"])))
-    return asked.select("doc_id", F.to_json(repair_array(strip_fence(F.col("m.answer")))).alias("outline"))
+def outline_answers(pages: DataFrame, model: VisionModel, first: int | None = None) -> DataFrame:
+    """(doc_id, outline): table of contents of all pages, or of the ``first`` ones; asked for in slices, entries that slices share are kept once."""
+    asked = outline_calls(pages, model, "Give the table of contents of these pages (%d to %d of %d), or [] when there is none.", first)
+    parts = asked.select("doc_id", "part", F.transform(repair_array(strip_fence(F.col("answer"))), lambda e: F.to_json(e)).alias("entries"))
+    listed = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "entries"))).alias("xs"))
+    entries = F.array_distinct(F.flatten(F.transform("xs", lambda x: F.coalesce(x["entries"], F.array().cast("array<string>")))))
+    return listed.select("doc_id", F.concat(F.lit("["), F.array_join(entries, ","), F.lit("]")).alias("outline"))
 
 
 def _looked(batches: Iterator[pd.DataFrame], look: Callable) -> Iterator[pd.DataFrame]:

@@ -67,7 +67,7 @@ def json_list_map_rows(df: DataFrame, column: str) -> DataFrame:
     """(key, value, ord) of a JSON object of string lists."""
     parsed = F.from_json(F.col(column), "map<string,array<string>>")
     rows = unnest(unnest_structs(df, [], F.map_entries(parsed), ["key", "value"], "k"), ["k", "key"], "value", "value", "v")
-    return rows.select("key", "value", (F.col("k").cast("bigint") * 2**20 + F.col("v")).alias("ord")).where(F.col("value").isNotNull())
+    return rows.select("key", "value", (F.col("k").cast("bigint") * 2**31 + F.col("v")).alias("ord")).where(F.col("value").isNotNull())
 
 
 def layout_blocks(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -203,11 +203,13 @@ def image_key(content: Column) -> Column:
 
 
 def cached_pages(files: DataFrame, cache: DataFrame) -> DataFrame:
-    """Files with their cached page images in page order; null pages on a miss.
+    """Files with ``pages``, their cached page images in page order; an empty list on a miss.
 
-    cache: file_md5, page_no, image.
+    cache: file_md5, page_no, image, one row a page. The list holds one file's pages.
     """
-    return files.withColumn("file_md5", image_key(F.col("content"))).join(cache, "file_md5", "left")
+    listed = cache.groupBy("file_md5").agg(F.array_sort(F.collect_list(F.struct("page_no", "image"))).alias("pages"))
+    keyed = files.withColumn("file_md5", image_key(F.col("content"))).join(listed, "file_md5", "left")
+    return keyed.withColumn("pages", F.coalesce("pages", F.array().cast(listed.schema["pages"].dataType)))
 
 
 def image_mime(path: Column, given: Column) -> Column:

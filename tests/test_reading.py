@@ -53,6 +53,21 @@ def test_outlines_with_odd_entries(spark):
     assert rows[0].sections == ["B", "A"] and [r.sections for r in rows[2:]] == [["General"]] * 6
 
 
+class Contents:
+    """Names a section a page that it is shown, and one that every slice repeats."""
+
+    def __call__(self, prompts, images):
+        return [json.dumps([{"section_id": "A", "page": 1}, *({"section_id": x.upper(), "page": int(x[1:])} for x in shown if x != "p1")]) for shown in images]
+
+
+def test_contents_of_all_pages_come_in_slices(spark):
+    docs = {1: {n: f"p{n}" for n in range(1, 8)}, 2: {1: "p1"}}
+    got = {r.doc_id: [e["section_id"] for e in json.loads(r.outline)] for r in R.outline_answers(pages_of(spark, docs), Contents()).collect()}
+    assert got == {1: ["A", "P2", "P3", "P4", "P5", "P6", "P7"]}
+    few = R.outline_answers(pages_of(spark, docs), Contents(), first=2).collect()
+    assert [e["section_id"] for e in json.loads(few[0].outline)] == ["A", "P2"]
+
+
 def test_gaps_repeats_and_nothing(spark):
     rows = [(1, 2, "p2"), (1, 7, "p7"), (1, 7, "p7"), (1, None, "x"), (None, 1, "x"), (2, 7, "p7")]
     pages = spark.createDataFrame(rows, "doc_id bigint, page int, image string")

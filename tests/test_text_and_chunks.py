@@ -121,3 +121,28 @@ def test_parameters():
     for bad in (lambda: RetrievalParams(top_n=0), lambda: RetrievalParams(threshold=1.5), lambda: AskParams(""), lambda: AskParams("q", 11)):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_candidates_with_any_character(ev):
+    text = "intro \u0001 x\n# One\nbody\u0001\n**Bold\u0001 line**\nPart A of it\n" + "# " + "long " * 40 + "\nend"
+    found = [(c["pos"], c["line"]) for c in ev(text, C.heading_candidates)]
+    assert found == [(text.index(x), x) for x in ("# One", "**Bold\u0001 line**", "Part A of it")]
+    every = [c["line"] for c in ev(text, lambda c: C.heading_candidates(c, None))]
+    assert every == ["# One", "**Bold\u0001 line**", "Part A of it", ("# " + "long " * 40).strip()]
+    assert ev("", C.heading_candidates) == [] and ev("# a", C.heading_candidates)[0]["pos"] == 0
+
+
+def test_long_documents_are_cut_in_linear_time(spark):
+    import time
+
+    from dossier.functions import growing as G
+
+    sizes = spark.range(1).select(F.array_repeat(F.lit(2), 100_000).alias("x"))
+    start = time.perf_counter()
+    sums = sizes.select(G.sums_before(F.col("x")).alias("s")).select(F.element_at("s", -1), F.element_at("s", 3), F.size("s")).first()
+    assert tuple(sums) == (200_000, 4, 100_001)
+    ranges = sizes.select(C.greedy_ranges(F.transform("x", lambda _: F.lit(7).cast("bigint")), 6, lone_over_limit=True).alias("r")).select(F.size("r"), F.element_at("r", -1)["e"]).first()
+    assert tuple(ranges) == (100_000, 100_000)
+    long = spark.createDataFrame([("# h\nline\n" * 30_000,)], "t string")
+    n = C.semantic_chunks(long, "t", limit=100).select(F.size("chunks")).first()[0]
+    assert n == 30_000 // 12 and time.perf_counter() - start < 60

@@ -87,6 +87,7 @@ def eigenvalues(diagonal: np.ndarray, above: np.ndarray) -> np.ndarray:
     return np.sort(np.array(found))[::-1]
 
 
+@np.errstate(over="ignore", invalid="ignore")
 def _twisted(q: np.ndarray, links: np.ndarray, value: float) -> np.ndarray:
     """Unit eigenvector of L D L^T for ``value``: top-down and bottom-up factorisations, twisted where they meet with the least remainder."""
     n = len(q)

@@ -63,9 +63,13 @@ def to_english(texts: DataFrame, patterns: DataFrame, model: ChatModel) -> DataF
     return rows.select("id", "text", strip(chat(prompt, model)["answer"]).alias("english"))
 
 
-def dictionary_terms(texts: DataFrame, key: str, text: str, patterns: DataFrame, mode: str = "standard") -> DataFrame:
-    """(key, terms): matched terms of a text in order; a text holds each dictionary term once."""
-    norm = texts.select(key, M.normalize_for_matching(F.col(text)).alias("__n"))
+def dictionary_terms(texts: DataFrame, key: str, text: str | list[str], patterns: DataFrame, mode: str = "standard") -> DataFrame:
+    """(key, terms): matched terms of a text in order; a text holds each dictionary term once.
+
+    Several columns are read as one text, a line each; empty and null ones are left out before anything is normalised.
+    """
+    parts = [F.when(F.col(c) != "", F.col(c)) for c in ([text] if isinstance(text, str) else text)]
+    norm = texts.select(key, M.normalize_for_matching(F.concat_ws("\n", *parts)).alias("__n"))
     hits = M.term_hits(norm, [key], "__n", patterns, mode)
     return hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "zh", "en"))).alias("terms"))
 

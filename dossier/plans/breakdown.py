@@ -115,6 +115,15 @@ def failed_documents(units: DataFrame) -> DataFrame:
     return units.groupBy("doc_id").agg(F.bool_and(F.col("error").isNotNull()).alias("lost")).where("lost").select("doc_id")
 
 
+def require_answers(result: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The result of an engine, or RuntimeError where documents are lost altogether: none of their blocks or pages could be read."""
+    lost = result["failed"].orderBy("doc_id").limit(11).collect()
+    if lost:
+        named = ", ".join(str(r["doc_id"]) for r in lost[:10])
+        raise RuntimeError(f"no part could be read of the documents {named}{' and more' if len(lost) > 10 else ''}")
+    return result
+
+
 # --- v2: outline first -------------------------------------------------------------------
 
 
@@ -235,19 +244,20 @@ def page_skeleton(pages: DataFrame, model: VisionModel, first: int | None = None
 
 
 def breakdown_pages(pages: DataFrame, model: VisionModel, outline_model: VisionModel | None = None, review_model: ChatModel | None = None) -> dict[str, DataFrame]:
-    """items and failures of the page engine; pages: doc_id, page, image."""
+    """items, failures and failed (documents lost altogether) of the page engine; pages: doc_id, page, image."""
     empty = pages.sparkSession.createDataFrame([], "doc_id bigint, ord bigint, page int, path string")
     nodes = checkpoint(page_skeleton(pages, outline_model)) if outline_model else empty
     placed = L.page_paths(pages, nodes).withColumn("path", F.coalesce("path", F.lit("")))
     prompt = path_prompt(F.col("path"), F.lit(""), F.concat(F.lit("Questions of page "), F.col("page").cast("string"), F.lit(".")))
-    asked = placed.withColumn("m", chat(prompt, model, F.array("image"))).withColumn("p", J.plain_items(F.col("m.answer"), strict=False))
+    # read three times below and made of model calls
+    asked = checkpoint(placed.withColumn("m", chat(prompt, model, F.array("image"))).withColumn("p", J.plain_items(F.col("m.answer"), strict=False)).select("doc_id", "page", "m", "p"))
     rows = unnest_structs(asked, ["doc_id", "page"], "p.items", ["question_id", "question_text"], "k")
     rows = rows.select("doc_id", (F.col("page").cast("bigint") * _FAR + F.col("k")).alias("ord"), "question_id", "question_text")
     items = I.merged_by_id(rows, ["doc_id"])
     if review_model is not None:
         items = I.merged_by_id(reviewed(items, review_model, keep_when_empty=True).drop("batch"), ["doc_id"])
-    failures = asked.where(F.coalesce("m.error", "p.error").isNotNull()).select("doc_id", F.col("page").alias("segment"), F.coalesce("m.error", "p.error").alias("error"))
-    return {"items": items.select("doc_id", "ord", "question_id", "question_text"), "failures": failures}
+    units = asked.select("doc_id", F.col("page").alias("segment"), F.coalesce("m.error", "p.error").alias("error"))
+    return {"items": items.select("doc_id", "ord", "question_id", "question_text"), "failures": units.where("error IS NOT NULL"), "failed": failed_documents(units)}
 
 
 def sectioned(items: DataFrame, section: Column | None = None, depiction: Column | None = None) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +96,32 @@ def write_json_map(pairs: DataFrame, key: str, value: str, path: str) -> None:
     json_map_text(pairs, key, value).write.mode("overwrite").text(path)
 
 
+def json_object_lines(pairs: DataFrame, key: str, value: str) -> DataFrame:
+    """Lines, in order of the key, that are one JSON object together; of several values of a key the largest stays. All lines are in one partition."""
+    once = pairs.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("k")).agg(F.max(F.col(value).cast("string")).alias("v"))
+    entries = once.withColumn("e", F.to_json(F.create_map("k", F.col("v")), {"ignoreNullFields": "false"})).select("k", F.expr("substring(e, 2, length(e) - 2)").alias("entry"))
+
+    def punctuated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A line behind: the last entry has no comma."""
+        held, mark = "{", ""
+        for batch in batches:
+            lines = []
+            for text in filter(None, batch.column(0).to_pylist()):
+                lines.append(held + mark)
+                held, mark = text, ","
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([held, "}"], pa.string())], ["value"])
+
+    # a row without an entry, so that no entries are an object too
+    always = pairs.sparkSession.range(1).select(F.lit(None).cast("string").alias("k"), F.lit(None).cast("string").alias("entry"))
+    return entries.union(always).orderBy("k").coalesce(1).select("entry").mapInArrow(punctuated, "value string")
+
+
+def write_json_object(pairs: DataFrame, key: str, value: str, path: str) -> None:
+    """The map as one JSON object in one file, for readers that load it whole; one task streams the lines, sorted by many."""
+    json_object_lines(pairs, key, value).write.mode("overwrite").text(path)
+
+
 def dead_letters(df: DataFrame, stage: str, payload: str, error: Column, keys: Column, include_raw: bool = False, raw_limit: int | None = None) -> DataFrame:
     """Failed units of work as review records; the payload only as a hash unless asked for, then whole or up to ``raw_limit`` characters."""
     has = F.coalesce(payload, F.lit("")) != ""

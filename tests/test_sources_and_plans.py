@@ -1,4 +1,5 @@
 import glob
+import json
 import os
 
 import pytest
@@ -8,6 +9,7 @@ from dossier import models
 from dossier.operators import match as M
 from dossier.params import RetrievalParams
 from dossier.plans import ask as A
+from dossier.plans import breakdown as B
 from dossier.plans import ingest as G
 from dossier.plans import mining as P
 from dossier.sources import readers, sinks
@@ -120,3 +122,63 @@ def test_ask_end_to_end(spark):
     assert [r.file_path for r in out["attachments"].collect()] == ["/f.pdf"]
     label = A.route_label(out["routes"]).first()
     assert (label.intent_method, label.agencies) == ("keyword", "農業部")
+
+
+def test_map_as_one_json_object(spark, tmp_path):
+    pairs = spark.createDataFrame([(f"k{i % 7}", f'v "{i}"\n') for i in range(20)] + [(None, "x"), ("n", None)], "k string, v string").repartition(3)
+    for name, df in (("m", pairs), ("none", pairs.where("false"))):
+        sinks.write_json_object(df, "k", "v", str(tmp_path / name))
+        (part,) = [p for p in (tmp_path / name).iterdir() if p.name.startswith("part-")]
+        loaded = json.loads(part.read_text(encoding="utf-8"))
+        want = {}
+        for r in df.collect():
+            if r["k"] is not None:
+                want[r["k"]] = max(filter(None, [want.get(r["k"]), r["v"]]), default=None)
+        assert loaded == want and list(loaded) == sorted(loaded)
+    assert {(r["key"], r["value"]) for r in readers.json_map(spark, str(tmp_path / "m")).collect()} == set(json.loads(next((tmp_path / "m").glob("part-*")).read_text()).items())
+
+
+def test_cached_pages_come_in_order(spark):
+    files = spark.createDataFrame([("a", b"one"), ("b", b"two")], "path string, content binary")
+    key = files.where("path = 'a'").select(readers.image_key(F.col("content"))).first()[0]
+    cache = spark.createDataFrame([(key, n, f"image{n}".encode()) for n in (10, 2, 1)], "file_md5 string, page_no int, image binary")
+    got = {r["path"]: [p["page_no"] for p in r["pages"]] for r in readers.cached_pages(files, cache).collect()}
+    assert got == {"a": [1, 2, 10], "b": []}
+
+
+def test_terms_of_several_texts(spark):
+    patterns = M.dictionary_patterns(spark.createDataFrame([(0, "食品", "food"), (1, "出口", "export")], "ord bigint, zh string, en string"), None)
+    texts = spark.createDataFrame([(1, "食品", "出口"), (2, "", "食品"), (3, None, None), (4, "食", "品")], "id int, a string, b string")
+    got = {r["id"]: {t["en"] for t in r["terms"]} for r in A.dictionary_terms(texts, "id", ["a", "b"], patterns).collect()}
+    assert got.get(1) == {"food", "export"} and got.get(2) == {"food"} and 3 not in got
+
+
+def test_translation_and_routing_by_a_model(spark):
+    patterns = M.dictionary_patterns(spark.createDataFrame([(0, "食品", "victuals")], "ord bigint, zh string, en string"), None)
+    texts = spark.createDataFrame([(1, "食品安全"), (2, "其他")], "id int, text string")
+    got = {r["id"]: r["english"] for r in A.to_english(texts, patterns, lambda prompts: [f" terms: {'victuals' in p} " for p in prompts]).collect()}
+    assert got == {1: "terms: True", 2: "terms: False"}
+    units = M.intent_patterns(spark.createDataFrame([(0, "A", "u1", "水產", None)], "ord bigint, agency string, unit string, keywords string, extended array<string>"))
+    profile = spark.createDataFrame([("A", "u1", "水產", 0), ("B", "u2", "肉品", 1)], "agency string, unit string, keywords string, place int")
+    asked = spark.createDataFrame([(1, "水產如何"), (2, "別的")], "query_id int, chinese string")
+
+    def model(prompts):
+        return ['<JSON_Result>[{"機關": "B", "單位": "u2", "理由": "' + ("known" if "肉品" in p else "unknown") + '"}]</JSON_Result>' for p in prompts]
+
+    rows = {(r["query_id"], r["method"]): (r["agency"], r["unit"], r["rank"]) for r in A.routed(asked, units, profile, model, 2).collect()}
+    assert rows[1, "keyword"] == ("A", "u1", 1) and rows[2, "model"] == ("B", "u2", 1) and rows[1, "model"][2] == 2
+
+
+def test_documents_that_nothing_can_be_read_of(spark):
+    pages = spark.createDataFrame([(1, 1, "bad"), (1, 2, "bad"), (2, 1, "bad"), (2, 2, "1.1 fine text")], "doc_id bigint, page int, image string")
+
+    def model(prompts, images):
+        if images[0][0] == "bad":
+            raise RuntimeError("unreadable")
+        return ['[{"question_id": "1.1", "question_text": "fine text"}]']
+
+    out = B.breakdown_pages(pages, model)
+    assert [r["doc_id"] for r in out["failed"].collect()] == [1] and out["failures"].count() == 3
+    with pytest.raises(RuntimeError, match="documents 1"):
+        B.require_answers(out)
+    assert B.require_answers({"failed": out["failed"].where("false")})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from dossier.catalog import query
@@ -9,7 +11,8 @@ from dossier.catalog.documents import dclean, dstrip
 from dossier.functions import text as T
 from dossier.operators import terms as M
 from dossier.operators.unnest import unnest_structs
-from dossier.sources import sinks
+from dossier.session import shared_folder
+from dossier.sources import readers, sinks
 
 
 def _terms(t):
@@ -39,6 +42,14 @@ def term_export(t):
     return sinks.term_export(M.term_frequency(_terms(t)))
 
 
+@query("large_json_map", "SELECT CAST(p_partkey AS VARCHAR) AS key, p_name AS value FROM part")
+def large_json_map(t):
+    """Parts as one JSON object, read back piece by piece."""
+    path = f"{shared_folder(t.part.sparkSession)}/json-object-{uuid.uuid4().hex}"
+    sinks.write_json_object(t.part, "p_partkey", "p_name", path)
+    return readers.large_json_map(t.part.sparkSession, path).select("key", "value")
+
+
 @query("json_map_export", "SELECT '{\"' || p_partkey || '\":\"' || p_name || '\"}' AS value FROM part")
 def json_map_export(t):
     return sinks.json_map_text(t.part.select(F.col("p_partkey").cast("string").alias("k"), "p_name"), "k", "p_name")

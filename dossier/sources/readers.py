@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.functions.text import strip
+from dossier.operators import ordered as O
 from dossier.operators.retrieval import is_active
 from dossier.operators.unnest import unnest, unnest_structs
+from dossier.session import settled
 
 # Layout classes that carry text.
 LAYOUT_CLASSES = ("plain text", "title", "table", "table_footnote")
@@ -63,6 +65,42 @@ def json_map_rows(df: DataFrame, column: str) -> DataFrame:
     return unnest_structs(df, [], entries, ["key", "value"], "ord")
 
 
+def large_json_map(spark: SparkSession, path: str) -> DataFrame:
+    """(path, ord, key, value) of large JSON objects, one a file, each read by many tasks; ``value`` is the text of a string, the JSON of anything else.
+
+    The text reader cuts a file at commas, and its byte ranges split the file. Which commas part entries follows from two running values over the pieces in
+    file order: quotes in front (an odd number: inside a string), and open brackets in front. Both are scans over blocks, so no task reads a whole object.
+    Equal keys all stay, in order. A file whose entries are not all JSON gives none; text behind an object is an error.
+    """
+    raw = spark.read.option("lineSep", ",").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("piece"))
+    raw = raw.withColumn("bare", F.regexp_replace("piece", r"\\.", ""))
+    quotes = F.length("bare") - F.length(F.replace(F.col("bare"), F.lit('"'), F.lit("")))
+    order = ["start", "at"]
+    rows = O.running(raw.withColumn("quotes", quotes), ["path"], order, {"before": O.Running(F.col("quotes"), "sum", exclusive=True)})
+    # what stands outside of strings: every other part between quotes
+    inside = F.col("before") % 2
+    outside = F.array_join(F.filter(F.split("bare", '"'), lambda x, i: (i + inside) % 2 == 0), "")
+    count = lambda signs: F.length(outside) - F.length(F.regexp_replace(outside, signs, ""))
+    rows = rows.withColumns({"inside": inside, "change": count(r"[\[{]") - count(r"[\]}]")})
+    rows = O.running(rows, ["path"], order, {"depth": O.Running(F.col("change"), "sum", exclusive=True)})
+    opens = (F.col("inside") == 0) & (F.col("depth") <= 1)
+    rows = O.running(rows.withColumn("opens", opens), ["path"], order, {"entry": O.Running(F.col("opens").cast("int"), "sum")})
+    pieces = rows.groupBy("path", "entry").agg(
+        F.array_sort(F.collect_list(F.struct("start", "at", "piece"))).alias("xs"), F.min(F.struct("start", "at", "depth")).alias("first"), F.max(F.struct("start", "at", F.col("depth") + F.col("change"))).alias("last"))
+    text = strip(F.array_join(F.transform("xs", lambda x: x["piece"]), ","))
+    begins, ends = F.col("first.depth") == 0, F.col("last.col3") == 0
+    body = F.when(begins, F.regexp_replace(text, r"^\{", "")).otherwise(text)
+    body = F.when(ends, F.regexp_replace(body, r"\}$", "")).otherwise(body)
+    parsed = F.from_json(F.concat(F.lit("{"), body, F.lit("}")), "map<string,string>")
+    sound = (~begins | text.startswith("{")) & ((parsed.isNotNull() & (F.size(parsed) == 1)) | (begins & ends & (strip(body) == "")))
+    found = settled(pieces.select("path", F.col("entry").alias("ord"), parsed.alias("map"), F.coalesce(sound, F.lit(False)).alias("sound"), (begins & (F.col("entry") > 1)).alias("behind")))
+    files = found.groupBy("path").agg(F.bool_or("behind").alias("more"), F.bool_and(F.col("sound") | F.col("behind")).alias("whole"))
+    kept = found.join(files.where("whole"), "path")
+    entries = F.when(F.col("more"), F.raise_error(F.lit("text behind the JSON object"))).otherwise(F.map_entries("map"))
+    return unnest_structs(kept, ["path", "ord"], entries, ["key", "value"], "k").drop("k")
+
+
 def json_list_map_rows(df: DataFrame, column: str) -> DataFrame:
     """(key, value, ord) of a JSON object of string lists."""
     parsed = F.from_json(F.col(column), "map<string,array<string>>")

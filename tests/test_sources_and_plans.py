@@ -182,3 +182,30 @@ def test_documents_that_nothing_can_be_read_of(spark):
     with pytest.raises(RuntimeError, match="documents 1"):
         B.require_answers(out)
     assert B.require_answers({"failed": out["failed"].where("false")})
+
+
+def test_large_json_maps_are_read_by_many_tasks(spark, tmp_path):
+    odd = ['a, "b"', "[1, {", "} ] ,,", "back\\\\slash, \\\\", "new\nline, tab\t", "", "ünïcode, 漢字, 😀", ",", '"', '\\\\"']
+    want = {f"key, {i} {odd[i % len(odd)]}": odd[(i * 7) % len(odd)] + f" {i}" for i in range(3_000)}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "map.json").write_text(json.dumps(want, ensure_ascii=False, indent=1), encoding="utf-8")
+    nested = {"a": ["x, y", "z"], "b": {"c": [1, 2], "d": "}"}, "e": 3, "f": None, "g": "plain"}
+    (tmp_path / "in" / "nested.json").write_text(json.dumps(nested), encoding="utf-8")
+    (tmp_path / "in" / "empty.json").write_text(" {} ")
+    (tmp_path / "in" / "none.json").write_text("not, json")
+    (tmp_path / "in" / "cut.json").write_text('{"a": "x", "b": ')
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 16_384)
+        got = {}
+        for r in readers.large_json_map(spark, str(tmp_path / "in")).orderBy("ord").collect():
+            got.setdefault(r["path"].rsplit("/", 1)[1], {})[r["key"]] = r["value"]
+        assert spark.read.text(str(tmp_path / "in" / "map.json")).rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    assert got.keys() == {"map.json", "nested.json"}
+    assert got["map.json"] == want and list(got["map.json"]) == list(want)
+    assert {k: v if k == "g" or v is None else json.loads(v) for k, v in got["nested.json"].items()} == nested
+    (tmp_path / "tail.json").write_text('{"a": "x"}, {"b": "y"}')
+    with pytest.raises(Exception, match="behind the JSON object"):
+        readers.large_json_map(spark, str(tmp_path / "tail.json")).collect()

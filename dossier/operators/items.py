@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from dossier.functions import ids
 from dossier.functions.blocks import merge_fragments
-from dossier.functions.text import collapse
+from dossier.functions.text import collapse, let
 from dossier.operators import ordered as O
 
 ITEM = T.StructType([T.StructField("question_id", T.StringType()), T.StructField("question_text", T.StringType())])
@@ -28,9 +28,13 @@ def joined_texts(texts: Column) -> Column:
     start = F.struct(F.element_at(texts, 1).alias("text"), collapse(F.element_at(texts, 1)).alias("flat")).cast(kind)
 
     def add(acc: Column, t: Column) -> Column:
-        flat, joined = collapse(t), F.trim(F.concat(acc["text"], F.lit(" "), t))
-        new = (flat != "") & ~F.contains(acc["flat"], flat)
-        return F.when(new, F.struct(joined.alias("text"), collapse(joined).alias("flat"))).otherwise(acc).cast(kind)
+        # the collapsed text grows by the collapsed addition; collapsing the whole anew would make long lists quadratic
+        def put(flat: Column) -> Column:
+            new = (flat != "") & ~F.contains(acc["flat"], flat)
+            joined = F.struct(F.trim(F.concat(acc["text"], F.lit(" "), t)).alias("text"), F.trim(F.concat(acc["flat"], F.lit(" "), flat)).alias("flat"))
+            return F.when(new, joined).otherwise(acc).cast(kind)
+
+        return let(collapse(t), put)
 
     return F.aggregate(F.slice(texts, 2, F.greatest(F.size(texts) - 1, F.lit(0))), start, add, lambda a: a["text"])
 

@@ -158,9 +158,11 @@ def skeleton(docs: DataFrame, model: ChatModel) -> DataFrame:
     rows = unnest(df, ["doc_id", "slice", "cand"], "nodes", "r", "k").where(F.map_contains_key("r", F.lit("canonical_id")))
     get = lambda k: strip(F.coalesce(F.try_element_at("r", F.lit(k)), F.lit("")))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("slice", "k")).cast("bigint") - 1
-    marked = rows.select("doc_id", place.alias("ord"), "cand", get("canonical_id").alias("path"), get("heading_title").alias("name"), get("raw_marker").alias("marker"))
+    marked = rows.select("doc_id", "slice", "k", "cand", get("canonical_id").alias("path"), get("heading_title").alias("name"), get("raw_marker").alias("marker"))
     first = F.try_element_at(F.filter("cand", lambda c: (F.col("marker") != "") & F.contains(c["line"], F.col("marker"))), F.lit(1))["pos"]
-    return marked.select("doc_id", "ord", F.coalesce(first, F.lit(0)).cast("bigint").alias("pos"), "path", F.trim(F.concat("path", F.lit(" "), "name")).alias("title"))
+    # the candidates stay behind: with them, every node would take a whole slice through the shuffle of the window
+    found = marked.select("doc_id", "slice", "k", F.coalesce(first, F.lit(0)).cast("bigint").alias("pos"), "path", F.trim(F.concat("path", F.lit(" "), "name")).alias("title"))
+    return found.select("doc_id", place.alias("ord"), "pos", "path", "title")
 
 
 def path_prompt(path: Column, title: Column, body: Column) -> Column:
@@ -199,7 +201,9 @@ def breakdown_v2(docs: DataFrame, model: ChatModel, outline_model: ChatModel | N
     blocks = unnest_structs(cut, ["doc_id"], "chunks", fields, "chunk_idx")
     empty = docs.sparkSession.createDataFrame([], "doc_id bigint, ord bigint, pos bigint, path string, title string")
     # outline answers are used twice in the as-of join below
-    nodes = checkpoint(skeleton(cut.where(F.size("chunks") > 1).select("doc_id", "text"), outline_model)) if outline_model else empty
+    # a text of one block is emptied, not filtered out: the filter would be pushed down and cut every document into blocks once more for each use of its parts
+    long = cut.select("doc_id", F.when(F.size("chunks") > 1, F.col("text")).alias("text"))
+    nodes = checkpoint(skeleton(long, outline_model)) if outline_model else empty
     placed = L.chunk_paths(blocks, nodes, block=None)
     asked = placed.withColumn("m", chat(path_prompt(F.col("path"), F.col("title"), _markdown(F.col("text"))), model, retries=1, check=require_items))
     asked = asked.withColumn("p", J.plain_items(F.col("m.answer"), strict=True)).withColumn("error", F.coalesce("m.error", "p.error"))

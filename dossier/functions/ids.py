@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dossier.functions.text import WS, lower_contains_any, strip
+from dossier.functions.text import WS, let, lower_contains_any, strip
 
 # Cell texts that are only column headers.
 COLUMN_HEADERS = (
@@ -40,24 +40,34 @@ SUB_ROMANS = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x")
 
 def normalize_question_id(c: Column) -> Column:
     """Canonical punctuation of one question id."""
-    out = strip(c)
-    for pattern, repl in (
-        (r"(?i)\b(Part|Chapter|Section|Annex|Appendix)_([A-Za-z0-9]+)\b", "$1 $2"),
-        (r"_+", "."),
-        (r"\.+", "."),
-        (rf"[{WS}]*\.[{WS}]*", "."),
-        (r"^[. ]+|[. ]+\z", ""),
-    ):
-        out = F.regexp_replace(out, pattern, repl)
-    return F.regexp_replace(strip(out), rf"(?i)\b(Part[{WS}]+[A-Za-z0-9]+)[{WS}]+(\d+)\b", "$1.$2")
+
+    def named(x: Column) -> Column:
+        return F.when(F.contains(x, F.lit("_")), F.regexp_replace(x, r"(?i)\b(Part|Chapter|Section|Annex|Appendix)_([A-Za-z0-9]+)\b", "$1 $2")).otherwise(x)
+
+    def stopped(x: Column) -> Column:
+        # runs of underscores and stops are one stop, and white space around it goes
+        return strip(F.btrim(F.regexp_replace(x, rf"[{WS}]*+[_.]+[{WS}]*+", "."), F.lit(". ")))
+
+    def parted(x: Column) -> Column:
+        found = F.contains(F.lower(x), F.lit("part")) & x.rlike(r"\d")
+        return F.when(found, F.regexp_replace(x, rf"(?i)\b(Part[{WS}]+[A-Za-z0-9]+)[{WS}]+(\d+)\b", "$1.$2")).otherwise(x)
+
+    return let(strip(c), lambda x: let(stopped(named(x)), parted))
 
 
 def is_false_positive(qid: Column, text: Column) -> Column:
     """Column headers, instructions and blank bodies that are not questions."""
-    qid, text = strip(F.coalesce(qid, F.lit(""))), strip(F.coalesce(text, F.lit("")))
-    bare = F.lower(strip(F.regexp_replace(text, r"<[^>]+>", " ")))
+    known = F.struct(strip(F.coalesce(qid, F.lit(""))).alias("qid"), strip(F.coalesce(text, F.lit(""))).alias("text"))
+    return let(known, lambda k: let(F.lower(strip(F.regexp_replace(k["text"], r"<[^>]+>", " "))), lambda bare: _false_positive(k["qid"], k["text"], bare)))
+
+
+def _false_positive(qid: Column, text: Column, bare: Column) -> Column:
     plain = strip(F.regexp_replace(bare, rf"[{WS}.:_\-]+", " "))
     plain_id = F.lower(strip(F.regexp_replace(qid, rf"[{WS}.:_\-]+", " ")))
+    return let(plain, lambda p: _no_question(qid, text, bare, p, plain_id))
+
+
+def _no_question(qid: Column, text: Column, bare: Column, plain: Column, plain_id: Column) -> Column:
     header = plain.isin(*COLUMN_HEADERS)
     table, body = lower_contains_any(text, "<table"), lower_contains_any(text, "<table", "<ul")
     notice = F.lit(False)

@@ -11,7 +11,7 @@ from dossier.functions import text as T
 from dossier.operators.unnest import unnest, unnest_structs
 from dossier.params import DOC_TYPES, UPLOAD_EXTENSIONS, ChunkParams
 from dossier.plans.ingest import ingest_records as plan_ingest_records
-from dossier.plans.ingest import with_header
+from dossier.plans.ingest import headed
 from dossier.sources import readers, sinks
 
 WS = T.WS
@@ -167,8 +167,10 @@ def ingest_records(t):
 )
 def header_injection(t):
     path = F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, F.col("source")).otherwise(F.concat_ws(" ", "source", "lang"))
-    rows = unnest(t.documents, ["doc_id", path.alias("path")], C.sliding_chunks(F.col("text")), "c", "chunk_idx")
-    return rows.select("doc_id", "chunk_idx", with_header(F.col("path"), F.col("c")).alias("chunk_text"))
+    # a path may be as long as the text it belongs to, so it is cleaned with the text and not with each of its chunks
+    docs = t.documents.select("doc_id", "text", T.sanitize_for_storage(path).alias("path"))
+    rows = unnest(docs, ["doc_id", "path"], C.sliding_chunks(F.col("text")), "c", "chunk_idx")
+    return rows.select("doc_id", "chunk_idx", headed(F.col("path"), F.col("c")).alias("chunk_text"))
 
 
 @query("normalize_text", f"SELECT doc_id, {dnorm('text')} AS normalized FROM documents")

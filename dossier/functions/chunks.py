@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions import growing as G
-from dossier.functions.text import WS, strip
+from dossier.functions.text import WS, let, strip
 from dossier.params import BLOCK_LIMIT, MACRO_CHUNK_SIZE, ChunkParams
 
 _ALL = 2**30  # slice adds start and length as 32-bit integers
@@ -28,8 +28,14 @@ def sliding_chunks(c: Column, params: ChunkParams = ChunkParams(), keep_blank: b
     A blank but non-empty text gives one empty piece when ``keep_blank`` (the ingest
     path embeds a placeholder for it) and none otherwise (the mining path).
     """
-    text = strip(c)
-    blocks = _cut(text, params.step)
+    return let(strip(c), lambda text: F.when(c.isNull() | (c == ""), F.array().cast("array<string>")).otherwise(_pieces(text, params, keep_blank)))
+
+
+def _pieces(text: Column, params: ChunkParams, keep_blank: bool) -> Column:
+    return let(_cut(text, params.step), lambda blocks: _overlapping(text, blocks, params, keep_blank))
+
+
+def _overlapping(text: Column, blocks: Column, params: ChunkParams, keep_blank: bool) -> Column:
     joined = blocks
     for nxt in range(1, -(-params.overlap // params.step) + 1):
         joined = F.zip_with(
@@ -44,12 +50,7 @@ def sliding_chunks(c: Column, params: ChunkParams = ChunkParams(), keep_blank: b
     )
     none = F.array().cast("array<string>")
     blank = F.array(F.lit("")) if keep_blank else none
-    return (
-        F.when(c.isNull() | (c == ""), none)
-        .when(text == "", blank)
-        .when(F.length(text) <= params.size, F.array(text))
-        .otherwise(pieces)
-    )
+    return F.when(text == "", blank).when(F.length(text) <= params.size, F.array(text)).otherwise(pieces)
 
 
 def macro_chunks(c: Column, size: int = MACRO_CHUNK_SIZE) -> Column:

@@ -37,7 +37,12 @@ def placeholder(text: Column) -> Column:
 
 def with_header(path: Column, chunk: Column, limit: int | None = None) -> Column:
     """Chunk with its heading path in front, unless the path is in the chunk already; a path beyond ``limit`` is shortened."""
-    path, text = sanitize_for_storage(path), sanitize_for_storage(chunk)
+    return headed(sanitize_for_storage(path), chunk, limit)
+
+
+def headed(path: Column, chunk: Column, limit: int | None = None) -> Column:
+    """:func:`with_header` for a path that is clean already, as it is for all chunks of a text once it was cleaned with that text."""
+    text = sanitize_for_storage(chunk)
     if limit is not None:
         path = F.when(F.length(path) > limit, F.concat(F.left(path, F.lit(limit)), F.lit("..."))).otherwise(path)
     return F.when((path != "") & ~F.contains(text, path), F.concat(F.lit("["), path, F.lit("]\n"), text)).otherwise(text)

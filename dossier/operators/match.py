@@ -7,6 +7,7 @@ join. Ranking, resolving and grounding happen in DataFrame expressions afterward
 
 from __future__ import annotations
 
+from array import array
 from collections import OrderedDict
 from uuid import uuid4
 
@@ -27,6 +28,8 @@ _HIT = T.StructType([T.StructField("pid", T.LongType()), T.StructField("start",
 # automata of the dictionaries in use, per Python worker
 _built: OrderedDict[str, tuple] = OrderedDict()
 _KEPT = 8
+# texts of a batch that are Python strings at a time
+_TEXTS = 128
 
 
 def _automaton(token: str, shared):
@@ -77,18 +80,19 @@ def _scan_udf(shared, read):
     @F.arrow_udf(T.ArrayType(_HIT))
     def scan(texts: pa.Array) -> pa.Array:
         machine, sizes = _automaton(token, shared)
-        pids, stops, ends = [], [], [0]
-        for text in texts.to_pylist():
-            for pid, end in read(machine, sizes, text or ""):
-                pids.append(pid)
-                stops.append(end)
-            ends.append(len(pids))
+        # a batch may hold millions of hits: they are kept as plain numbers, and texts become Python strings few at a time
+        pids, stops, widths, ends = array("q"), array("i"), array("i"), array("i", [0])
+        for at in range(0, len(texts), _TEXTS):
+            for text in texts.slice(at, _TEXTS).to_pylist():
+                for pid, end in read(machine, sizes, text or ""):
+                    pids.append(pid)
+                    stops.append(end)
+                    widths.append(sizes[pid])
+                ends.append(len(pids))
         stop = np.asarray(stops, dtype=np.int32) + 1
-        width = np.asarray([sizes[p] for p in pids], dtype=np.int32)
-        hits = pa.StructArray.from_arrays(
-            [pa.array(pids, pa.int64()), pa.array(stop - width, pa.int32()), pa.array(stop, pa.int32())], ["pid", "start", "stop"]
-        )
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), hits)
+        start = stop - np.asarray(widths, dtype=np.int32)
+        hits = pa.StructArray.from_arrays([pa.array(np.asarray(pids, dtype=np.int64)), pa.array(start), pa.array(stop)], ["pid", "start", "stop"])
+        return pa.ListArray.from_arrays(pa.array(np.asarray(ends, dtype=np.int32)), hits)
 
     return scan
 
@@ -323,7 +327,8 @@ def classify(df: DataFrame, keys: list[str], text: str, patterns: DataFrame, top
     """
     patterns = settled(patterns)
     norm = df.select(*keys, normalize_for_matching(F.col(text)).alias("__t"))
-    found = hit_rows(norm, keys, "__t", patterns, mode)
+    # a table of few pieces is dealt out first: the matches of a text are many times its size, and the task that finds them sorts them
+    found = hit_rows(norm.repartition(*keys, "__t"), keys, "__t", patterns, mode)
     place = F.col("pid") if mode == "contains" else F.col("start").cast("bigint")
     rows = found.join(patterns, "pid").withColumn(
         "strength", F.struct((-F.length("pattern")).alias("len"), place.alias("place"))

@@ -219,12 +219,17 @@ def grounded_terms(df: DataFrame, keys: list[str], query: str, context: str, pat
     texts = df.select(*keys, n_query.alias("__q"), n_context.alias("__c")).withColumn(
         "__all", F.when(F.col("__c") != "", F.concat("__q", F.lit("\n"), "__c")).otherwise(F.col("__q"))
     )
-    everything = term_hits(texts, keys, "__all", patterns, mode)
-    in_context = term_hits(texts, keys, "__c", patterns, mode).select(*keys, "zh", F.lit(True).alias("__in"))
     any_stem = patterns.where("is_stem").limit(1).agg((F.count("*") > 0).alias("x")).scalar()
-    rows = everything.join(in_context, [*keys, "zh"], "left").join(texts.select(*keys, "__q"), keys)
+    usable = patterns.where(~F.col("is_stem")) if mode == "contains" else patterns
+    # both texts of a row are read in one pass, and their hits meet in one aggregation
+    both = scan(scan(texts, "__all", usable, mode, "__everywhere"), "__c", usable, mode, "__inside")
+    told = lambda c, inside: F.transform(c, lambda h: F.struct(h["pid"].alias("pid"), h["start"].alias("start"), F.lit(inside).alias("inside")))
+    hits = unnest_structs(both, keys, F.concat(told("__everywhere", False), told("__inside", True)), ["pid", "start", "inside"])
+    place = F.when(~F.col("inside"), F.col("pid" if mode == "contains" else "start").cast("bigint"))
+    found = hits.join(usable.select("pid", "zh", "en"), "pid").groupBy(*keys, "zh", "en").agg(F.min(place).alias("pos"), F.max("inside").alias("__in"))
+    rows = found.where(F.col("pos").isNotNull()).join(texts.select(*keys, "__q"), keys)
     full = F.contains(F.col("__q"), normalize_for_matching(F.col("zh")))
-    return rows.where(F.coalesce("__in", F.lit(False)) | full | ~any_stem).select(*keys, "zh", "en", "pos")
+    return rows.where(F.col("__in") | full | ~any_stem).select(*keys, "zh", "en", "pos")
 
 
 def english_hits(df: DataFrame, keys: list[str], text: str, patterns: DataFrame) -> DataFrame:

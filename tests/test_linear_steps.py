@@ -84,3 +84,11 @@ def test_joined_texts_keep_the_collapsed_form(ev):
     join = lambda texts: ev(texts, I.joined_texts, "array<string>")
     assert join(["a  b", "b", " c ", "b c", "d\te", "c d"]) == "a  b  c d\te"
     assert join([" ", "a", "a"]) == "a"
+
+
+def test_grounded_terms_read_both_texts_in_one_pass(spark):
+    patterns = spark.createDataFrame([(1, "alphabet", "alphabet", "A", False), (2, "alpha", "alphabet", "A", True), (3, "beta", "beta", "B", False)], "pid long, pattern string, zh string, en string, is_stem boolean")
+    texts = spark.createDataFrame([(1, "alpha", "x"), (2, "alphabet", "x"), (3, "alpha", "my alpha"), (4, "beta", None), (None, "beta", "beta")], "k long, q string, c string")
+    found = M.grounded_terms(texts, ["k"], "q", "c", patterns, "standard")
+    assert sorted(map(tuple, found.collect())) == [(2, "alphabet", "A", 0), (3, "alphabet", "A", 0), (4, "beta", "B", 0)]
+    assert plan(found).count("Generate ") == 1

@@ -21,6 +21,7 @@ from dossier.plans import breakdown as B
 from dossier.plans import ingest as G
 from dossier.plans import mining as P
 from dossier.plans import reading as R
+from dossier.session import settled
 
 
 class FirstWords:
@@ -172,6 +173,8 @@ def ask_pipeline(t):
         F.concat_ws("-", F.col("doc_id").cast("string"), F.col("chunk_idx").cast("string")).alias("chunk_pk"), F.col("doc_id").alias("parent_id"),
         F.lit("answer").alias("chunk_source"), "chunk_idx", "chunk_text", "embedding",
     )
+    # the search reads the vectors once for each block of queries, so they are made once, as the table that a service keeps
+    chunks = settled(chunks)
     items = t.documents.select(F.col("doc_id").alias("parent_id"), F.lit(0).alias("is_deleted"), F.col("source").alias("master_id"),
                                F.concat_ws(" ", "lang", F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("reply"), F.col("doc_id").cast("string").alias("item_no"))
     masters = t.documents.groupBy(F.col("source").alias("master_id")).agg(F.max("lang").alias("master_name"))

@@ -92,3 +92,18 @@ def test_grounded_terms_read_both_texts_in_one_pass(spark):
     found = M.grounded_terms(texts, ["k"], "q", "c", patterns, "standard")
     assert sorted(map(tuple, found.collect())) == [(2, "alphabet", "A", 0), (3, "alphabet", "A", 0), (4, "beta", "B", 0)]
     assert plan(found).count("Generate ") == 1
+
+
+def test_ask_pipeline_makes_its_vectors_once(spark, monkeypatch):
+    from dossier.catalog import Tables, pipelines
+
+    seen = []
+    monkeypatch.setattr(pipelines.A, "ask", lambda asked, corpus, *a, **k: seen.append(corpus.chunks) or {"answers": asked.selectExpr("query_id", "'' AS prompt", "'' AS english", "'' AS chinese_answer")})
+    monkeypatch.setattr(pipelines.matching, "_dictionary", lambda t: spark.createDataFrame([("alpha", "A", 1)], "zh string, en string, ord long"))
+    monkeypatch.setattr(pipelines.matching, "_stems", lambda t: None)
+    monkeypatch.setattr(pipelines.matching, "_units", lambda t: spark.createDataFrame([(1, "a", "u", "k", ["x"])], "ord long, agency string, unit string, keywords string, extended array<string>"))
+    t = Tables.__new__(Tables)
+    t.documents = spark.createDataFrame([(1, "alpha " * 200, "en", "s")], "doc_id long, text string, lang string, source string")
+    t.conversations = spark.createDataFrame([(1, 0, "user", "alpha?")], "conv_id long, turn int, role string, text string")
+    pipelines.ask_pipeline(t)
+    assert "Eval" not in plan(seen[0]) and seen[0].count() == 3

@@ -1,6 +1,6 @@
 """Sequential page reading: each page is read with what the pages before it left behind.
 
-All documents advance together, a page a round; a document's navigation state (anchors,
+All documents advance together, some pages a round; a document's navigation state (anchors,
 sections, pending text) is a row. What a page said is put out as a row; cleaning,
 numbering, section assignment and the final reduction are DataFrame work on those rows.
 """
@@ -8,8 +8,10 @@ numbering, section assignment and the final reduction are DataFrame work on thos
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import partial
+from itertools import groupby
+from operator import attrgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -27,7 +29,7 @@ from dossier.operators import outline as L
 from dossier.operators.unnest import unnest_structs
 from dossier.params import VERIFY_BATCH
 from dossier.plans.breakdown import outline_calls
-from dossier.session import checkpoint, shared_folder
+from dossier.session import checkpoint, settled, shared_folder
 
 
 def outline_answers(pages: DataFrame, model: VisionModel, first: int | None = None) -> DataFrame:
@@ -39,46 +41,70 @@ def outline_answers(pages: DataFrame, model: VisionModel, first: int | None = No
     return listed.select("doc_id", F.concat(F.lit("["), F.array_join(entries, ","), F.lit("]")).alias("outline"))
 
 
-def _looked(batches: Iterator[pd.DataFrame], look: Callable) -> Iterator[pd.DataFrame]:
-    """A row for each row, several calls of the model at a time; what is no answer of a model but a fault of ours ends the task."""
-    for batch in batches:
-        rows = list(in_order(look, batch.itertuples(index=False)))
-        for row in rows:
-            if isinstance(row, Exception):
-                raise row
-        yield pd.DataFrame(rows, columns=_ROUND_COLUMNS)
-
+#: A round takes as many next pages of a document as these bytes hold, a page counting as the share of them that leaves ROUND_PAGES pages a round at most.
+ROUND_BYTES, ROUND_PAGES = 4 * 2**20, 512
+#: Rows that a task hands on at a time.
+_ROWS_OUT = 1_000
 
-def _first_looks(batches: Iterator[pd.DataFrame], model: VisionModel) -> Iterator[pd.DataFrame]:
-    def look(r) -> tuple:
-        state = P.Reader.load(r.state)
-        step = P.first_look(state, r.page, r.image, model)
-        done = not step.back
-        row = P.finish(state, r.page, step) if done else (None,) * 9 + (step.back, None)
-        return r.doc_id, r.page, *row, state.dump(), None if done else step.dump()
-
-    yield from _looked(batches, look)
+_ROUND = P.ROWS + ", state string, step string"
+_ROUND_COLUMNS = [*P.COLUMNS, "state", "step"]
+#: What a round reads of a document, in this order: its state, earlier pages asked for, the pages to read.
+_STATE, _SEEN, _PAGE = 0, 1, 2
 
 
-def _second_looks(batches: Iterator[pd.DataFrame], model: VisionModel) -> Iterator[pd.DataFrame]:
-    def look(r) -> tuple:
-        state, step = P.Reader.load(r.state), P.Step.load(r.step)
-        seen = {x["page"]: x for x in r.seen}
-        shown = [seen[p]["image"] for p in step.back if p in seen]
-        told = [P.remembered(p, seen[p]["active"], seen[p]["answer"], seen[p]["pending"]) for p in step.back if p in seen and seen[p]["answer"] is not None]
-        P.second_look(state, r.page, step, [*shown, seen[r.page]["image"]], told, model)
-        return r.doc_id, r.page, *P.finish(state, r.page, step), state.dump(), None
+def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[list]:
+    """Rows of one document after the other."""
+    rows = (row for batch in batches for row in batch.itertuples(index=False))
+    for _, own in groupby(rows, key=attrgetter("doc_id")):
+        yield list(own)
 
-    yield from _looked(batches, look)
 
+def _read_on(rows: list, model: VisionModel) -> list[tuple]:
+    """Rows of a document's pages up to the last one, or up to one that asks for a page that is not at hand; the last row carries the state.
 
-_ROUND = P.ROWS + ", state string, step string"
-_ROUND_COLUMNS = [*P.COLUMNS, "state", "step"]
+    A page whose request is open gives a row with its step, and no page behind it is read.
+    """
+    start, out = rows[0], []
+    state, step = P.Reader.load(start.state), P.Step.load(start.step) if start.step else None
+    images = {r.page: r.image for r in rows if r.kind != _STATE}
+    # pages missing in the document are known to be missing once they have been looked for
+    looked_for = set(step.back) if step else set()
+    told = {r.page: P.remembered(r.page, r.active, r.answer, r.pending) for r in rows if r.kind == _SEEN and r.answer is not None}
+    pages = [r for r in rows if r.kind == _PAGE]
+    first = start.first or pages[0].page
+    for r in pages:
+        if step is None:
+            step = P.first_look(state, r.page, r.image, model)
+            looked_for |= {p for p in step.back if p >= first}
+            if not looked_for.union(images).issuperset(step.back):
+                return [*out, (r.doc_id, r.page, *(None,) * 9, step.back, None, state.dump(), step.dump())]
+        if step.back:
+            shown = [images[p] for p in step.back if p in images]
+            P.second_look(state, r.page, step, [*shown, r.image], [told[p] for p in step.back if p in told], model)
+        row = P.finish(state, r.page, step)
+        told[r.page] = P.remembered(r.page, row[1], row[6], row[7])
+        out.append((r.doc_id, r.page, *row, None, None))
+        step = None
+    return [*out[:-1], (*out[-1][:-2], state.dump(), None)]
+
+
+def _round(batches: Iterator[pd.DataFrame], model: VisionModel) -> Iterator[pd.DataFrame]:
+    """Several documents are read at a time; what is no answer of a model but a fault of ours ends the task."""
+    held: list[tuple] = []
+    for rows in in_order(partial(_read_on, model=model), _documents(batches)):
+        if isinstance(rows, Exception):
+            raise rows
+        held += rows
+        if len(held) >= _ROWS_OUT:
+            yield pd.DataFrame(held, columns=_ROUND_COLUMNS)
+            held = []
+    if held:
+        yield pd.DataFrame(held, columns=_ROUND_COLUMNS)
 
 
 def _begun(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield batch.assign(state=[P.Reader.start(t, o).dump() for t, o in zip(batch["total"], batch["outline"])])[["doc_id", "total", "state"]]
+        yield batch.assign(state=[P.Reader.start(t, o).dump() for t, o in zip(batch["total"], batch["outline"])])[["doc_id", "rounds", "state"]]
 
 
 def read_pages(pages: DataFrame, model: VisionModel, outline: DataFrame | None = None) -> DataFrame:
@@ -87,48 +113,68 @@ def read_pages(pages: DataFrame, model: VisionModel, outline: DataFrame | None =
     pages: doc_id, page, image; outline: doc_id, outline (JSON text). Rows without a document or a page number are left out; of several images of one page any
     one is read.
 
-    Documents are read side by side in rounds. A round joins the next page of every document with its state, a row each; pages that the model wants to see
-    again are joined by key with their images and with what was read on them, and asked about once more; rows and states of the round are
-    written to the shared folder. So no task holds a document, however many pages it has, and a lost executor repeats a round's part.
+    Documents are read side by side in rounds. A round takes the next pages of every document, as many as ROUND_BYTES and ROUND_PAGES allow, behind its state.
+    Pages that the model wants to see again are mostly among them; where one is not, the document waits at that page, and a further part of the round joins the
+    pages asked for by key with their images and with what was read on them, and reads on. Rows and states are written to the shared folder. So a task holds a
+    few rounds' pages and no whole document, the number of rounds follows the bytes of the longest one, and a lost executor repeats a round's part.
     """
     spark = pages.sparkSession
     root = f"{shared_folder(spark)}/reading-{uuid.uuid4().hex}"
-    laid = pages.where("doc_id IS NOT NULL AND page IS NOT NULL").select("doc_id", F.col("page").cast("int").alias("page"), "image")
-    # laid out by page, so that a round reads its own pages only
-    laid.repartitionByRange("page", "doc_id").sortWithinPartitions("page").write.parquet(f"{root}/pages")
-    laid = spark.read.schema(laid.schema).parquet(f"{root}/pages")
-    total = laid.groupBy("doc_id").agg(F.max("page").alias("total"))
+    known = pages.where("doc_id IS NOT NULL AND page IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("page").cast("int").alias("page"), "image")
+    size = F.greatest(F.coalesce(F.octet_length("image"), F.lit(0)), F.lit(ROUND_BYTES // ROUND_PAGES)).cast("bigint")
+    before = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = known.dropDuplicates(["doc_id", "page"]).withColumn("round", F.floor(F.coalesce(F.sum(size).over(before), F.lit(0)) / ROUND_BYTES).cast("int"))
+    # laid out by round, so that a round reads its own pages only; a round without a page, behind a very large one, is no round
+    dealt = dealt.withColumn("round", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("round")) - 1)
+    dealt.repartitionByRange("round", "doc_id").sortWithinPartitions("round", "doc_id").write.parquet(f"{root}/pages")
+    laid = spark.read.schema(dealt.schema).parquet(f"{root}/pages")
+    total = laid.groupBy("doc_id").agg(F.max("page").alias("total"), (F.max("round") + 1).alias("rounds"))
     begun = total.join(outline.select("doc_id", "outline"), "doc_id", "left") if outline is not None else total.withColumn("outline", F.lit(None).cast("string"))
-    begun.mapInPandas(_begun, "doc_id bigint, total int, state string").write.parquet(f"{root}/begun")
-    state = spark.read.parquet(f"{root}/begun")
-    # as many numbers as the longest document has pages
-    numbers = [r["page"] for r in laid.select("page").distinct().orderBy("page").collect()]
-
-    def rows(folder: str, numbers: list[int]) -> DataFrame:
-        return spark.read.schema(_ROUND).parquet(*(f"{root}/{folder}/{n}" for n in numbers))
-
-    for number in numbers:
-        here = state.where(F.col("total") >= number).join(laid.where(F.col("page") == number), "doc_id").dropDuplicates(["doc_id"])
-        here.select("doc_id", "page", "image", "state").mapInPandas(partial(_first_looks, model=model), _ROUND).write.parquet(f"{root}/first/{number}")
-        first = rows("first", [number])
-        done, open_ = first.where("step IS NULL"), first.where("step IS NOT NULL")
-        wanted = [r["p"] for r in open_.select(F.explode("back_read").alias("p")).distinct().collect()]
-        if wanted:
-            asked = open_.select("doc_id", F.explode(F.array_append("back_read", F.col("page"))).alias("page"))
-            shown = asked.join(laid.where(F.col("page").isin([*wanted, number])), ["doc_id", "page"]).dropDuplicates(["doc_id", "page"])
-            read_before = [n for n in wanted if n in set(numbers)]
-            told = rows("rounds", read_before).select("doc_id", "page", "active", "answer", "pending") if read_before else rows("first", [number]).where("false").select("doc_id", "page", "active", "answer", "pending")
-            seen = shown.join(told, ["doc_id", "page"], "left").groupBy("doc_id").agg(F.collect_list(F.struct("page", "image", "active", "answer", "pending")).alias("seen"))
-            again = open_.select("doc_id", "page", "state", "step").join(seen, "doc_id")
-            done = done.union(again.mapInPandas(partial(_second_looks, model=model), _ROUND))
-        done.write.parquet(f"{root}/rounds/{number}")
-        after = rows("rounds", [number]).select("doc_id", F.col("state").alias("now"))
-        moved = state.where(F.col("total") > number).join(after, "doc_id", "left").select("doc_id", "total", F.coalesce("now", "state").alias("state"))
-        moved.write.parquet(f"{root}/states/{number}")
-        state = spark.read.schema(state.schema).parquet(f"{root}/states/{number}")
-    if not numbers:
+    begun.mapInPandas(_begun, "doc_id bigint, rounds int, state string").write.parquet(f"{root}/begun")
+    begun = state = spark.read.parquet(f"{root}/begun")
+    last = begun.agg(F.max("rounds")).first()[0] or 0
+    image = dict((f.name, f.dataType) for f in laid.schema)["image"]
+    nothing = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
+
+    def rows(paths: list[str]) -> DataFrame:
+        return spark.read.schema(_ROUND).parquet(*paths)
+
+    def begin(states: DataFrame) -> DataFrame:
+        return states.select("doc_id", F.lit(_STATE).alias("kind"), F.lit(0).alias("page"), F.lit(None).cast(image).alias("image"), "first", "state", "step", *nothing("active", "answer", "pending"))
+
+    def to_read(found: DataFrame) -> DataFrame:
+        return found.select("doc_id", F.lit(_PAGE).alias("kind"), "page", "image", F.lit(0).alias("first"), *nothing("state", "step", "active", "answer", "pending"))
+
+    written: list[str] = []
+    for number in range(last):
+        mine = laid.where(F.col("round") == number)
+        # in front of the first round there are no pages, so there all that are asked for are at hand or missing
+        ready = begin(state.select("doc_id", F.lit(int(number == 0)).alias("first"), "state", *nothing("step"))).union(to_read(mine))
+        parts: list[str] = []
+        while True:
+            path = f"{root}/rounds/{number}-{len(parts)}"
+            ready.repartition("doc_id").sortWithinPartitions("doc_id", "kind", "page").mapInPandas(partial(_round, model=model), _ROUND).write.parquet(path)
+            parts.append(path)
+            open_ = rows([path]).where("step IS NOT NULL")
+            if open_.isEmpty():
+                break
+            start = mine.groupBy("doc_id").agg(F.min("page").alias("first"))
+            asked = open_.select("doc_id", F.explode("back_read").alias("page"))
+            # pages of the round that were read in an earlier part are at hand again
+            again = mine.join(open_.select("doc_id", F.col("page").alias("_open")), "doc_id")
+            asked = asked.union(again.where("page < _open").select("doc_id", "page")).distinct()
+            told = rows([*written, *parts]).where("step IS NULL").select("doc_id", "page", "active", "answer", "pending")
+            seen = asked.join(laid.select("doc_id", "page", "image"), ["doc_id", "page"]).join(told, ["doc_id", "page"], "left")
+            seen = seen.select("doc_id", F.lit(_SEEN).alias("kind"), "page", "image", F.lit(0).alias("first"), *nothing("state", "step"), "active", "answer", "pending")
+            ready = begin(open_.join(start, "doc_id").select("doc_id", "first", "state", "step")).union(seen).union(to_read(again.where("page >= _open")))
+        written += parts
+        if number + 1 < last:
+            after = rows(parts).where("state IS NOT NULL AND step IS NULL").select("doc_id", "state")
+            begun.where(F.col("rounds") > number + 1).select("doc_id", "rounds").join(after, "doc_id").write.parquet(f"{root}/states/{number}")
+            state = spark.read.schema(begun.schema).parquet(f"{root}/states/{number}")
+    if not last:
         return spark.createDataFrame([], P.ROWS)
-    return rows("rounds", numbers).select(*P.COLUMNS)
+    return rows(written).where("step IS NULL").select(*P.COLUMNS)
 
 
 def page_items(read: DataFrame) -> DataFrame:
@@ -166,7 +212,8 @@ def final_sections(read: DataFrame, items: DataFrame, review_model: ChatModel |
     end = read.groupBy("doc_id").agg(F.max_by(F.struct("sections", "depictions"), "page").alias("z")).select("doc_id", "z.*")
     rows = items.drop("sections").join(end.select("doc_id", "sections"), "doc_id")
     again = F.coalesce(S.section_of_id(F.col("question_id"), F.col("sections")), F.col("section"))
-    rows = rows.select("doc_id", again.alias("section"), (F.col("page").cast("bigint") * 2**20 + F.col("k")).alias("ord"), "question_id", "question_text")
+    # read three times below, and the search for sections is the dear part of it
+    rows = settled(rows.select("doc_id", again.alias("section"), (F.col("page").cast("bigint") * 2**20 + F.col("k")).alias("ord"), "question_id", "question_text"))
     named = rows.where("section <> ''")
     first = named.groupBy("doc_id").agg(F.min_by("section", "ord").alias("__first"))
     rows = rows.join(first, "doc_id", "left")
@@ -199,7 +246,8 @@ def breakdown_reading(pages: DataFrame, model: VisionModel, outline_model: Visio
     outline = outline_answers(pages, outline_model) if outline_model is not None else None
     # read twice below and made of model calls, so it is settled once in the shared folder
     read = checkpoint(read_pages(pages, model, outline))
-    return final_sections(read, page_items(read), review_model)
+    # read several times by the final reduction, so the items of the pages are made once
+    return final_sections(read, settled(page_items(read)), review_model)
 
 
 def outline_map(entries: DataFrame, pages: DataFrame) -> dict[str, DataFrame]:

@@ -1,3 +1,4 @@
+import glob
 import json
 import threading
 import time
@@ -9,6 +10,7 @@ from scripted import Looker, Scripted
 from dossier import models
 from dossier.functions import pagereading as P
 from dossier.plans import reading as R
+from dossier.session import shared_folder
 from dossier.streaming import reading as stream
 
 
@@ -77,6 +79,36 @@ def test_gaps_repeats_and_nothing(spark):
     assert R.read_pages(pages.where("false"), Scripted({})).collect() == []
 
 
+def rounds_of(spark, pages, model):
+    """Rows by document and page, and the folders of rounds that reading them left."""
+    folders = f"{shared_folder(spark).removeprefix('file:')}/reading-*/rounds/*"
+    held = set(glob.glob(folders))
+    rows = {(r.doc_id, r.page): r for r in R.read_pages(pages, model).collect()}
+    return rows, len(set(glob.glob(folders)) - held)
+
+
+def test_rounds_do_not_follow_the_pages_of_a_document(spark):
+    docs = {1: {n: f"p{n}" for n in range(1, 31)}, 2: {1: "p1"}}
+    rows, rounds = rounds_of(spark, pages_of(spark, docs), Looker())
+    assert len(rows) == 31 and rounds == 1
+
+
+@pytest.mark.parametrize("limits", [(2**20, 4), (4, 4), (2**20, 1)])
+def test_rounds_of_few_pages_give_the_same_rows(spark, monkeypatch, limits):
+    first = {f"p{n}": {"extracted_questions": asks(f"A.{n}"), "pending_context": f"rest {n}", "detected_new_chapters": [{"id": "ABC"[n % 3]}]} for n in range(1, 14)}
+    first["p7"] |= {"request_back_read": True, "back_read_pages": [1, 6, 3, 5]}
+    first["p8"] |= {"request_back_read": True, "back_read_pages": [2, 7]}
+    first["p13"] |= {"request_back_read": True, "back_read_pages": [9, 10, 4]}
+    docs = {1: {n: f"p{n}" for n in range(1, 14)}, 2: {n: f"p{n}" for n in (3, 7, 8, 13)}, 3: {1: "p1"}, 4: {7: "p7", 8: None}}
+    model = Scripted(first, {p: {"extracted_questions": asks(f"B.{p[1:]}")} for p in ("p7", "p8", "p13")})
+    whole, _ = rounds_of(spark, pages_of(spark, docs), model)
+    monkeypatch.setattr(R, "ROUND_BYTES", limits[0])
+    monkeypatch.setattr(R, "ROUND_PAGES", limits[1])
+    cut, rounds = rounds_of(spark, pages_of(spark, docs), model)
+    assert rounds > 3 and cut == whole and len(whole) == 20
+    assert json.loads(whole[1, 7].pending)["shown"] == ["p1", "p6", "p3", "p5", "p7"] and json.loads(whole[2, 13].pending)["shown"] == ["p13"]
+
+
 def test_state_survives_a_round_trip():
     state = P.Reader.start(9, json.dumps([{"section_id": "A", "page": 1, "position": "bottom"}]))
     state.enter({"id": "B", "title": "Second", "depiction": "text"}, 4)

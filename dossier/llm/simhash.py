@@ -8,23 +8,16 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm import resemblance
-from dossier.llm.shared import components, over_batches, slices, star_links, stored
+from dossier.llm.shared import components, over_batches, slices, stored
+from dossier.llm.vantage import BITS, HALVES, LEVELS, LINKS_HELD, Links, Tree, rings_of, shard_of
 
-BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
-#: Every half of a fingerprint has a tree of its own, with this many levels of vantage points.
-HALVES, LEVELS = 2, 8
-#: Vantage points of the levels, side by side: any fixed value serves.
-VANTAGE = 0x5A3C_96E1_0F78_D2B4
+SHINGLE, SEED = 3, 42
 #: Members of a shard that one task holds; larger shards are cut into blocks that every visitor calls on.
 SHARD_LIMIT = 50_000
-#: Members below which a branch of the tree inside a shard is searched one by one.
-LEAF = 32
-#: Links gathered in a task before they are thinned to one for each member.
-LINKS_HELD = 200_000
 #: Hashes whose bits are counted at once.
 HASHES = 100_000
 
@@ -108,82 +101,19 @@ def shards(fps: DataFrame) -> DataFrame:
     is a member of the shard of its rings and a visitor to those one ring farther at one level: 1 + LEVELS rows a half, whatever the data.
     """
     width = BITS // HALVES // LEVELS
-    step = 3  # bits that a ring of 0 to 4 takes in the shard's number
     out = []
     for half in range(HALVES):
-        rings: list[Column] = []
-        for level in range(LEVELS):
-            low = (half * LEVELS + level) * width
-            mask, seen = (1 << width) - 1, VANTAGE >> low & (1 << width) - 1
-            rings.append(F.bit_count(F.shiftrightunsigned("fp", low).bitwiseAND(mask).bitwiseXOR(seen)).cast("long"))
-        own = F.lit(half << step * LEVELS).cast("long")
-        for level, ring in enumerate(rings):
-            own = own + ring * (1 << step * level)
+        rings = rings_of(F.col("fp"), half)
+        own = shard_of(half, rings)
         out.append(F.struct(own.alias("shard"), F.lit(False).alias("visitor")))
         for level, ring in enumerate(rings):
-            out.append(F.when(ring < width, F.struct((own + (1 << step * level)).alias("shard"), F.lit(True).alias("visitor"))))
+            out.append(F.when(ring < width, F.struct(shard_of(half, [r + int(i == level) for i, r in enumerate(rings)]).alias("shard"), F.lit(True).alias("visitor"))))
     return fps.select("fp", F.explode(F.array_compact(F.array(*out))).alias("at")).select("at.shard", "at.visitor", "fp")
 
 
-class Tree:
-    """Vantage-point tree over the members of a shard."""
-
-    def __init__(self, members: np.ndarray) -> None:
-        self.members = members
-        self.split = None
-        if len(members) > LEAF:
-            vantage = members[len(members) // 2]
-            distance = np.bitwise_count(members ^ vantage)
-            middle = int(np.median(distance))
-            near = distance <= middle
-            if near.all():
-                middle -= 1
-                near = distance <= middle
-            if near.any() and not near.all():
-                self.split = (vantage, middle, Tree(members[near]), Tree(members[~near]))
-
-    def pairs(self, asked: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (asked, member) within the radius. A branch is passed over where the triangle bound leaves nothing in it."""
-        if not len(asked):
-            return
-        if self.split is None:
-            step = max(1, 1_000_000 // max(1, len(self.members)))
-            for start in range(0, len(asked), step):
-                part = asked[start:start + step]
-                i, j = np.nonzero(np.bitwise_count(part[:, None] ^ self.members[None, :]) <= radius)
-                yield part[i], self.members[j]
-            return
-        vantage, middle, near, far = self.split
-        distance = np.bitwise_count(asked ^ vantage).astype(np.int64)
-        yield from near.pairs(asked[distance <= middle + radius], radius)
-        yield from far.pairs(asked[distance > middle - radius], radius)
-
-
-class _Links:
-    """Links found so far in a task, thinned whenever they get many."""
-
-    def __init__(self) -> None:
-        self.a, self.b, self.n = [], [], 0
-
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        apart = a != b
-        if apart.any():
-            self.a.append(a[apart])
-            self.b.append(b[apart])
-            self.n += int(apart.sum())
-            if self.n > LINKS_HELD:
-                a, b = star_links(np.concatenate(self.a), np.concatenate(self.b))
-                self.a, self.b, self.n = [a], [b], len(a)
-
-    def batch(self) -> pa.RecordBatch:
-        a, b = star_links(np.concatenate(self.a), np.concatenate(self.b)) if self.a else (np.array([], np.uint64),) * 2
-        self.a, self.b, self.n = [], [], 0
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
-
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Streams shards in order, members before visitors: a tree of the members, asked by members and visitors."""
-    links, current, members, tree = _Links(), None, [], None
+    links, current, members, tree = Links(), None, [], None
     for batch in batches:
         shard, block, visitor, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         fp = fp.astype(np.int64).view(np.uint64)
@@ -261,7 +191,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``docs`` without those that a near copy stands for.
 
-    64 bits can't tell near copies by five-word shingles from others: at a resemblance of 0.8 fingerprints are about 10 bits apart and often 16, where trees
-    rule nothing out. So candidates come from samples of the shingle sets and are checked on the sets (``resemblance``).
+    One fingerprint of the whole text can't tell near copies by five-word shingles from others: at a resemblance of 0.8 they are about 10 bits apart and often 16,
+    where trees rule nothing out. So ``resemblance`` takes many fingerprints of sampled shingles, searches the trees for each, and checks what meets on the sets.
     """
     return resemblance.one_of_each(docs, key, text)

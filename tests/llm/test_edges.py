@@ -95,6 +95,42 @@ def test_near_copies_by_their_sets(spark):
     assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == sorted(min(g) for g in want)
 
 
+def test_sampled_fingerprints_are_simhash_of_shingles():
+    hashes = resemblance.shingles(" ".join(f"w{n}" for n in range(300)))
+    samples = [min(hashes.tolist(), key=lambda h: h * int(f) % 2**64) for f in resemblance._FACTORS]
+    want = simhash._majority([samples[i:i + resemblance.ROWS] for i in range(0, len(samples), resemblance.ROWS)])
+    assert (np.array(resemblance.bands(hashes)).view(np.uint64) ^ resemblance._TAGS).tolist() == want.tolist()
+    assert resemblance.bands(hashes[:0]) == [] and len(set(resemblance.bands(hashes[:1]))) == resemblance.BANDS
+
+
+def test_trees_bring_sampled_fingerprints_into_one_bucket(spark):
+    random = np.random.default_rng(5).integers(0, 2**64, (120, 2), dtype=np.uint64)
+    rows = []
+    for i, (one, other) in enumerate(random):
+        for k, bit in enumerate((None, 3, 40, 63)[: 1 + i % 4]):
+            rows.append([int(v) ^ (1 << bit if bit is not None else 0) for v in (one, other)])
+        # 16 bits of either half apart
+        rows.append([int(one) ^ 0x00FF_0000_FF00_00FF, int(other) ^ 0xFFFF])
+    signed = np.array(rows, dtype=np.uint64).view(np.int64).tolist()
+    nodes = spark.createDataFrame([(n, 1, fps) for n, fps in enumerate(signed)], "node long, n long, bands array<long>")
+    got = {}
+    for r in resemblance._buckets(nodes).collect():
+        got.setdefault(r["bucket"], []).append(r["node"])
+    want = []
+    for band in range(2):
+        fps = [r[band] for r in rows]
+        near = {n: {m for m, other in enumerate(fps) if (fps[n] ^ other).bit_count() <= 1} for n in range(len(fps))}
+        seen = set()
+        for n in near:
+            group, ahead = set(), {n} - seen
+            while ahead:
+                group |= ahead
+                ahead = set().union(*(near[m] for m in ahead)) - group
+            seen |= group
+            want += [sorted(group)] if group else []
+    assert sorted(sorted(g) for g in got.values()) == sorted(want) and max(map(len, want)) == 4
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 100])
 def test_buckets_over_batches(size):
     rows = [(1, 5), (2, 5), (2, 6), (2, 7), (3, 1), (4, 1), (5, 2), (5, 3), (6, 9)]

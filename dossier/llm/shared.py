@@ -15,6 +15,8 @@ from dossier.session import ship_package
 
 #: Rows that a task turns into Python objects at a time.
 SLICE = 512
+#: Bits of a filter for each key, of any filter at most (8 MB), and of one of its blocks.
+FILTER_BITS, FILTER_MOST, FILTER_BLOCK = 16, 1 << 26, 1 << 15
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -60,6 +62,25 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+def screened(rows: DataFrame, value: Column, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``value`` may be among the keys (column ``key`` of ``keys``, of the same type), and those whose value is surely not.
+
+    The keys' hashes are broadcast as bitmaps, two to four bytes a key and never more than 8 MB. With more keys than that serves well, more rows of the first part have no key;
+    an exact join of that part settles it either way. The second part goes on without a shuffle, whatever the number of keys.
+    """
+    wanted = min(max(keys.count() * FILTER_BITS, FILTER_BLOCK), FILTER_MOST)
+    bits = 1 << (wanted - 1).bit_length()
+    at, block, bitmap = (fresh_name(rows, n) for n in ("_at", "_block", "_bitmap"))
+    places = keys.select(F.pmod(F.xxhash64(key), F.lit(bits)).alias(at))
+    blocks = places.groupBy(F.shiftright(at, FILTER_BLOCK.bit_length() - 1).alias(block)).agg(F.bitmap_construct_agg(F.col(at) % FILTER_BLOCK).alias(bitmap))
+    known = rows.withColumn(at, F.pmod(F.xxhash64(value), F.lit(bits))).join(
+        F.broadcast(stored(blocks, "filter")), F.shiftright(at, FILTER_BLOCK.bit_length() - 1) == F.col(block), "left")
+    byte = F.substring(F.col(bitmap), F.shiftright(F.col(at) % FILTER_BLOCK, 3).cast("int") + 1, F.lit(1))
+    held = F.conv(F.hex(byte), 16, 10).cast("int").bitwiseAND(F.expr(f"shiftleft(1, cast(`{at}` % 8 as int))")) != 0
+    maybe = F.coalesce(held, F.lit(False))
+    return known.where(maybe).drop(at, block, bitmap), known.where(~maybe).drop(at, block, bitmap)
+
+
 def content_of(text: str) -> Column:
     """SHA-256 of a text, 32 bytes; a null text counts as an empty one."""
     return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))

@@ -599,3 +599,56 @@ def test_escaping_is_columnar_and_reversible():
     parts = [bytes(data[i:j]).decode() for i, j in zip(at[:-1], at[1:])]
     assert [chat.plain(p) for p in parts] == values[1:].to_pylist()
     assert hashlib.sha256(bytes(data)).hexdigest()
+
+
+@pytest.mark.parametrize("kind, values", [("long", [None, 0, -1, *range(10, 60)]), ("string", [None, "", *(f"k{n}" for n in range(50))])])
+def test_screened_rows_keep_every_key(spark, monkeypatch, kind, values):
+    other = range(10_000, 14_000) if kind == "long" else [f"o{n}" for n in range(4_000)]
+    docs = spark.createDataFrame([(v, "x", n) for n, v in enumerate([*values, *values, *other])], f"_at {kind}, _block string, n int")
+    keys = spark.createDataFrame([(v,) for v in values] * 2, f"k {kind}")
+    for most in (shared.FILTER_MOST, 1_024):  # the second has more keys than bits for them
+        monkeypatch.setattr(shared, "FILTER_MOST", most)
+        monkeypatch.setattr(shared, "FILTER_BLOCK", min(most, shared.FILTER_BLOCK))
+        maybe, never = shared.screened(docs, F.col("_at"), keys, "k")
+        assert maybe.columns == never.columns == docs.columns
+        n = [{r["n"] for r in part.collect()} for part in (maybe, never)]
+        assert set(range(2 * len(values))) <= n[0] and len(n[0]) + len(n[1]) == docs.count() == len(n[0] | n[1])
+        assert len(n[0]) < 2 * len(values) + 0.2 * len(other)
+    assert shared.screened(docs, F.col("_at"), keys.where("false"), "k")[0].count() == 0
+
+
+def test_only_texts_that_may_be_met_are_joined(spark, tmp_path, monkeypatch):
+    """However large the other side: without broadcasts of tables, as in a large run."""
+    parts = []
+
+    def recorded(*args):
+        parts.append(shared.screened(*args))
+        return parts[-1]
+
+    texts = [" ".join(f"{d}w{n}" for n in range(40)) for d in range(300)]
+    texts[7], texts[90] = texts[7] + " password=abcdefgh", texts[5]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(secrets, "screened", recorded)
+    monkeypatch.setattr(resemblance, "screened", recorded)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        masked = {r["doc_id"]: r["text"] for r in secrets.mask(docs, f"file://{tmp_path}/m").collect()}
+        kept = sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert masked == {d: t.replace("password=abcdefgh", "[secret]") for d, t in enumerate(texts)}
+    assert kept == [d for d in range(300) if d != 90]
+    assert len(parts) == 3 and all(maybe.count() < 30 for maybe, _ in parts)
+
+
+def test_only_sets_that_lead_many_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(resemblance, "LED", 20)
+    pairs = spark.createDataFrame([(1, b) for b in range(100, 150)] + [(a, a + 1_000) for a in range(2, 12)], "a long, b long")
+    rows = {n: [n, n + 1] for p in pairs.collect() for n in p}
+    sets = spark.createDataFrame(list(rows.items()), "node long, hashes array<long>")
+    salted, heads = resemblance._dealt(pairs, sets)
+    copies = {r["a"]: r["count"] for r in heads.groupBy("a").count().collect()}
+    assert copies == {1: resemblance.SALTS} | dict.fromkeys(range(2, 12), 1)
+    assert sorted((r["a"], r["b"]) for r in salted.join(heads, ["a", "salt"]).collect()) == sorted(map(tuple, pairs.collect()))
+    assert salted.where("a = 1").select("salt").distinct().count() > 1

@@ -15,8 +15,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Queries of one broadcast, read by the driver one block at a time; more queries take more passes over the vectors.
-QUERIES_PER_PASS = 2_048
+# Queries of one broadcast, read by the driver one block at a time; more queries take more passes over the vectors. A block holds no more components and
+# leads to no more rows of a task than these.
+QUERIES_PER_PASS, COMPONENTS, KEPT = 16_384, 2**21, 2**19
+# Rows and queries whose cosines a task makes at a time, small enough for a core's cache; rows of the first such block; cosines that are made anew at a time.
+ROWS, QUERIES, FIRST, EXACT = 2_048, 512, 512, 2**14
+# Rows of a batch that a task hands on.
+OUT = 50_000
 # Distances are compared after rounding, so equal vectors tie exactly on every machine.
 DIGITS = 9
 
@@ -38,57 +43,104 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 class _Nearest:
-    """The k nearest rows so far of every query: flat arrays of query, distance and row, and the rows they name."""
+    """The k nearest rows so far of every query: flat arrays of query, distance and row, and the rows they name.
 
-    def __init__(self, queries: int, k: int, pk: str) -> None:
-        self.k, self.pk = k, pk
+    Cosines in single precision, less than ``slack`` off, say which rows can be among the k nearest; only these get their distance in double precision.
+    """
+
+    def __init__(self, unit: np.ndarray, k: int, pk: str) -> None:
+        self.unit, self.single, self.k, self.pk = unit, unit.astype(np.float32), k, pk
         self.query, self.distance, self.row = np.array([], np.int64), np.array([], np.float64), np.array([], np.int64)
         self.rows: pa.Table | None = None
-        self.bound = np.full(queries, np.inf)
-
-    def add(self, distance: np.ndarray, rows: pa.Table) -> None:
-        """Rows of a batch with their distances to all queries; only cells that can still be among the k nearest are looked at."""
-        limit = self.bound
-        if len(distance) > self.k:
-            limit = np.minimum(limit, np.partition(distance, self.k - 1, axis=0)[self.k - 1])
-        row, query = np.nonzero(distance <= limit[None, :])
+        self.bound = np.full(len(unit), np.inf)
+        self.least = np.full(len(unit), -np.inf, np.float32)
+        self.slack = (unit.shape[1] + 8) * 2.0**-23 + 10.0**(1 - DIGITS)
+        self.most = max(2 * len(unit) * k, 2**16)
+
+    def add(self, data: np.ndarray, rows: pa.Table) -> None:
+        """Rows of a batch, with their vectors."""
+        norm = np.linalg.norm(data, axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            unit = data / norm[:, None]
+        usable = np.flatnonzero(np.isfinite(unit).all(axis=1))
+        data, norm, unit = data[usable], norm[usable], unit[usable].astype(np.float32)
+        new: list[tuple] = []
+        n = start = 0
+        while start < len(unit):
+            stop = start + (FIRST if self.rows is None and not start else ROWS)
+            part = unit[start:stop]
+            for at in range(0, len(self.single), QUERIES):
+                cosine = part @ self.single[at:at + QUERIES].T
+                least = self.least[at:at + QUERIES]
+                if len(part) > self.k and np.isneginf(least).any():
+                    floor = np.partition(np.ascontiguousarray(cosine.T), len(part) - self.k, axis=1)[:, len(part) - self.k]
+                    least = np.maximum(least, floor - np.float32(2 * self.slack))
+                row, query = np.divmod(np.flatnonzero(cosine >= least), cosine.shape[1])
+                for i in range(0, len(row), EXACT):
+                    r, q = start + row[i:i + EXACT], at + query[i:i + EXACT]
+                    distance = np.round(1.0 - np.einsum("ij,ij->i", data[r], self.unit[q]) / norm[r], DIGITS)
+                    near = distance <= self.bound[q]
+                    new.append((q[near], distance[near], usable[r[near]]))
+                    n += len(new[-1][0])
+                if len(self.query) + n > self.most:
+                    self._take(new, rows)
+                    new, n = [], 0
+                    self._cut()
+            start = stop
+        self._take(new, rows)
+
+    def _take(self, new: list[tuple], rows: pa.Table) -> None:
+        if not new:
+            return
+        query, distance, row = (np.concatenate(x) for x in zip(*new))
         used, at = np.unique(row, return_inverse=True)
         first = 0 if self.rows is None else self.rows.num_rows
-        new = rows.take(used)
-        self.rows = new if self.rows is None else pa.concat_tables([self.rows, new])
-        self.query = np.concatenate([self.query, query])
-        self.distance = np.concatenate([self.distance, distance[row, query]])
+        taken = rows.take(used)
+        self.rows = taken if self.rows is None else pa.concat_tables([self.rows, taken])
+        self.query, self.distance = np.concatenate([self.query, query]), np.concatenate([self.distance, distance])
         self.row = np.concatenate([self.row, first + at])
-        self._cut()
 
     def _cut(self) -> None:
-        place = np.empty(self.rows.num_rows, np.int64)
-        place[pc.sort_indices(self.rows, sort_keys=[(self.pk, "ascending")]).to_numpy()] = np.arange(self.rows.num_rows)
-        order = np.lexsort((place[self.row], self.distance, self.query))
-        query = self.query[order]
-        keep = order[np.arange(len(order)) - np.searchsorted(query, query, side="left") < self.k]
+        order = np.lexsort((self.distance, self.query))
+        query, distance = self.query[order], self.distance[order]
+        place = np.arange(len(order)) - np.searchsorted(query, query, side="left")
+        last = place == self.k - 1
+        self.bound[query[last]] = distance[last]
+        ends = distance == self.bound[query]
+        crowded = np.zeros(len(self.bound), bool)
+        crowded[query[ends & (place >= self.k)]] = True
+        ends &= crowded[query]
+        if ends.any():
+            # more rows at the distance of the k-th than there is room for: the smaller keys stay
+            tied = order[ends]
+            used, at = np.unique(self.row[tied], return_inverse=True)
+            names = np.empty(len(used), np.int64)
+            names[pc.sort_indices(self.rows.take(used), sort_keys=[(self.pk, "ascending")]).to_numpy()] = np.arange(len(used))
+            order[ends] = tied[np.lexsort((names[at], self.query[tied]))]
+        keep = order[place < self.k]
         self.query, self.distance = self.query[keep], self.distance[keep]
         used, self.row = np.unique(self.row[keep], return_inverse=True)
         self.rows = self.rows.take(used).combine_chunks()
-        full = np.bincount(self.query, minlength=len(self.bound)) == self.k
-        ends = np.searchsorted(self.query, np.flatnonzero(full), side="right") - 1
-        self.bound[full] = self.distance[ends]
+        self.least = (1.0 - self.bound - self.slack).astype(np.float32)
+
+    def best(self) -> tuple[np.ndarray, pa.Table]:
+        """Queries, and the rows they have, with the distance."""
+        self._cut()
+        return self.query, self.rows.take(self.row).append_column("distance", pa.array(self.distance))
 
 
 def _local_top_k(shared, k: int, pk: str, vec: str, payload: list[str], schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, matrix = shared.value
         unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
-        near = _Nearest(len(query_ids), k, pk)
+        near = _Nearest(unit, k, pk)
         for batch in batches:
             if batch.num_rows:
-                data = _matrix(batch.column(vec))
-                distance = np.round(1.0 - (data @ unit.T) / np.linalg.norm(data, axis=1)[:, None], DIGITS)
-                near.add(distance, pa.Table.from_batches([batch.select(payload)]))
+                near.add(_matrix(batch.column(vec)), pa.Table.from_batches([batch.select(payload)]))
         if near.rows is not None:
-            ids = pa.array(query_ids, type=schema.field("query_id").type).take(pa.array(near.query))
-            found = near.rows.take(near.row).append_column("distance", pa.array(near.distance)).add_column(0, "query_id", ids)
-            yield from found.combine_chunks().cast(schema).to_batches()
+            query, rows = near.best()
+            ids = pa.array(query_ids, type=schema.field("query_id").type).take(pa.array(query))
+            yield from rows.add_column(0, "query_id", ids).combine_chunks().cast(schema).to_batches(max_chunksize=OUT)
 
     return run
 
@@ -114,7 +166,8 @@ def top_k(
     arrow_schema = to_arrow_schema(out_schema)
 
     queries = queries.select("query_id", "query_vec").where(F.exists("query_vec", lambda x: x != 0))
-    passes = queries.count() // QUERIES_PER_PASS + 1
+    n, dim = queries.agg(F.count("*"), F.max(F.size("query_vec"))).first()
+    passes = n // max(1, min(QUERIES_PER_PASS, COMPONENTS // (dim or 1), KEPT // k)) + 1
     near = None
     for i in range(passes):
         part = queries if passes == 1 else queries.where(F.pmod(F.xxhash64("query_id", "query_vec"), F.lit(passes)) == i)

@@ -1,6 +1,8 @@
 """Steps that must look at each row once: results of the short ways, and plans without the repeated work."""
 
+import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from dossier import models
@@ -10,6 +12,7 @@ from dossier.functions import text as T
 from dossier.operators import items as I
 from dossier.operators import match as M
 from dossier.operators import numbering as N
+from dossier.operators import vectors as V
 from dossier.plans import breakdown as B
 from dossier.plans import ingest as G
 
@@ -107,3 +110,39 @@ def test_ask_pipeline_makes_its_vectors_once(spark, monkeypatch):
     t.conversations = spark.createDataFrame([(1, 0, "user", "alpha?")], "conv_id long, turn int, role string, text string")
     pipelines.ask_pipeline(t)
     assert "Eval" not in plan(seen[0]) and seen[0].count() == 3
+
+
+def test_thousands_of_questions_take_one_pass_over_the_vectors(spark):
+    rng = np.random.default_rng(4)
+    base, asked = rng.normal(size=(60, 6)), rng.normal(size=(2_500, 6))
+    table = spark.createDataFrame([(f"k{i:03d}", x.tolist()) for i, x in enumerate(base)], "pk string, embedding array<double>").repartition(3)
+    found = V.top_k(table, spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(asked)], "query_id int, query_vec array<double>"), 4, "pk")
+    assert plan(found).count("MapInArrow") == 1
+    cosine = (asked / np.linalg.norm(asked, axis=1)[:, None]) @ (base / np.linalg.norm(base, axis=1)[:, None]).T
+    want = {(i, r + 1, f"k{n:03d}") for i, order in enumerate(np.argsort(-cosine, axis=1)[:, :4]) for r, n in enumerate(order)}
+    assert {(r.query_id, r["rank"], r.pk) for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("size", [7, 100, 1_000])
+def test_nearest_rows_that_single_precision_cannot_tell_apart(size, monkeypatch):
+    for name, value in (("ROWS", 50), ("QUERIES", 4), ("FIRST", 20), ("EXACT", 16)):
+        monkeypatch.setattr(V, name, value)
+    rng = np.random.default_rng(6)
+    query = rng.normal(size=(9, 8))
+    # rows some 1e-8 from each other, copies of a row, rows without a direction that can be told
+    data = np.concatenate([query[0] + rng.normal(size=(300, 8)) * 1e-4, np.repeat(rng.normal(size=(2, 8)) + query[1:3], 150, axis=0), rng.normal(size=(200, 8)), np.full((30, 8), np.nan)])
+    data[805] = np.inf
+    data = data[rng.permutation(len(data))] * 10.0 ** rng.integers(-20, 20, (len(data), 1))
+    names = [f"k{n}" for n in rng.permutation(len(data))]
+    unit = query / np.linalg.norm(query, axis=1)[:, None]
+    near = V._Nearest(unit, 12, "pk")
+    near.most = 200
+    for at in range(0, len(data), size):
+        near.add(data[at:at + size], pa.table({"pk": names[at:at + size]}))
+    asked, rows = near.best()
+    got = sorted(zip(asked.tolist(), rows["distance"].to_pylist(), rows["pk"].to_pylist()))
+    with np.errstate(invalid="ignore"):
+        distance = np.round(1 - (data @ unit.T) / np.linalg.norm(data, axis=1)[:, None], 9)
+    want = [(q, d, pk) for q in range(9) for d, pk in sorted((d, pk) for d, pk in zip(distance[:, q].tolist(), names) if d == d)[:12]]
+    assert [(q, pk) for q, _, pk in got] == [(q, pk) for q, _, pk in want]
+    assert np.allclose([d for _, d, _ in got], [d for _, d, _ in want], atol=1e-9, rtol=0)

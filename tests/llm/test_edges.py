@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from dossier.llm import chat, decontaminate, ledger, licenses, packing, quality, resemblance, secrets, shared, simhash, tokens, topk, vocabulary, warc
@@ -168,6 +169,44 @@ def test_block_links_equal_all_pairs():
         assert len(got) < len(nodes)
 
 
+def test_near_copies_without_a_fingerprint_in_common(spark):
+    words = [f"w{n}" for n in range(764_539, 764_563)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:20])), (3, " ".join(words[8:])), (4, "other words of a text that nothing is like")]
+    one, other = (np.array(resemblance.bands(resemblance.shingles(rows[i][1]))).view(np.uint64) for i in (0, 1))
+    assert resembling(rows) == {frozenset({1, 2}), frozenset({3}), frozenset({4})} and min(np.bitwise_count(one ^ other)) > resemblance.RADIUS
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8, 1.0])
+def test_all_that_resemble_share_a_bucket(spark, least):
+    draw = np.random.default_rng(8)
+    passage = [f"p{n}" for n in range(15)]
+    texts = [t for t in edited(9, bases=8, copies=6) if t and t.strip()]
+    texts += [" ".join([*passage, *(f"q{n}" for n in draw.integers(0, 9_000, 60))]) for _ in range(40)] + [" ".join(passage[:n]) for n in range(1, 12)] + texts[:5]
+    sets = {resemblance.shingles(t).tobytes(): resemblance.shingles(t) for t in texts}
+    nodes = spark.createDataFrame([(n, len(s), bytearray(xxhash.xxh128_digest(k))) for n, (k, s) in enumerate(sets.items())], "node long, n long, set binary")
+    docs = spark.createDataFrame([(t,) for t in [*texts, "", None]], "text string").repartition(5)
+    buckets = {}
+    for r in resemblance._shared_buckets(docs, "text", nodes, least).collect():
+        buckets.setdefault(r["node"], set()).add(r["bucket"])
+    own = [set(s.tolist()) for s in sets.values()]
+    like = [(i, n) for i in range(len(own)) for n in range(i) if len(own[i] & own[n]) >= least * len(own[i] | own[n])]
+    assert (len(like) > 30 or least == 1) and all(buckets[i] & buckets[n] for i, n in like)
+    if least == 0.8:
+        # the passage alone brings nothing together
+        passages = set(resemblance.shingles(" ".join(passage)).tolist())
+        assert sum(len(s) == 71 for s in own) >= 40 and not any(len(own[n]) == 71 and own[n] & passages for n in buckets)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 100])
+def test_shared_shingles_over_batches(size):
+    rows = [(-5, 1), (-5, 1), (1, 4), (1, 4), (1, 5), (1, 5), (1, 9), (2, 4), (3, 4), (3, 6), (3, 6)]
+    table = pa.table({"token": [t for t, _ in rows], "id": [i for _, i in rows], "need": pa.array([i % 3 for _, i in rows], pa.int32())})
+    got = [tuple(r.values()) for b in resemblance._shared(table.to_batches(max_chunksize=size)) for r in b.to_pylist()]
+    assert got == [(1, 4, 1, 3), (1, 5, 2, 3), (1, 9, 0, 3), (3, 4, 1, 2), (3, 6, 0, 2)]
+
+
 def test_near_copies_go_row_by_row(spark):
     a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
     rows = [(None, a), (None, a), (None, a + " more"), (None, "alone"), (None, b + " end"), (7, b), (7, "other text of seven"), (8, b), (None, None), (None, "")]
